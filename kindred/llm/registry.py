@@ -16,3 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 from kindred.llm.token_output import op2_token_output  # noqa: E402
 
 QUERIES["op2_token_output"] = op2_token_output
+from kindred.llm.quality_rules import op7_quality_rules  # noqa: E402
+
+QUERIES["op7_quality_rules"] = op7_quality_rules
