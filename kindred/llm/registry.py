@@ -19,3 +19,6 @@ QUERIES["op2_token_output"] = op2_token_output
 from kindred.llm.quality_rules import op7_quality_rules  # noqa: E402
 
 QUERIES["op7_quality_rules"] = op7_quality_rules
+from kindred.llm.license_scan import op4_license_scan  # noqa: E402
+
+QUERIES["op4_license_scan"] = op4_license_scan
