@@ -45,7 +45,7 @@ WORD_GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def words_of(text: str = "text") -> Column:
     """The words of a text after A-Z are lowered. The two letters beyond ASCII whose lower case is in it are kept out of it."""
-    kept = F.replace(F.replace(whole_text(text), F.lit("K"), F.lit("")), F.lit("İ"), F.lit(""))
+    kept = F.replace(F.replace(whole_text(text), F.lit("\u212a"), F.lit("\ue000")), F.lit("\u0130"), F.lit("\ue001"))
     return F.array_remove(F.split(F.lower(kept), WORD_GAPS), "")
 
 

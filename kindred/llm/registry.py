@@ -22,3 +22,6 @@ QUERIES["op7_quality_rules"] = op7_quality_rules
 from kindred.llm.license_scan import op4_license_scan  # noqa: E402
 
 QUERIES["op4_license_scan"] = op4_license_scan
+from kindred.llm.simhash_dedup import op9_simhash_dedup  # noqa: E402
+
+QUERIES["op9_simhash_dedup"] = op9_simhash_dedup
