@@ -70,11 +70,17 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 2_000_000) -> Iterato
 
 
 def pack(**arrays: np.ndarray) -> bytes:
-    """Arrays by name as one zstd string."""
+    """Arrays by name as one zstd string; an array of objects holds byte strings."""
     import zstandard
 
-    head = ";".join(f"{k}:{v.dtype.str}:{','.join(map(str, v.shape))}" for k, v in arrays.items()).encode()
-    body = b"".join(np.ascontiguousarray(v).tobytes() for v in arrays.values())
+    flat: dict[str, np.ndarray] = {}
+    for k, v in arrays.items():
+        if v.dtype == object:
+            flat[f"{k}#"] = np.fromiter(map(len, v), np.uint32, len(v))
+            v = np.frombuffer(b"".join(v), np.uint8)
+        flat[k] = v
+    head = ";".join(f"{k}:{v.dtype.str}:{','.join(map(str, v.shape))}" for k, v in flat.items()).encode()
+    body = b"".join(np.ascontiguousarray(v).tobytes() for v in flat.values())
     return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(4, "little") + head + body)
 
 
@@ -90,4 +96,10 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
         count = int(np.prod(dims))
         out[name] = np.frombuffer(raw, kind, count, at).reshape(dims)
         at += count * np.dtype(kind).itemsize
+    for name in [k for k in out if k.endswith("#")]:
+        ends = np.cumsum(out.pop(name), dtype=np.int64)
+        flat = out[name[:-1]].tobytes()
+        own = np.empty(len(ends), object)
+        own[:] = [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        out[name[:-1]] = own
     return out

@@ -25,3 +25,8 @@ QUERIES["op4_license_scan"] = op4_license_scan
 from kindred.llm.simhash_dedup import op9_simhash_dedup  # noqa: E402
 
 QUERIES["op9_simhash_dedup"] = op9_simhash_dedup
+from kindred.llm.suffix_dedup import op3_suffix_dedup  # noqa: E402
+from kindred.llm.superkmer_dedup import op5_superkmer_dedup  # noqa: E402
+
+QUERIES["op3_suffix_dedup"] = op3_suffix_dedup
+QUERIES["op5_superkmer_dedup"] = op5_superkmer_dedup
