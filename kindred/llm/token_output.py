@@ -52,14 +52,24 @@ def encode_words(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.nd
     at = np.arange(n, dtype=np.int32)
     last = np.minimum((at // block + 1) * block, n).astype(np.int32)
     step, choice = np.ones(n, np.int32), np.zeros(n, np.int8)
-    for s in range(len(SELECTORS), 0, -1):
+    # What fits a selector of more ids fits all of fewer ids and more bits, so each looks at what is left.
+    left = at
+    over = np.zeros(n + 1, np.int32)
+    top = int(bits.max())
+    widest = max((s for s, (_, width) in enumerate(SELECTORS, 1) if width < top), default=0) + 1  # fits every id
+    if widest <= len(SELECTORS):
+        choice[:] = widest
+        step = np.minimum(last - at, np.int32(SELECTORS[widest - 1][0]))
+    for s in range(min(widest - 1, len(SELECTORS)), 0, -1):
         count, width = SELECTORS[s - 1]
-        over = np.zeros(n + 1, np.int32)
         np.cumsum(bits > width, dtype=np.int32, out=over[1:])
-        stop = np.minimum(at + np.int32(count), last)
-        fits = over[stop] == over[:-1]
-        choice[fits] = s
-        step = np.where(fits, stop - at, step)
+        stop = np.minimum(left + np.int32(count), last[left])
+        fits = over[stop] == over[left]
+        left = left[fits]
+        if not len(left):
+            break
+        choice[left] = s
+        step[left] = stop[fits] - left
     live, found = np.arange(0, n, block), []
     while len(live):
         found.append(live)
@@ -75,10 +85,14 @@ def encode_words(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.nd
     for s, (count, width) in enumerate(SELECTORS, 1):
         mine = np.flatnonzero(chosen == s)
         if len(mine):
-            lanes = np.arange(count)
-            got = padded[starts[mine][:, None] + lanes]
-            got[lanes >= step[starts[mine]][:, None]] = 0
-            words[place[mine]] = np.bitwise_or.reduce(got << (lanes * width).astype(np.uint64), axis=1) | np.uint64(s << 60)
+            from_, n_own = starts[mine], step[starts[mine]]
+            short = np.flatnonzero(n_own < count)
+            word = np.full(len(mine), s << 60, np.uint64)
+            for lane in range(count):
+                got = padded[from_ + lane]
+                got[short[n_own[short] <= lane]] = 0
+                word |= got << np.uint64(lane * width)
+            words[place[mine]] = word
     return words, place[starts % block == 0].astype(np.uint32), raw.astype(np.uint32)
 
 
@@ -129,8 +143,8 @@ class Pieces:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and how many each has.
+    def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, end_id after each, and how many each has.
 
         No pre-token of this vocabulary spans a white space, so each distinct piece is coded once.
         A-Z are lowered first, as the vocabulary does, unless a special token may be about.
@@ -146,13 +160,18 @@ class Pieces:
         if None in coded:
             self._learn({p for p, ids in zip(distinct, coded) if ids is None})
             coded = list(map(self.young.__getitem__, distinct))
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        flat, starts = np.frombuffer(b"".join(coded), "<u4"), np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, coded), np.int32, len(coded)) // 4
+        flat, starts = np.frombuffer(b"".join([*coded, bytes(4)]), "<u4"), np.cumsum(sizes, dtype=np.int32) - sizes
         n = sizes[which]
-        after = np.concatenate(([0], np.cumsum(n)))
-        ids = flat[np.repeat(starts[which] - after[:-1], n) + np.arange(after[-1])]
         offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
-        return ids, after[offsets[1:]] - after[offsets[:-1]]
+        if end_id is not None:
+            n[offsets[1:] - 1] += 1  # every text has a piece, if an empty one
+        after = np.zeros(len(n) + 1, np.int32)
+        np.cumsum(n, out=after[1:])
+        ids = flat[np.repeat(starts[which] - after[:-1], n) + np.arange(after[-1], dtype=np.int32)]
+        if end_id is not None:
+            ids[after[offsets[1:]] - 1] = end_id
+        return ids, (after[offsets[1:]] - after[offsets[:-1]]).astype(np.int64)
 
     def _learn(self, pieces: set[str]) -> None:
         young, old = self.young, self.old
@@ -204,11 +223,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             return pa.RecordBatch.from_pylist([row], schema=_chunk_schema())
 
         for batch in batches:
-            for part in slices(batch, 1):
-                coded, n = pieces.encode(part.column(1))
+            for part in slices(batch, 1, 6_000_000):
+                coded, n = pieces.encode(part.column(1), end_id)
                 ids += part.column(0).to_pylist()
-                parts.append(np.insert(coded, np.cumsum(n), end_id) if end_id is not None else coded)
-                lengths.append(n + (end_id is not None))
+                parts.append(coded)
+                lengths.append(n)
                 size += len(parts[-1])
                 if size >= CHUNK_IDS:
                     yield flush()
