@@ -30,3 +30,8 @@ from kindred.llm.superkmer_dedup import op5_superkmer_dedup  # noqa: E402
 
 QUERIES["op3_suffix_dedup"] = op3_suffix_dedup
 QUERIES["op5_superkmer_dedup"] = op5_superkmer_dedup
+from kindred.llm.decontamination import op6_decontamination  # noqa: E402
+from kindred.llm.language_id import op8_language_id  # noqa: E402
+
+QUERIES["op6_decontamination"] = op6_decontamination
+QUERIES["op8_language_id"] = op8_language_id
