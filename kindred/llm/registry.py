@@ -35,3 +35,6 @@ from kindred.llm.language_id import op8_language_id  # noqa: E402
 
 QUERIES["op6_decontamination"] = op6_decontamination
 QUERIES["op8_language_id"] = op8_language_id
+from kindred.llm.source_mixing import op1_source_mixing  # noqa: E402
+
+QUERIES["op1_source_mixing"] = op1_source_mixing
