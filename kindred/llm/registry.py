@@ -38,3 +38,6 @@ QUERIES["op8_language_id"] = op8_language_id
 from kindred.llm.source_mixing import op1_source_mixing  # noqa: E402
 
 QUERIES["op1_source_mixing"] = op1_source_mixing
+from kindred.llm.line_dedup import op10_line_dedup  # noqa: E402
+
+QUERIES["op10_line_dedup"] = op10_line_dedup
