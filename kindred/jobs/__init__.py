@@ -1,5 +1,6 @@
 """Registered queries with their SQL."""
 
+from kindred.jobs import corpus, similarity, texts
 from kindred.jobs.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "corpus", "similarity", "texts"]
