@@ -54,7 +54,7 @@ def encode_words(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.nd
     step, choice = np.ones(n, np.int32), np.zeros(n, np.int8)
     # What fits a selector of more ids fits all of fewer ids and more bits, so each looks at what is left.
     left = at
-    over = np.zeros(n + 1, np.int32)
+    over, padded_bits = np.zeros(n + 1, np.int32), np.concatenate((bits, np.zeros(64, np.uint8)))
     top = int(bits.max())
     widest = max((s for s, (_, width) in enumerate(SELECTORS, 1) if width < top), default=0) + 1  # fits every id
     if widest <= len(SELECTORS):
@@ -62,9 +62,13 @@ def encode_words(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.nd
         step = np.minimum(last - at, np.int32(SELECTORS[widest - 1][0]))
     for s in range(min(widest - 1, len(SELECTORS)), 0, -1):
         count, width = SELECTORS[s - 1]
-        np.cumsum(bits > width, dtype=np.int32, out=over[1:])
         stop = np.minimum(left + np.int32(count), last[left])
-        fits = over[stop] == over[left]
+        if len(left) * count < n:  # few places are left: look at them alone
+            near = left[:, None] + np.arange(count, dtype=np.int32)
+            fits = ~((padded_bits[near] > width) & (near < stop[:, None])).any(axis=1)
+        else:
+            np.cumsum(bits > width, dtype=np.int32, out=over[1:])
+            fits = over[stop] == over[left]
         left = left[fits]
         if not len(left):
             break
@@ -155,7 +159,9 @@ class Pieces:
             texts = pc.ascii_lower(texts)
         split = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "\n", " "), "\t", " "), " ")
         pieces = split.flatten().dictionary_encode()
-        distinct, which = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
+        # One string of all pieces, cut again: much faster than a Python object for each. None has a line end.
+        all_of = pa.ListArray.from_arrays(pa.array([0, len(pieces.dictionary)], pa.int32()), pieces.dictionary)
+        distinct, which = pc.binary_join(all_of, "\n")[0].as_py().split("\n"), pieces.indices.to_numpy()
         coded = list(map(self.young.get, distinct))
         if None in coded:
             self._learn({p for p, ids in zip(distinct, coded) if ids is None})
@@ -202,7 +208,7 @@ def pieces_of(path: str, most: int) -> Pieces:
     return _PIECES[path]
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = END_ID, block: int = BLOCK, cache: int = 400_000) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = END_ID, block: int = BLOCK, cache: int = 300_000) -> None:
     """Encode every text, end_id after each, and write the coded ids in ascending doc_id order.
 
     A null text is empty; null doc_ids come first; rows with the same doc_id follow by text. The
@@ -223,7 +229,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             return pa.RecordBatch.from_pylist([row], schema=_chunk_schema())
 
         for batch in batches:
-            for part in slices(batch, 1, 6_000_000):
+            for part in slices(batch, 1, 4_000_000):
                 coded, n = pieces.encode(part.column(1), end_id)
                 ids += part.column(0).to_pylist()
                 parts.append(coded)
