@@ -84,8 +84,9 @@ def sections(x: str | Column) -> Column:
     """Approaches of an article: index (stated or by place), uuid of the first playground, and text."""
     parts = F.split(_c(x), r"(?m)^#+\s*Approach(?=(?:\s+\d+)?\s*:)")
     bodies = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    number = lambda p: F.nullif(F.regexp_extract(p, r"^\s+(\d+)\s*:", 1), F.lit(""))
-    return F.transform(bodies, lambda p, i: F.struct(F.coalesce(number(p).cast("int"), i + 1).alias("index"), F.nullif(F.regexp_extract(p, "playground/([A-Za-z0-9]+)/shared", 1), F.lit("")).alias("uuid"), F.regexp_replace(p, r"^(\s+\d+)?\s*:", "").alias("text")))
+    filled = lambda x: F.when(x != "", x)
+    number = lambda p: filled(F.regexp_extract(p, r"^\s+(\d+)\s*:", 1))
+    return F.transform(bodies, lambda p, i: F.struct(F.coalesce(number(p).cast("int"), i + 1).alias("index"), filled(F.regexp_extract(p, "playground/([A-Za-z0-9]+)/shared", 1)).alias("uuid"), F.regexp_replace(p, r"^(\s+\d+)?\s*:", "").alias("text")))
 
 
 def recommended(x: str | Column) -> Column:
