@@ -121,3 +121,47 @@ def truncated(x: str | Column, most: int = 200) -> Column:
 
 def visitor_key(ip: str | Column, salt: str) -> Column:
     return F.concat(F.lit("visitor:"), F.sha2(F.concat(_c(ip), F.lit(salt)), 256))
+
+
+def best_approach(article: str | Column) -> Column:
+    """The approach to take: the first recommended one if it has a playground, else the one of least complexity that has one, else the last that has one."""
+    parts = sections(article)
+    withid = F.filter(parts, lambda a: a["uuid"].isNotNull())
+    first = F.get(recommended(article), F.lit(0))
+    named = F.filter(parts, lambda a: a["index"] == first)
+    chosen = F.get(named, F.size(named) - 1)  # of approaches with the same number the last counts
+    costs = F.filter(F.transform(withid, lambda a, i: F.struct(complexity_rank(a["text"]).alias("r"), i.alias("i"))), lambda x: x["r"].isNotNull())
+    least = F.get(withid, F.array_min(costs)["i"])
+    return F.coalesce(F.when(chosen["uuid"].isNotNull(), chosen), least, F.get(withid, F.size(withid) - 1))
+
+
+def fenced_code(x: str | Column) -> Column:
+    """The body of the first fenced block, else the whole text."""
+    body = F.regexp_extract(_c(x), r"(?s)```(?:python)?\s*\n(.*?)```", 1)
+    return F.when(body != "", body).otherwise(_c(x))
+
+
+def normalized_escapes(x: str | Column) -> Column:
+    """Literal escape sequences made real where they are over twice as many as line ends."""
+    t = _c(x)
+    literal = (F.length(t) - F.length(F.replace(t, F.lit("\\n"), F.lit("")))) / 2
+    real = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    out = t
+    for a, b in (("\\r\\n", "\n"), ("\\n", "\n"), ("\\t", "\t"), ("\\'", "'"), ('\\"', '"'), ("\\\\", "\\")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.when(literal > 2 * real, out).otherwise(t)
+
+
+def signature_bag(stub: str | Column, method: str | Column) -> Column:
+    """The bag of a method's signature as sorted tokens: arg:T for every name in an argument's type, ret:T for the result's, nargs:n. Null if the stub has no such method."""
+    head = F.call_function("regexp_extract", _c(stub), F.concat(F.lit(r"(?s)def\s+"), _c(method), F.lit(r"\s*\((.*?)\)\s*(?:->[^:]*)?:")), F.lit(1))
+    found = F.rlike(_c(stub), F.concat(F.lit(r"def\s+"), _c(method), F.lit(r"\s*\(")))
+    result = F.call_function("regexp_extract", _c(stub), F.concat(F.lit(r"(?s)def\s+"), _c(method), F.lit(r"\s*\(.*?\)\s*->\s*([^:]*):")), F.lit(1))
+    flat = head
+    for _ in range(4):  # brackets from the inside out, so that only commas between arguments are left
+        flat = F.regexp_replace(flat, r"\[([^\[\],]*)[,]?([^\[\]]*)\]", " $1 $2 ")
+    args = F.filter(F.transform(F.split(flat, ","), lambda a: F.trim(a)), lambda a: (a != "") & (a != "self"))
+    names = lambda t: F.regexp_extract_all(t, F.lit(r"([A-Za-z_][A-Za-z_0-9]*)"), F.lit(1))
+    of_args = F.flatten(F.transform(args, lambda a: F.transform(names(F.regexp_extract(a, r"(?s)^[^:]*:(.*)$", 1)), lambda t: F.concat(F.lit("arg:"), t))))
+    bag = F.concat(of_args, F.transform(names(result), lambda t: F.concat(F.lit("ret:"), t)), F.array(F.concat(F.lit("nargs:"), F.size(args).cast("string"))))
+    return F.when(found, F.array_sort(bag))

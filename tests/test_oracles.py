@@ -15,9 +15,10 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def plain(v):
     if isinstance(v, (list, np.ndarray)):
         return tuple(plain(x) for x in v)
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return None
-    return v.item() if isinstance(v, np.generic) else v
+    v = v.item() if isinstance(v, np.generic) else v
+    return int(v) if isinstance(v, float) and v.is_integer() else v  # integers with nulls come as floats
 
 
 def rows(df: pd.DataFrame) -> list:
