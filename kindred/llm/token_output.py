@@ -116,11 +116,16 @@ def decode_words(words: np.ndarray, blocks: np.ndarray, raw: np.ndarray, n: int,
     for s, (count, width) in enumerate(SELECTORS, 1):
         mine = np.flatnonzero(selector == s)
         if len(mine):
-            lanes = np.arange(count)
-            got = (words[place[mine]][:, None] >> (lanes * width).astype(np.uint64)) & np.uint64((1 << width) - 1)
-            to = starts[mine][:, None] + lanes
-            kept = to < stop[mine][:, None]
-            out[to[kept]] = got[kept]
+            to, word, room = starts[mine], words[place[mine]], stop[mine] - starts[mine]
+            for lane in range(count):
+                if lane:
+                    word = word >> np.uint64(width)
+                    if lane >= least_room:  # the last word of a block may hold fewer
+                        full = room > lane
+                        to, word, room = to[full], word[full], room[full]
+                else:
+                    least_room = room.min()
+                out[to + lane] = word & np.uint64((1 << width) - 1)
     mine = np.flatnonzero(selector == 0)
     out[starts[mine]] = words[place[mine] + 1]
     return out[:n]
@@ -208,7 +213,7 @@ def pieces_of(path: str, most: int) -> Pieces:
     return _PIECES[path]
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = END_ID, block: int = BLOCK, cache: int = 300_000) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = END_ID, block: int = BLOCK, cache: int = 450_000) -> None:
     """Encode every text, end_id after each, and write the coded ids in ascending doc_id order.
 
     A null text is empty; null doc_ids come first; rows with the same doc_id follow by text. The
@@ -229,7 +234,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             return pa.RecordBatch.from_pylist([row], schema=_chunk_schema())
 
         for batch in batches:
-            for part in slices(batch, 1, 4_000_000):
+            for part in slices(batch, 1, 6_000_000):
                 coded, n = pieces.encode(part.column(1), end_id)
                 ids += part.column(0).to_pylist()
                 parts.append(coded)
