@@ -284,12 +284,12 @@ def q_sweep(spark, sf_dir):
     return ev.metrics(ev.hits_by_query(neighbours(spark, sf_dir, max(KS)), truth(spark, sf_dir), KS))
 
 
-@query("group_recall", f"WITH {SQL_RANKED}, per AS (SELECT q, ql, max((cl = ql)::INT) AS hit FROM ranked WHERE rank <= 5 GROUP BY ALL), g AS (SELECT ql::VARCHAR AS grp, count(*) AS size, round(avg(hit), 9) AS hit_rate FROM per GROUP BY ql) SELECT * FROM g UNION ALL SELECT 'AVERAGE', sum(size)::BIGINT, round(avg(hit_rate), 9) FROM g")
+@query("group_recall", f"WITH {SQL_RANKED}, per AS (SELECT q, ql, max((cl = ql)::INT) AS hit FROM ranked WHERE rank <= 5 GROUP BY ALL), g AS (SELECT ql::VARCHAR AS grp, count(*) AS size, round(avg(hit), 9) AS hit_rate FROM per GROUP BY ql) SELECT * FROM g UNION ALL SELECT 'AVERAGE', sum(size)::BIGINT, round(avg(hit_rate), 12) FROM g")
 def q_groups(spark, sf_dir):
     label = vectors(spark, sf_dir).select("id", "label")
     near = neighbours(spark, sf_dir, 5).join(label.select(F.col("id").alias("q"), F.col("label").alias("ql")), "q").join(label.select(F.col("id").alias("c"), F.col("label").alias("cl")), "c")
     g = near.groupBy("q", "ql").agg(F.max((F.col("ql") == F.col("cl")).cast("int")).alias("hit")).groupBy(F.col("ql").cast("string").alias("grp")).agg(F.count("*").alias("size"), F.round(F.avg("hit"), 9).alias("hit_rate"))
-    return g.unionByName(g.agg(F.lit("AVERAGE").alias("grp"), F.sum("size").alias("size"), F.round(F.avg("hit_rate"), 9).alias("hit_rate")))
+    return g.unionByName(g.agg(F.lit("AVERAGE").alias("grp"), F.sum("size").alias("size"), F.round(F.avg("hit_rate"), 12).alias("hit_rate")))
 
 
 @query("avg_rank", f"WITH {SQL_COS}, s AS (SELECT q, c, round(cosine, 2) AS score FROM cos) SELECT q, c, score, rank() OVER (PARTITION BY q ORDER BY score DESC) + (count(*) OVER (PARTITION BY q, score) - 1) / 2.0::DOUBLE AS avg_rank FROM s")
@@ -361,17 +361,17 @@ def q_purity(spark, sf_dir):
     return g.crossJoin(F.broadcast(total)).select("label", "size", F.round("purity", 7).alias("purity"), F.round(F.col("a") / F.col("b"), 7).alias("weighted"))
 
 
-@query("verdict_stats", f"WITH {SQL_COS} SELECT (ql = cl) AS verdict, count(*) AS n, round(avg(cosine), 9) AS mean, round(median(cosine), 9) AS median FROM cos GROUP BY ALL")
+@query("verdict_stats", f"WITH {SQL_COS} SELECT (ql = cl) AS verdict, count(*) AS n, round(avg(cosine), 9) AS mean, round(median(cosine), 12) AS median FROM cos GROUP BY ALL")
 def q_verdicts(spark, sf_dir):
     label = vectors(spark, sf_dir).select("id", "label")
     s = cosines(spark, sf_dir).withColumn("cosine", F.round("cosine", 9)).join(label.select(F.col("id").alias("q"), F.col("label").alias("ql")), "q").join(label.select(F.col("id").alias("c"), F.col("label").alias("cl")), "c")
-    return s.groupBy((F.col("ql") == F.col("cl")).alias("verdict")).agg(F.count("*").alias("n"), F.round(F.avg("cosine"), 9).alias("mean"), F.round(F.median("cosine"), 9).alias("median"))
+    return s.groupBy((F.col("ql") == F.col("cl")).alias("verdict")).agg(F.count("*").alias("n"), F.round(F.avg("cosine"), 9).alias("mean"), F.round(F.median("cosine"), 12).alias("median"))
 
 
-@query("score_percentiles", f"WITH {SQL_COS} SELECT ql AS label, round(quantile_cont(cosine, 0.1), 9) AS p10, round(quantile_cont(cosine, 0.25), 9) AS p25, round(quantile_cont(cosine, 0.75), 9) AS p75, min(cosine) AS low, max(cosine) AS high FROM cos GROUP BY ql")
+@query("score_percentiles", f"WITH {SQL_COS} SELECT ql AS label, round(quantile_cont(cosine, 0.1), 12) AS p10, round(quantile_cont(cosine, 0.25), 12) AS p25, round(quantile_cont(cosine, 0.75), 12) AS p75, min(cosine) AS low, max(cosine) AS high FROM cos GROUP BY ql")
 def q_percentiles(spark, sf_dir):
     label = vectors(spark, sf_dir).select(F.col("id").alias("q"), "label")
-    p = lambda x: F.round(F.percentile("cosine", F.lit(x)), 9)
+    p = lambda x: F.round(F.percentile("cosine", F.lit(x)), 12)
     return cosines(spark, sf_dir).withColumn("cosine", F.round("cosine", 9)).join(label, "q").groupBy("label").agg(p(0.1).alias("p10"), p(0.25).alias("p25"), p(0.75).alias("p75"), F.min("cosine").alias("low"), F.max("cosine").alias("high"))
 
 
