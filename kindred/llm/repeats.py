@@ -65,6 +65,10 @@ class Finder:
     def passages(self, state: object, again: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
         raise NotImplementedError
 
+    #: what a batch keeps of what it settled
+    def own(self, settled: np.ndarray) -> dict[str, np.ndarray]:
+        return {"spans": _sorted_spans(settled)}
+
     #: spans (place of the document in its batch, start, stop) and the batch that each belongs to
     def repeats(self, rows: list[dict[str, np.ndarray]], batches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raise NotImplementedError
@@ -100,6 +104,36 @@ def removed_spans(docs: DataFrame, finder: Finder, apply: Callable[[int, bytes,
 
     docs has doc_id and text. Nulls: a null text is empty, a null doc_id comes before all others.
     """
+    dealt, read, lowest, c = _carried(docs, finder, batch_bytes, hot_count)
+
+    def step_d(t: pa.Table) -> pa.Table:
+        if t.column("key")[0].as_py() < 0:
+            return t.select(["key", "batch", "data"])
+        batches = t.column("batch").to_numpy()
+        spans, owner = finder.repeats([unpack(x) for x in t.column("data").to_pylist()], batches)
+        parts = list(_by(owner))
+        return _out(np.full(len(parts), t.column("key")[0].as_py()), np.array([k for k, _ in parts]), [pack(spans=_sorted_spans(spans[p])) for _, p in parts])
+
+    def step_e(text: pa.Table, told: pa.Table) -> pa.Table:
+        ids, texts = read(text)
+        spans = [unpack(x)["spans"] for x in told.column("data").to_pylist()]
+        merged = _sorted_spans(np.concatenate(spans)) if spans else np.zeros((0, 3), np.int64)
+        rows, doc = [], merged[:, 0]  # a span's document is its place in the batch's order
+        for i, (d, x) in enumerate(zip(ids.tolist(), texts)):
+            a, b = np.searchsorted(doc, [i, i + 1])
+            rows.append(apply(None if d == lowest else d, x, merged[a:b, 1:]))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+
+    d = c.groupBy("key").applyInArrow(step_d, _DDL)
+    return dealt.groupBy("batch").cogroup(d.groupBy("batch")).applyInArrow(step_e, ddl)
+
+
+def carried_passages(docs: DataFrame, finder: Finder, batch_bytes: int = 4_000_000, hot_count: int = 50_000) -> DataFrame:
+    """Steps A to C: rows (key, batch, data) of packed passages by bucket; those with key < 0 hold what a batch settles on its own."""
+    return _carried(docs, finder, batch_bytes, hot_count)[3]
+
+
+def _carried(docs: DataFrame, finder: Finder, batch_bytes: int, hot_count: int) -> tuple[DataFrame, Callable, int, DataFrame]:
     n_batches = max(1, -(-text_bytes(docs) // batch_bytes))
     n_buckets = n_batches
     lowest = np.iinfo(np.int64).min
@@ -148,29 +182,10 @@ def removed_spans(docs: DataFrame, finder: Finder, apply: Callable[[int, bytes,
         data = [pack(**{name: v[p] for name, v in rows.items()}) for _, p in parts]
         if len(settled):  # these pass through to step E under a key of the batch's own
             keys.append(-1 - batch)
-            data.append(pack(spans=_sorted_spans(settled)))
+            data.append(pack(**finder.own(settled)))
         return _out(np.array(keys), np.full(len(keys), batch), data)
 
-    def step_d(t: pa.Table) -> pa.Table:
-        if t.column("key")[0].as_py() < 0:
-            return t.select(["key", "batch", "data"])
-        batches = t.column("batch").to_numpy()
-        spans, owner = finder.repeats([unpack(x) for x in t.column("data").to_pylist()], batches)
-        parts = list(_by(owner))
-        return _out(np.full(len(parts), t.column("key")[0].as_py()), np.array([k for k, _ in parts]), [pack(spans=_sorted_spans(spans[p])) for _, p in parts])
-
-    def step_e(text: pa.Table, told: pa.Table) -> pa.Table:
-        ids, texts = read(text)
-        spans = [unpack(x)["spans"] for x in told.column("data").to_pylist()]
-        merged = _sorted_spans(np.concatenate(spans)) if spans else np.zeros((0, 3), np.int64)
-        rows, doc = [], merged[:, 0]  # a span's document is its place in the batch's order
-        for i, (d, x) in enumerate(zip(ids.tolist(), texts)):
-            a, b = np.searchsorted(doc, [i, i + 1])
-            rows.append(apply(None if d == lowest else d, x, merged[a:b, 1:]))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
-
     a = dealt.groupBy("batch").applyInArrow(step_a, _DDL)
     b = a.groupBy("key").applyInArrow(step_b, _DDL)
     c = dealt.groupBy("batch").cogroup(b.groupBy("batch")).applyInArrow(step_c, _DDL)
-    d = c.groupBy("key").applyInArrow(step_d, _DDL)
-    return dealt.groupBy("batch").cogroup(d.groupBy("batch")).applyInArrow(step_e, ddl)
+    return dealt, read, lowest, c

@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.repeats import Finder, mixed, removed_spans, window_minima
+from kindred.llm.common import unpack, written
+from kindred.llm.repeats import Finder, carried_passages, mixed, removed_spans, window_minima
 
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 
@@ -207,6 +208,66 @@ def remove_repeats(docs: DataFrame, length: int = 100, **options) -> DataFrame:
     return removed_spans(docs, ByteFinder(length), apply, _KEPT, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary", **options)
 
 
+class GroupFinder(ByteFinder):
+    """Keeps every occurrence of a passage, by the passage's hash."""
+
+    def passages(self, state, again, hot):
+        ids, buffer, base, at, first, last, doc = state
+        to, rows, _ = super().passages(state, again, hot)
+        members = []
+        for i in np.flatnonzero(again | hot).tolist():
+            for s, e in [(p, p) for p in range(first[i], last[i] + 1)] if hot[i] else [(first[i], last[i])]:
+                members.append((*_passage(int(at[i] - s), buffer[s : e + self.length]), ids[doc[i]], at[i] - base[doc[i]]))
+        return to, rows, np.array(members, np.int64).reshape(-1, 4)
+
+    def own(self, settled):
+        return {"members": settled}
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _passage(left: int, x: bytes) -> tuple[int, int]:
+    h = xxhash.xxh3_128_intdigest(left.to_bytes(4, "little") + x)
+    return _signed(h >> 64), _signed(h & (1 << 64) - 1)
+
+
+def repeat_groups(docs: DataFrame, length: int = 100, **options) -> DataFrame:
+    """Groups of repeats of ``length`` bytes or more with all their occurrences: repeat (the group), n_bytes, doc_id, start.
+
+    A group is maximal among the passages that its anchor carries: no byte before or after is
+    shared by all its occurrences there. Occurrences come from a join of the groups' passages with
+    all places of a passage, which no task holds together.
+    """
+    finder = GroupFinder(length)
+    c = written(carried_passages(docs, finder, **options), "passages")
+
+    def members(t: pa.Table) -> pa.Table:
+        m = np.concatenate([unpack(x)["members"] for x in t.column("data").to_pylist()])
+        return pa.Table.from_arrays([pa.array(m[:, i]) for i in range(4)], ["high", "low", "doc_id", "anchor"])
+
+    def groups(t: pa.Table) -> pa.Table:
+        rows = [unpack(x) for x in t.column("data").to_pylist()]
+        same = list(dict.fromkeys((int(n), x) for r in rows for n, x in zip(r["left"], r["x"])))
+        out = []
+        for who, left, right in maximal_repeats([x[:n][::-1] for n, x in same], [x[n:] for n, x in same], length, finder.k):
+            n, x = same[who[0]]
+            name = _signed(xxhash.xxh64_intdigest(x[n - left : n + right]))
+            out += [(name, left, right, *_passage(*same[i])) for i in who.tolist()]
+        for n, x in same:  # a passage that occurs again as a whole
+            out.append((_signed(xxhash.xxh64_intdigest(x)), n, len(x) - n, *_passage(n, x)))
+        columns = list(zip(*out)) or [()] * 5
+        return pa.Table.from_arrays([pa.array(v, pa.int64()) for v in columns], ["repeat", "left", "right", "high", "low"])
+
+    places = c.where("key < 0").groupBy("key").applyInArrow(members, "high long, low long, doc_id long, anchor long")
+    found = c.where("key >= 0").groupBy("key").applyInArrow(groups, "repeat long, left long, right long, high long, low long").distinct()
+    every = found.join(places, ["high", "low"]).select("repeat", (F.col("left") + F.col("right")).alias("n_bytes"), "doc_id", (F.col("anchor") - F.col("left")).alias("start")).distinct()
+    again = every.groupBy("repeat", "n_bytes").count().where("count > 1").select("repeat", "n_bytes")
+    lowest = F.lit(int(np.iinfo(np.int64).min))
+    return every.join(again, ["repeat", "n_bytes"], "left_semi").withColumn("doc_id", F.nullif("doc_id", lowest))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.registry import table
 

@@ -119,6 +119,29 @@ def test_suffix_dedup(docs, rows, options):
     assert sorted(found, key=str) == removed_bytes(part, 100)
 
 
+@pytest.mark.parametrize("options", [{}, SMALL])
+def test_repeat_groups(docs, rows, options):
+    """Each group is one string with all its places, and together they cover every repeated window."""
+    texts, part = {}, docs.where("doc_id < 50 AND doc_id <> 7")
+    for d, t in rows:
+        if d is not None and d < 50 and d != 7:
+            texts[d] = (t or "").encode()
+    groups = {}
+    for r in suffix_dedup.repeat_groups(part, **options).collect():
+        groups.setdefault((r["repeat"], r.n_bytes), []).append((r.doc_id, r.start))
+    covered = set()
+    for (_, n), places in groups.items():
+        assert n >= 100 and len(places) > 1 and len({texts[d][s : s + n] for d, s in places}) == 1
+        covered |= {(d, s + i) for d, s in places for i in range(n - 99)}
+    windows = {}
+    for d, t in texts.items():
+        for i in range(len(t) - 99):
+            windows.setdefault(t[i : i + 100], []).append((d, i))
+    assert covered == {p for places in windows.values() if len(places) > 1 for p in places}
+    x = max(groups.values(), key=len)
+    assert len(x) >= 3
+
+
 def test_maximal_repeats_are_maximal():
     text = b"#".join([b"abcdefgh" * 4 + b"XY", b"q" + b"abcdefgh" * 4 + b"XZ", b"r" + b"abcdefgh" * 4 + b"W"])
     places = [m.start() for m in re.finditer(b"abcd", text)]
