@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.functions import code
 from kindred.functions import text as tx
 from kindred.jobs.registry import query, table
 from kindred.operators.sampling import stratified
@@ -84,6 +85,39 @@ def signature_bag(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", stub().alias("stub")).select("p_partkey", tx.signature_bag("stub", F.lit("work")).alias("bag"))
 
 
+#: One function of every kind, named by the row; the last does not parse.
+PROGRAMS = [
+    "def {n}(nums, target):\n    lo, hi = 0, len(nums)\n    while lo < hi:\n        mid = (lo + hi) // 2\n        if nums[mid] < target:\n            lo = mid + 1\n        else:\n            hi = mid\n    return lo\n",
+    "def {n}(s):\n    a, b = 0, len(s) - 1\n    while a < b:\n        if s[a] != s[b]:\n            return False\n        a += 1\n        b -= 1\n    return True\n",
+    "def {n}(k):\n    if k < 2:\n        return k\n    return {n}(k - 1) + {n}(k - 2)\n",
+    "def {n}(grid):\n    total = 0\n    for row in grid:\n        for x in row:\n            total += x\n    return total\n",
+    "def {n}(:\n    return\n",
+]
+
+
+def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("f"), F.col("p_partkey").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.replace(F.get(F.array(*map(F.lit, PROGRAMS)), (F.col("p_partkey") % 5).cast("int")), F.lit("{n}"), name).alias("code"))
+
+
+@query("code_features", """SELECT p_partkey, CASE WHEN p_partkey % 5 < 4 THEN TRUE END AS usable, CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN 2 END::INT AS n_loops, CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN 2 END::INT AS nesting,
+    CASE WHEN p_partkey % 5 < 4 THEN p_partkey % 5 = 2 END AS recursive, CASE WHEN p_partkey % 5 < 4 THEN p_partkey % 5 = 1 END AS early_exit, CASE p_partkey % 5 WHEN 0 THEN 'binary_search' WHEN 1 THEN 'two_pointers' WHEN 4 THEN NULL ELSE '' END AS motifs FROM part""")
+def q_features(spark, sf_dir):
+    return programs(spark, sf_dir).select("p_partkey", code.code_features("code").alias("x")).select("p_partkey", "x.usable", "x.n_loops", "x.nesting", "x.recursive", "x.early_exit", F.array_join("x.motifs", ",").alias("motifs"))
+
+
+@query("anonymize_code", "SELECT p_partkey % 5 AS kind, count(*) AS n, count(DISTINCT CASE WHEN p_partkey % 5 IN (2, 4) THEN p_partkey END) + (p_partkey % 5 NOT IN (2, 4))::INT AS n_texts FROM part GROUP BY p_partkey % 5")
+def q_anonymize(spark, sf_dir):
+    """Functions that differ by name alone become one text; a call keeps its name, so recursion shows, and what does not parse stays as it is."""
+    rows = programs(spark, sf_dir).select((F.col("p_partkey") % 5).alias("kind"), code.anonymized_code("code").alias("text"))
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("text").alias("n_texts"))
+
+
+@query("motif_counts", "SELECT CASE p_partkey % 5 WHEN 0 THEN 'binary_search' ELSE 'two_pointers' END AS motif, count(*) AS n FROM part WHERE p_partkey % 5 < 2 GROUP BY ALL")
+def motif_counts(spark, sf_dir):
+    return programs(spark, sf_dir).select(F.explode(code.code_features("code")["motifs"]).alias("motif")).groupBy("motif").agg(F.count("*").alias("n"))
+
+
 @query("stratified_sample")
 def stratified_sample(spark, sf_dir):
     """Orders by the ship year of their lines, ten for each year, rarest first. Rows only: the greedy order is no SQL."""

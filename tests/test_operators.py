@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kindred.functions import code as cd
 from kindred.functions import text as tx
 from kindred.operators import corpus, evaluation, sets
 from kindred.operators.vectors import cosine_scores, l2_normalized, ranked
@@ -168,3 +169,48 @@ def test_visits_stream(spark, sf_dir, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     newest = corpus.first_row(out.drop("epoch").withColumn("e", F.col("visit_count")), "visitor", F.desc("e")).drop("e")
     assert sorted(map(tuple, newest.select("visitor", "visit_count", "first_seen", "last_seen").collect())) == sorted(map(tuple, visits(events, "user_id", "ts", "s").collect()))
+
+
+def test_anonymized():
+    assert cd.anonymized("def f(a):\n    b = a\n    return b") == "def solve(v1):\n    v0 = v1\n    return v0"
+    assert cd.anonymized("def f(:") == "def f(:" and cd.anonymized(None) is None
+
+
+@pytest.mark.parametrize("source, found", [
+    ("while l <= r:\n    m = (l + r + 1) >> 1\n    if ok(m):\n        l = m\n    else:\n        r = m - 1", ["binary_search"]),
+    ("while l < r:\n    m = l + 1\n    l = m", []),
+    ("while i < j:\n    i += 1\n    j -= 1", ["two_pointers"]),
+    ("while i < j:\n    i += 1\n    j += 1", []),
+    ("while queue:\n    queue.pop()", []),
+])
+def test_motifs(source, found):
+    assert cd.features(source)["motifs"] == found
+
+
+def test_features():
+    closed = cd.features("def f(n):\n    return n * (n + 1) // 2")
+    assert (closed["usable"], closed["n_loops"], closed["nesting"], closed["recursive"]) == (True, 0, 0, False)
+    assert cd.features("x = 1")["usable"] is False and cd.features("def f(:") is None
+
+
+@pytest.mark.parametrize("raw, expected", [(r"a\nb\nc", "a\nb\nc"), ("a\nb\nc", "a\nb\nc"), (r"say \"x\"\n\n", 'say "x"\n\n'), ("plain", "plain")])
+def test_escapes(spark, raw, expected):
+    assert one(spark, raw, tx.normalized_escapes("x")) == expected
+
+
+@pytest.mark.parametrize("stub, bag", [
+    ("class Solution:\n    def go(self, a: Optional[List[int]]) -> int:\n        ", ["arg:List", "arg:Optional", "arg:int", "nargs:1", "ret:int"]),
+    ("def go():", ["nargs:0"]),
+    ("def other(a: int):", None),
+])
+def test_signatures(spark, stub, bag):
+    assert one(spark, stub, tx.signature_bag("x", F.lit("go"))) == bag
+
+
+def test_stratified(spark):
+    from kindred.operators.sampling import banded, stratified
+
+    tags = spark.createDataFrame([(i, "common") for i in range(20)] + [(1, "rare"), (2, "rare"), (3, "some"), (1, "some"), (4, "some")], "id long, tag string")
+    got = [(r.id, r.tag) for r in stratified(tags, 2).collect()]
+    assert len({i for i, _ in got}) == len(got) == 6 and {i for i, t in got if t == "rare"} == {1, 2} and {i for i, t in got if t == "some"} == {3, 4}
+    assert banded(tags, "tag", 2, "id").groupBy("tag").count().where("count <> 2").count() == 0
