@@ -82,8 +82,7 @@ class Items:
             index = self.index[size] = defaultdict(list)
             for i, (_, _, fp) in enumerate(rows):
                 for block in range(8):
-                    for flip in _NEAR:
-                        index[block, fp >> 8 * block & 255 ^ flip].append(i)
+                    index[block, fp >> 8 * block & 255].append(i)
         self.known = {k: np.unique(np.concatenate(v)) for k, v in seen.items()}
         self.filters = {}
         for k, v in self.known.items():
@@ -126,7 +125,7 @@ class Items:
                 prints = window_prints(own[lo:hi], m)
                 for s in starts.tolist():
                     fp = int(prints[s])
-                    near = {i for block in range(8) for i in index.get((block, fp >> 8 * block & 255), ())}
+                    near = {i for block in range(8) for flip in _NEAR for i in index.get((block, fp >> 8 * block & 255 ^ flip), ())}
                     window = None
                     for i in near:
                         item_id, counts, item_fp = rows[i]
@@ -142,7 +141,7 @@ class Items:
             yield item_id, start, n, distance, similarity
 
 
-def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, part_bytes: int = 16_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, part_bytes: int = 4_000_000) -> DataFrame:
     """doc_id, item_id and the best window: first_word, n_words, distance and similarity."""
     spark = docs.sparkSession
     items = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), F.col("text").cast("string"))

@@ -120,24 +120,22 @@ def coverings(radius: int, blocks: int) -> list[Covering]:
 
 
 def _forest(prints: np.ndarray, home: np.ndarray, radius: int, rows: int = 512) -> list[tuple[int, int]]:
-    """A spanning forest of the links between those at home and all others of a group."""
-    parent = list(range(len(prints)))
+    """A spanning forest of the links between those at home and all others of a group.
 
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    out = []
+    Time grows with homes times prints, in blocks of rows; links that join nothing new cost no
+    Python object, so a group of very many near copies takes no more than one of strangers.
+    """
+    label, out = np.arange(len(prints)), []
     homes = np.flatnonzero(home)
     for at in range(0, len(homes), rows):
         part = homes[at : at + rows]
         near = np.bitwise_count(prints[part][:, None] ^ prints[None, :]) <= radius
-        for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
-            a, b = find(int(part[i])), find(j)
-            if a != b:
-                parent[a] = b
-                out.append((int(part[i]), j))
+        for k in np.flatnonzero(near.sum(axis=1) > 1).tolist():
+            i, linked = part[k], np.flatnonzero(near[k])
+            apart = linked[label[linked] != label[i]]
+            for root, first in zip(*np.unique(label[apart], return_index=True)) if len(apart) else ():
+                out.append((int(i), int(apart[first])))
+                label[label == root] = label[i]
     return out
 
 
