@@ -259,12 +259,13 @@ SQL_ALPHAS = SQL_BLEND + f""", {SQL_TRUTH}, alphas AS (SELECT unnest([0.25, 0.5,
 
 @query("alpha_sweep", SQL_ALPHAS)
 def q_alphas(spark, sf_dir):
-    scores, gt, out = blended(spark, sf_dir), truth(spark, sf_dir), None
-    for a in (0.25, 0.5, 0.75):
-        best = ranked(scores.withColumn("score", a * F.col("cosine") + (1 - a) * F.col("tag_score")), "score", K, places=BLEND_PLACES)
-        one = ev.metrics(ev.hits_by_query(best, gt, [K])).select(F.lit(a).alias("alpha"), "n_queries", "hit_rate", "recall", "pooled_recall")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """One ranking for every weight, over scores that are made once."""
+    alphas, gt = F.explode(F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("k"), truth(spark, sf_dir)
+    scores = blended(spark, sf_dir).select("q", "c", "cosine", "tag_score", alphas)
+    best = ranked(scores.withColumn("score", F.col("k") * F.col("cosine") + (1 - F.col("k")) * F.col("tag_score")), "score", K, by=["k", "q"], places=BLEND_PLACES)
+    hits = best.join(gt.withColumnRenamed("t", "c"), ["q", "c"], "left_semi").groupBy("k", "q").agg(F.count("*").alias("hits"))
+    per = gt.groupBy("q").agg(F.count("*").alias("relevant")).select("q", "relevant", alphas).join(hits, ["k", "q"], "left").na.fill(0, ["hits"])
+    return ev.metrics(per).withColumnRenamed("k", "alpha")
 
 
 SQL_METRICS = "round(avg((hits > 0)::INT), 9) AS hit_rate, round(avg(hits / relevant), 9) AS recall, round(sum(hits) / sum(relevant), 9)::DOUBLE AS pooled_recall"
