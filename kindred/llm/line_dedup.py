@@ -48,6 +48,21 @@ def _ranked(df: DataFrame, key: list[Column], name: str) -> DataFrame:
     return df.join(ranks, keys).drop(*keys)
 
 
+def first_ranks(lines: DataFrame) -> DataFrame:
+    """Lines that occur again, with rank (the order of their ids) and last_line."""
+    return written(_ranked(lines, [F.col("id")], "rank").drop("id").dropDuplicates(["_row", "seq"]).withColumn("last_line", F.col("line_no")), "suffixes")
+
+
+def longer_ranks(now: DataFrame, step: int) -> DataFrame:
+    """A round: the ranks of runs that are ``step`` lines longer, of those that occur again.
+
+    seq counts all lines with a word, so a run goes on only if the line ``step`` later is still here.
+    """
+    later = now.select(F.col("_row"), (F.col("seq") - step).alias("seq"), F.col("rank").alias("_next"), F.col("last_line"))
+    pairs = now.drop("last_line").withColumnRenamed("rank", "_first").join(later, ["_row", "seq"])
+    return written(_ranked(pairs, [F.col("_first"), F.col("_next")], "rank").drop("_first", "_next"), "suffixes")
+
+
 def repeated_runs(lines: DataFrame, least: int = 2) -> DataFrame:
     """lines that start a run of ``least`` lines which occurs again, with rank: the run's place in suffix order.
 
@@ -55,18 +70,28 @@ def repeated_runs(lines: DataFrame, least: int = 2) -> DataFrame:
     """
     if least < 2:
         raise ValueError("a run has two lines at least")
-    now = written(_ranked(lines, [F.col("id")], "rank").drop("id").dropDuplicates(["_row", "seq"]).withColumn("last_line", F.col("line_no")), "suffixes")
-    covered = 1
+    now, covered = first_ranks(lines), 1
     while covered < least:
         step = min(covered, least - covered)
-        # seq counts all lines with a word: the run goes on only if the line `step` later is still here.
-        later = now.select(F.col("_row"), (F.col("seq") - step).alias("seq"), F.col("rank").alias("_next"), F.col("last_line"))
-        pairs = now.drop("last_line").withColumnRenamed("rank", "_first").join(later, ["_row", "seq"])
-        now = written(_ranked(pairs, [F.col("_first"), F.col("_next")], "rank").drop("_first", "_next"), "suffixes")
-        covered += step
+        now, covered = longer_ranks(now, step), covered + step
     return now
 
 
+def interval_tree(docs: DataFrame, least: int = 2) -> DataFrame:
+    """The common-prefix intervals of the suffix array by depth: depth (in lines), rank, doc_id, first_line, last_line.
+
+    Depths are ``least`` and its doubles, until no run occurs again; rows of one depth and rank are
+    all occurrences of one run. What shares a rank at some depth is inside one interval of the
+    depth before.
+    """
+    now, depth, out = repeated_runs(numbered_lines(docs), least), least, None
+    while out is None or not now.isEmpty():
+        level = now.select(F.lit(depth).alias("depth"), "rank", "doc_id", F.col("line_no").alias("first_line"), "last_line")
+        out = level if out is None else out.unionByName(level)
+        now, depth = longer_ranks(now, depth), depth * 2
+    return out
+
+
 def duplicate_runs(docs: DataFrame, least: int = 2) -> DataFrame:
     """Later occurrences of repeated runs, merged: _row, doc_id, first_line, last_line (by text line) and n_lines."""
     runs = repeated_runs(numbered_lines(docs), least)

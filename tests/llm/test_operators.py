@@ -400,6 +400,21 @@ def test_line_dedup(docs, rows, least):
     assert sum(r[2] for r in result) > 0
 
 
+def test_interval_tree(docs, rows):
+    found, expected = {}, set()
+    for r in line_dedup.interval_tree(docs).collect():
+        found.setdefault((r.depth, r["rank"]), set()).add((r.doc_id, r.first_line, r.last_line))
+    for depth in (2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096):
+        windows = {}
+        for d, text in set(rows):
+            lines = [(i, x) for i, x in enumerate((text or "").split("\n")) if WORDS.search(x)]
+            for i in range(len(lines) - depth + 1):
+                windows.setdefault(tuple(x for _, x in lines[i : i + depth]), set()).add((d, text, lines[i][0], lines[i + depth - 1][0]))
+        expected |= {(depth, frozenset((d, a, b) for d, _, a, b in w)) for w in windows.values() if len(w) > 1}
+    got_ = {(depth, frozenset(w)) for (depth, _), w in found.items()}
+    assert {x for x in got_ if len(x[1]) > 1} == {x for x in expected if len(x[1]) > 1} and max(d for d, _ in got_) >= 256
+
+
 def test_line_dedup_of_nothing(no_docs):
     assert line_dedup.remove_repeated_lines(no_docs).count() == 0
 
