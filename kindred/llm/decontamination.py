@@ -8,8 +8,8 @@ fingerprints of 64 bits are compared through a multi-index: eight blocks of eigh
 each item every value within two bits in a block. Fingerprints within 23 bits agree within two
 bits in some block, so all of them are found. The weighted similarity of shingles then decides.
 
-Items are spread to all tasks in parts of at most ``part_bytes`` of text, one pass over the
-documents for each part. Defined cases: null texts have no words and match nothing; items without
+Items are spread to all tasks in parts of about ``part_bytes`` of text, since an item has some
+300 entries in the index; there is one pass over the documents for each part. Defined cases: null texts have no words and match nothing; items without
 words and with a null item_id are left out; an item of fewer words than a shingle is one shingle;
 repeated rows give one result; empty tables give no rows; other columns are not read.
 """
@@ -82,7 +82,8 @@ class Items:
             index = self.index[size] = defaultdict(list)
             for i, (_, _, fp) in enumerate(rows):
                 for block in range(8):
-                    index[block, fp >> 8 * block & 255].append(i)
+                    for flip in _NEAR:
+                        index[block, fp >> 8 * block & 255 ^ flip].append(i)
         self.known = {k: np.unique(np.concatenate(v)) for k, v in seen.items()}
         self.filters = {}
         for k, v in self.known.items():
@@ -125,7 +126,7 @@ class Items:
                 prints = window_prints(own[lo:hi], m)
                 for s in starts.tolist():
                     fp = int(prints[s])
-                    near = {i for block in range(8) for flip in _NEAR for i in index.get((block, fp >> 8 * block & 255 ^ flip), ())}
+                    near = {i for block in range(8) for i in index.get((block, fp >> 8 * block & 255), ())}
                     window = None
                     for i in near:
                         item_id, counts, item_fp = rows[i]
@@ -141,7 +142,7 @@ class Items:
             yield item_id, start, n, distance, similarity
 
 
-def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, part_bytes: int = 4_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, part_bytes: int = 500_000) -> DataFrame:
     """doc_id, item_id and the best window: first_word, n_words, distance and similarity."""
     spark = docs.sparkSession
     items = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), F.col("text").cast("string"))

@@ -223,7 +223,7 @@ def test_window_minima():
 # --- 6 ------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("part_bytes", [4_000_000, 300])
+@pytest.mark.parametrize("part_bytes", [500_000, 300])
 def test_decontamination(spark, part_bytes):
     items = [(i, prose(200 + i, 16 + 3 * i)) for i in range(9)] + [(20, "four words in all"), (21, ""), (22, None), (None, "x y z a b c")]
     flat = [" ".join(t.split()) if t else t for _, t in items]
