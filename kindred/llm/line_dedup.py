@@ -8,7 +8,9 @@ distinct pairs are range-partitioned and sorted, and the rank is partition and r
 suffixes that share their rank with another go into the next round. Suffixes that still share
 rank at a run of ``least`` lines are a longest-common-prefix interval of that depth or more: a
 maximal repeated run starts wherever the line before is not in such an interval with it. The first
-occurrence of an interval, by doc_id and line, stays; lines that later ones cover are deleted.
+occurrence of an interval, by doc_id and line, stays; lines that later ones cover are deleted. Runs
+start at one line: then every line that stood before is deleted, whatever its neighbours. A line in
+a later copy of a longer run stood before itself, so the deeper intervals delete nothing further.
 
 DataFrame functions only: joins and aggregates on ranks, with counts added up before the shuffle;
 a window runs only within a document. Hot lines make hot join keys, which adaptive execution
@@ -68,8 +70,8 @@ def repeated_runs(lines: DataFrame, least: int = 2) -> DataFrame:
 
     Each round doubles the length that ranks cover; the last one joins two overlapping runs.
     """
-    if least < 2:
-        raise ValueError("a run has two lines at least")
+    if least < 1:
+        raise ValueError("a run has one line at least")
     now, covered = first_ranks(lines), 1
     while covered < least:
         step = min(covered, least - covered)
@@ -92,19 +94,22 @@ def interval_tree(docs: DataFrame, least: int = 2) -> DataFrame:
     return out
 
 
-def duplicate_runs(docs: DataFrame, least: int = 2) -> DataFrame:
-    """Later occurrences of repeated runs, merged: _row, doc_id, first_line, last_line (by text line) and n_lines."""
+def duplicate_runs(docs: DataFrame, least: int = 1) -> DataFrame:
+    """Later occurrences of repeated runs, merged: _row, doc_id, first_line, last_line (by text line) and n_lines.
+
+    Single lines that follow each other are one run.
+    """
     runs = repeated_runs(numbered_lines(docs), least)
     place = F.struct("doc_id", "_row", "seq")
     first = runs.groupBy("rank").agg(F.min(place).alias("_first"))
     later = runs.join(first, "rank").where(place != F.col("_first")).select("_row", "doc_id", "seq", "line_no", "last_line")
     within = Window.partitionBy("_row").orderBy("seq")
-    new = F.coalesce(F.col("seq") - F.lag("seq").over(within) >= least, F.lit(True)).cast("int")
+    new = F.coalesce(F.col("seq") - F.lag("seq").over(within) >= max(least, 2), F.lit(True)).cast("int")
     island = later.withColumn("_new", new).withColumn("_run", F.sum("_new").over(within))
     return island.groupBy("_row", "doc_id", "_run").agg(F.min("line_no").alias("first_line"), F.max("last_line").alias("last_line"), (F.max("seq") - F.min("seq") + least).alias("n_lines"))
 
 
-def remove_repeated_lines(docs: DataFrame, least: int = 2) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, least: int = 1) -> DataFrame:
     """doc_id, n_lines (with a word), n_removed, n_runs and kept (the text without later copies of runs)."""
     runs = duplicate_runs(docs, least).groupBy("_row").agg(F.collect_list(F.struct("first_line", "last_line")).alias("_runs"), F.sum("n_lines").alias("n_removed"))
     texts = docs.select(row_key(), F.col("doc_id").cast("long").alias("doc_id"), F.split(whole_text(), "\n").alias("_lines"))
