@@ -1,7 +1,8 @@
 """Benchmark decontamination with item-sized SimHash windows.
 
 Texts and items are sequences of words (A-Z lowered, between white space), seen as multisets of
-five-word shingles. A window has as many words as the item it is compared with. For a weighted
+five-word shingles. A window has as many words as the item it is compared with; a text with fewer
+words is one window, and compared with all items of such a size that it can be similar to. For a weighted
 Jaccard similarity of ``least`` a window of m shingles must have 2 * least / (1 + least) * m of them
 in the benchmark, so only such windows get a fingerprint; this loses none. Window and item
 fingerprints of 64 bits are compared through a multi-index: eight blocks of eight bits, and for
@@ -112,6 +113,17 @@ class Items:
         # Runs of hits; a window that counts lies within reach of one.
         cuts = np.flatnonzero(np.diff(hits) > sizes[-1]) + 1
         best: dict[int, tuple[float, int, int, int]] = {}
+        whole = None
+        for m in sizes:
+            # A text with fewer shingles than the item is its one window.
+            if not m > len(own) >= least * m - 1e-9 or len(hits) < least / (1 + least) * (len(own) + m) - 1e-9:
+                continue
+            whole = whole or (Counter(own.tolist()), int(window_prints(own, len(own))[0]))
+            for item_id, counts, item_fp in self.by_size[k, m]:
+                both = sum(min(n, counts[h]) for h, n in whole[0].items() if h in counts)
+                similarity = both / (len(own) + m - both)
+                if similarity >= least and (item_id not in best or similarity > best[item_id][0]):
+                    best[item_id] = similarity, 0, len(own) + k - 1, (whole[1] ^ item_fp).bit_count()
         for run in np.split(hits, cuts):
             if len(run) < share * sizes[0] - 1e-9:
                 continue
