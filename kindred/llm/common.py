@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-kindred-")
         spark.conf.set("spark.checkpoint.dir", at)
@@ -50,6 +50,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def joined_apart(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with right, an aggregate by key (a long) with one row for each.
+
+    The join is on the key's complement, so that it has a shuffle of its own and does not take over
+    that of the aggregate: adaptive execution can then split the rows of a hot key among tasks.
+    """
+    other = right.select(F.bitwise_not(F.col(key)).alias("_not"), *(c for c in right.columns if c != key))
+    return left.withColumn("_not", F.bitwise_not(F.col(key))).join(other, "_not", how).drop("_not")
+
+
 def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

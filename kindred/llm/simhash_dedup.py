@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import slices, whole_text, written
+from kindred.llm.common import joined_apart, slices, whole_text, written
 from kindred.llm.components import components
 
 BITS = 64
@@ -184,7 +184,7 @@ def links(prints: DataFrame, radius: int = 4, blocks: int = 3, most: int = 20_00
     chunks = F.col("chunks")
     own = F.pmod(F.xxhash64("fingerprint"), chunks)
     pairs = F.when(chunks.isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda j: F.least(own, j) * chunks + F.greatest(own, j)))
-    dealt = visits.join(hot, "anchor", "left").select("anchor", F.explode(pairs).alias("pair"), "fingerprint", "home")
+    dealt = joined_apart(visits, hot, "anchor", "left").select("anchor", F.explode(pairs).alias("pair"), "fingerprint", "home")
     return dealt.repartition("anchor", "pair").sortWithinPartitions("anchor", "pair").mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
     roots = components(links(distinct, radius, blocks, most))
     grouped = distinct.join(roots, distinct.fingerprint == roots.node, "left").select("fingerprint", "doc_id", F.coalesce("root", "fingerprint").alias("root"))
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    ids = grouped.join(least, "root").select("fingerprint", "component_id")
+    ids = joined_apart(grouped, least, "root").select("fingerprint", "component_id")
     return prints.join(ids, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
