@@ -8,19 +8,21 @@ bitmask of languages in every slot, so that one probe of both returns all langua
 run. A text's languages are ranked by how many of its runs they hold, less what false positives
 add at the filter's fill.
 
-The filter has a fixed size (two tables of ``slots`` 64-bit masks), which bounds what the driver
-gathers and broadcasts. Defined cases: a text that is null or has no letter is ``und`` with score
-0, as is every text if there is nothing to learn from; ties go to the first language in order;
-more than 63 languages raise; repeated rows are predicted each; other columns are not read.
+The filter has a fixed size for each 63 languages (two tables of ``slots`` masks, a word for each
+63 languages), which bounds what the driver gathers and broadcasts. Defined cases: a text that is
+null or has no letter (Unicode's L) is ``und`` with score 0, as is every text if there is nothing to
+learn from; a text of one letter has runs with the spaces around it; ties, and texts of which no
+language holds a run, go to the first language in order; repeated rows are predicted each; other
+columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,14 +31,16 @@ from kindred.llm.repeats import mixed
 
 SLOTS = 1 << 20
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Languages in a word of a mask; the sign is left alone.
+WORD_LANGS = 63
+_LETTER = regex.compile(r"\p{L}")
 _NO_LETTER = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _SPACES = int.from_bytes(b"    ", "little")
 
 
 def _runs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """All runs of four bytes of texts that have a letter, and the text of each."""
-    parts = [(b" " + t.lower().encode().translate(_NO_LETTER) + b" ") if t and _LETTER.search(t) else b"" for t in texts]
+    parts = [(b"  " + t.lower().encode().translate(_NO_LETTER) + b" ") if t and _LETTER.search(t) else b"" for t in texts]
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     flat = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
     if len(flat) < 4:
@@ -75,27 +79,23 @@ def count_runs(texts: DataFrame) -> DataFrame:
 def learn_filter(training: DataFrame, least: int = 3, share: float = 0.1, slots: int = SLOTS) -> tuple[list[str], np.ndarray]:
     """The languages and the two tables of masks, learned from training (lang, text)."""
     counts = written(count_runs(training.where(F.col("lang").isNotNull()).select(F.col("lang").cast("string"), whole_text().alias("text"))), "runs")
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).limit(64).collect()}
-    langs = sorted(totals)
-    if len(langs) > 63:
-        raise ValueError("a mask holds 63 languages")
-    tables = np.zeros((2, slots), np.uint64)
+    totals = sorted((r["lang"], r["n"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect())  # one row for each language
+    langs = [lang for lang, _ in totals]
+    words = max(1, -(-len(langs) // WORD_LANGS))
+    tables = np.zeros((2, slots, words), np.uint64)
     if not langs:
         return langs, tables
-    rate = F.lit(0.0)
-    bit = F.lit(0).cast("long")
-    for i, lang in enumerate(langs):
-        rate = F.when(F.col("lang") == lang, F.col("n") / totals[lang]).otherwise(rate)
-        bit = F.when(F.col("lang") == lang, F.lit(1 << i)).otherwise(bit)
-    best = counts.groupBy("run").agg(F.max(rate).alias("most"))
-    held = counts.join(best, "run").where((F.col("n") >= least) & (rate >= share * F.col("most"))).groupBy("run").agg(F.bit_or(bit).alias("mask"))
+    known = training.sparkSession.createDataFrame([(lang, float(n), i // WORD_LANGS, 1 << i % WORD_LANGS) for i, (lang, n) in enumerate(totals)], "lang string, total double, word int, bit long")
+    rated = counts.join(F.broadcast(known), "lang").withColumn("rate", F.col("n") / F.col("total"))
+    best = counts.join(F.broadcast(known), "lang").groupBy("run").agg(F.max(F.col("n") / F.col("total")).alias("most"))
+    held = rated.join(best, "run").where((F.col("n") >= least) & (F.col("rate") >= share * F.col("most"))).groupBy("run", "word").agg(F.bit_or("bit").alias("mask"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, at in enumerate(_slots(batch.column(0).to_numpy().astype(np.uint32), slots)):
-                yield pa.RecordBatch.from_arrays([pa.array(at + i * slots), batch.column(1)], ["slot", "mask"])
+                yield pa.RecordBatch.from_arrays([pa.array((at + i * slots) * words + batch.column(1).to_numpy()), batch.column(2)], ["slot", "mask"])
 
-    got = held.select("run", "mask").mapInArrow(place, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # 2 * slots rows at most
+    got = held.select("run", "word", "mask").mapInArrow(place, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # 2 * slots * words rows at most
     tables.reshape(-1)[got.column("slot").to_numpy()] = got.column("mask").to_numpy().astype(np.uint64)
     return langs, tables
 
@@ -104,7 +104,8 @@ def predict(docs: DataFrame, langs: list[str], tables: np.ndarray) -> DataFrame:
     """doc_id, held_out, lang_pred and score."""
     slots = tables.shape[1]
     known = docs.sparkSession.sparkContext.broadcast(tables)  # of fixed size
-    false = [float(np.prod([(t >> np.uint64(i) & np.uint64(1)).mean() for t in tables])) for i in range(len(langs))]
+    of = [(i // WORD_LANGS, np.uint64(i % WORD_LANGS)) for i in range(len(langs))]
+    false = [float(np.prod([(t[:, w] >> i & np.uint64(1)).mean() for t in tables])) for w, i in of]
     names = np.array([*langs, UNKNOWN], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,12 +116,10 @@ def predict(docs: DataFrame, langs: list[str], tables: np.ndarray) -> DataFrame:
                 masks = known.value[0][a] & known.value[1][b]
                 total = np.bincount(owner, minlength=part.num_rows)
                 score = np.zeros((part.num_rows, len(langs) + 1))
-                for i in range(len(langs)):
-                    hit = np.bincount(owner, (masks >> np.uint64(i) & np.uint64(1)).astype(np.float64), part.num_rows)
+                for i, (w, bit) in enumerate(of):
+                    hit = np.bincount(owner, (masks[:, w] >> bit & np.uint64(1)).astype(np.float64), part.num_rows)
                     score[:, i] = np.clip((hit - false[i] * total) / max(1e-9, 1 - false[i]), 0, None) / np.maximum(total, 1)
-                best = np.where(total > 0, score.argmax(axis=1), len(langs))
-                if not langs:
-                    best = np.full(part.num_rows, 0)
+                best = np.where(total > 0, score[:, : max(1, len(langs))].argmax(axis=1), len(langs))
                 top = score[np.arange(part.num_rows), best]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names[best], pa.string()), pa.array(np.clip(top, 0.0, 1.0))], ["doc_id", "held_out", "lang_pred", "score"])
 

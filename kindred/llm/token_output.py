@@ -11,6 +11,7 @@ and all at once.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -131,8 +132,22 @@ def decode_words(words: np.ndarray, blocks: np.ndarray, raw: np.ndarray, n: int,
     return out[:n]
 
 
-#: A letter and one of these are always two pre-tokens.
+#: A piece of plain letters and one of these are two pre-tokens.
 _MARKS = {".", ","}
+#: Marks that make one letter with a lower-case ASCII letter and none with its upper case.
+_JOINING = ("\u0308", "\u030a", "\u030c", "\u0331")
+
+
+def plain_letters(piece: str) -> bool:
+    """Whether a piece is letters before and after the vocabulary's normalising (NFC, lower case).
+
+    Some letters fall apart into a letter and a mark, which then joins what follows. Only Latin,
+    Greek and Cyrillic count, since what is a letter beyond depends on the Unicode version.
+    """
+    if piece.isascii():
+        return piece.isalpha()
+    normal = unicodedata.normalize("NFC", piece).lower()
+    return piece.isalpha() and normal.isalpha() and max(normal) < "\u0530"
 
 
 class Pieces:
@@ -156,11 +171,12 @@ class Pieces:
         """The ids of all texts in a row, end_id after each, and how many each has.
 
         No pre-token of this vocabulary spans a white space, so each distinct piece is coded once.
-        A-Z are lowered first, as the vocabulary does, unless a special token may be about.
+        A-Z are lowered first, as the vocabulary does, unless a special token may be about, or a
+        mark that would then make another letter.
         """
         if len(self.young) >= self.most:
             self.young, self.old = {}, self.young
-        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+        if not any(pc.any(pc.match_substring(texts, x)).as_py() for x in ("<|", *_JOINING)):
             texts = pc.ascii_lower(texts)
         split = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "\n", " "), "\t", " "), " ")
         pieces = split.flatten().dictionary_encode()
@@ -187,7 +203,7 @@ class Pieces:
     def _learn(self, pieces: set[str]) -> None:
         young, old = self.young, self.old
         young.update((p, old[p]) for p in pieces if p in old)
-        marked = [p for p in pieces if p not in young and p[-1:] in _MARKS and p[:-1].isalpha()]
+        marked = [p for p in pieces if p not in young and p[-1:] in _MARKS and plain_letters(p[:-1])]
         new = [p for p in (pieces | {p[:-1] for p in marked} | _MARKS).difference(marked) if p not in young]
         words = [p for p in new if p.isalpha()]
         if words:
