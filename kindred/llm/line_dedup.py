@@ -1,58 +1,70 @@
 """Line dedup: a suffix array over sequences of line ids by distributed prefix doubling.
 
-A line's id is the hash of its text. The suffixes are the lines of every document up to its end;
-ids that occur once in the corpus end a run, so suffixes are kept only where a line occurs again.
-Rank r_0 is the order of the ids; round k ranks the pairs (r_k of a line, r_k of the line 2^k
+A line's id is a 128-bit hash of its text. The suffixes are the lines of every document up to its
+end; ids that occur once in the corpus end a run, so suffixes are kept only where a line occurs
+again. Rank r_0 is the order of the ids; round k ranks the pairs (r_k of a line, r_k of the line 2^k
 later), which is the order of runs of 2^(k+1) lines. Ranks keep order without any global step:
 distinct pairs are range-partitioned and sorted, and the rank is partition and row number. Only
-suffixes that share their rank with another go into the next round. Suffixes that still share
-rank at a run of ``least`` lines are a longest-common-prefix interval of that depth or more: a
-maximal repeated run starts wherever the line before is not in such an interval with it. The first
-occurrence of an interval, by doc_id and line, stays; lines that later ones cover are deleted. Runs
-start at one line: then every line that stood before is deleted, whatever its neighbours. A line in
-a later copy of a longer run stood before itself, so the deeper intervals delete nothing further.
+suffixes that share their rank with another go into the next round; rounds end when none does.
+
+Suffixes that share a rank are a longest-common-prefix interval of that depth or more, and the
+intervals of all depths are the tree. Of each interval the first occurrence, by doc_id and line,
+stays; all lines of the others are deleted. Spans that overlap or touch are one run. At ``least`` = 1
+the single lines of a later copy are in intervals of their own, so the deeper ones add no line to
+what is deleted; they tell how long the runs are that stood before (``depth``).
 
 DataFrame functions only: joins and aggregates on ranks, with counts added up before the shuffle;
-a window runs only within a document. Hot lines make hot join keys, which adaptive execution
-splits. Defined cases: a null text is one empty line; lines without a word are not part of runs,
-but those inside a deleted run go with it; rows with the same doc_id and text are one document and
-get the same result; an empty table gives no rows; other columns are not read.
+a window runs only within a document. The first occurrence comes with the rank, and both from a
+written table, so a hot line is a hot key of a join alone, which adaptive execution splits. Defined
+cases: a null text is one empty line; lines without a word are not part of runs, but those inside a
+deleted run go with it; rows with the same doc_id and text are one document and get the same result;
+a null doc_id comes before all others; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.common import whole_text, written
 
 _WORD = r"[^\x20\x09-\x0D]"
+#: What tells documents apart: doc_id and a 128-bit hash of the text, which may be null.
+ROW = ["doc_id", "_text0", "_text1"]
+
 
+def _hashes(x: Column, name: str) -> list[Column]:
+    return [F.xxhash64(x).alias(f"{name}0"), F.xxhash64(F.lit(1), x).alias(f"{name}1")]
 
-def row_key() -> Column:
-    """What tells documents apart: the hash of doc_id and text."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("_row")
+
+def row_key() -> list[Column]:
+    id_ = F.col("doc_id").cast("long")
+    # The hash of a null is that of no column at all, and a text may have it; a null doc_id is told apart in joins.
+    return [id_.alias("doc_id"), *_hashes(F.coalesce(F.col("text").cast("string"), F.lit("\n\x00null")), "_text")]
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
-    """_row, doc_id, line_no (from 0, of the text), seq (of lines with a word) and the line's id."""
-    lines = F.filter(F.transform(F.split(whole_text(), "\n"), lambda x, i: F.struct(i.alias("line_no"), F.when(F.rlike(x, F.lit(_WORD)), F.xxhash64(x)).alias("id"))), lambda x: x["id"].isNotNull())
-    rows = docs.select(row_key(), F.col("doc_id").cast("long").alias("doc_id"), lines.alias("_lines"))
-    return rows.select("_row", "doc_id", F.posexplode("_lines").alias("seq", "x")).select("_row", "doc_id", "seq", "x.line_no", "x.id")
+    """ROW, line_no (from 0, of the text), seq (of lines with a word) and the line's id (two longs)."""
+    line = lambda x, i: F.struct(i.alias("line_no"), F.rlike(x, F.lit(_WORD)).alias("used"), *_hashes(x, "id"))
+    lines = F.filter(F.transform(F.split(whole_text(), "\n"), line), lambda x: x["used"])
+    rows = docs.select(*row_key(), lines.alias("_lines"))
+    return rows.select(*ROW, F.posexplode("_lines").alias("seq", "x")).select(*ROW, "seq", "x.line_no", "x.id0", "x.id1")
 
 
-def _ranked(df: DataFrame, key: list[Column], name: str) -> DataFrame:
-    """df, less the rows whose key no other row has, with the key's rank as a long."""
-    df = df.withColumns({f"_k{i}": k for i, k in enumerate(key)})
-    keys = [f"_k{i}" for i in range(len(key))]
-    again = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys)
-    ranks = written(again.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id()), "ranks")
-    return df.join(ranks, keys).drop(*keys)
+def _ranked(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df, less the rows whose keys no other row has: rank (the order of the keys, a long) instead of the keys, and whether a row is the first of its rank."""
+    place = F.struct(*ROW, "seq")
+    again = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(place).alias("_first")).where("_n > 1").drop("_n")
+    ranks = written(again.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()), "ranks")
+    return df.join(ranks, keys).withColumn("first", place == F.col("_first")).drop(*keys, "_first")
 
 
 def first_ranks(lines: DataFrame) -> DataFrame:
-    """Lines that occur again, with rank (the order of their ids) and last_line."""
-    return written(_ranked(lines, [F.col("id")], "rank").drop("id").dropDuplicates(["_row", "seq"]).withColumn("last_line", F.col("line_no")), "suffixes")
+    """Lines that occur again: ROW, seq, line_no, last_line, rank (the order of their ids) and first."""
+    # Rows that repeat a document have the same lines at the same places.
+    return written(_ranked(lines, ["id0", "id1"]).dropDuplicates([*ROW, "seq"]).withColumn("last_line", F.col("line_no")), "suffixes")
 
 
 def longer_ranks(now: DataFrame, step: int) -> DataFrame:
@@ -60,9 +72,12 @@ def longer_ranks(now: DataFrame, step: int) -> DataFrame:
 
     seq counts all lines with a word, so a run goes on only if the line ``step`` later is still here.
     """
-    later = now.select(F.col("_row"), (F.col("seq") - step).alias("seq"), F.col("rank").alias("_next"), F.col("last_line"))
-    pairs = now.drop("last_line").withColumnRenamed("rank", "_first").join(later, ["_row", "seq"])
-    return written(_ranked(pairs, [F.col("_first"), F.col("_next")], "rank").drop("_first", "_next"), "suffixes")
+    # Null doc_ids equal each other here: the key is made of values that are never null.
+    key = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"), "_text0", "_text1"]
+    names = ["_id", "_null", "_text0", "_text1", "seq"]
+    later = now.select(*key, (F.col("seq") - step).alias("seq"), F.col("rank").alias("_next"), F.col("last_line"))
+    pairs = now.select(*key, "doc_id", "seq", "line_no", F.col("rank").alias("_own")).join(later, names).drop("_id", "_null")
+    return written(_ranked(pairs, ["_own", "_next"]), "suffixes")
 
 
 def repeated_runs(lines: DataFrame, least: int = 2) -> DataFrame:
@@ -79,48 +94,70 @@ def repeated_runs(lines: DataFrame, least: int = 2) -> DataFrame:
     return now
 
 
+def levels(lines: DataFrame, least: int) -> Iterator[tuple[int, DataFrame]]:
+    """(depth, suffixes) at ``least`` lines and its doubles, until no run occurs again."""
+    now, depth = repeated_runs(lines, least), least
+    yield depth, now
+    while not now.isEmpty():
+        now, depth = longer_ranks(now, depth), depth * 2
+        yield depth, now
+
+
 def interval_tree(docs: DataFrame, least: int = 2) -> DataFrame:
-    """The common-prefix intervals of the suffix array by depth: depth (in lines), rank, doc_id, first_line, last_line.
+    """The common-prefix intervals of the suffix array by depth: depth (in lines), rank, ROW, seq, first_line, last_line and first.
 
     Depths are ``least`` and its doubles, until no run occurs again; rows of one depth and rank are
-    all occurrences of one run. What shares a rank at some depth is inside one interval of the
-    depth before.
+    all occurrences of one run, and first marks the one that stays. What shares a rank at some depth
+    is inside one interval of the depth before.
     """
-    now, depth, out = repeated_runs(numbered_lines(docs), least), least, None
-    while out is None or not now.isEmpty():
-        level = now.select(F.lit(depth).alias("depth"), "rank", "doc_id", F.col("line_no").alias("first_line"), "last_line")
+    out = None
+    for depth, now in levels(numbered_lines(docs), least):
+        level = now.select(F.lit(depth).alias("depth"), "rank", *ROW, "seq", F.col("line_no").alias("first_line"), "last_line", "first")
         out = level if out is None else out.unionByName(level)
-        now, depth = longer_ranks(now, depth), depth * 2
     return out
 
 
 def duplicate_runs(docs: DataFrame, least: int = 1) -> DataFrame:
-    """Later occurrences of repeated runs, merged: _row, doc_id, first_line, last_line (by text line) and n_lines.
-
-    Single lines that follow each other are one run.
-    """
-    runs = repeated_runs(numbered_lines(docs), least)
-    place = F.struct("doc_id", "_row", "seq")
-    first = runs.groupBy("rank").agg(F.min(place).alias("_first"))
-    later = runs.join(first, "rank").where(place != F.col("_first")).select("_row", "doc_id", "seq", "line_no", "last_line")
-    within = Window.partitionBy("_row").orderBy("seq")
-    new = F.coalesce(F.col("seq") - F.lag("seq").over(within) >= max(least, 2), F.lit(True)).cast("int")
-    island = later.withColumn("_new", new).withColumn("_run", F.sum("_new").over(within))
-    return island.groupBy("_row", "doc_id", "_run").agg(F.min("line_no").alias("first_line"), F.max("last_line").alias("last_line"), (F.max("seq") - F.min("seq") + least).alias("n_lines"))
+    """What the intervals' later occurrences cover, merged: ROW, first_line, last_line (by text line), n_lines and depth (of the deepest interval)."""
+    later = interval_tree(docs, least).where(~F.col("first"))
+    within = Window.partitionBy(*ROW).orderBy("seq", "depth")
+    reach = F.max(F.col("seq") + F.col("depth")).over(within.rowsBetween(Window.unboundedPreceding, -1))
+    island = later.withColumn("_new", F.coalesce(F.col("seq") > reach, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    return island.groupBy(*ROW, "_run").agg(F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), (F.max(F.col("seq") + F.col("depth")) - F.min("seq")).alias("n_lines"), F.max("depth").alias("depth"))
 
 
 def remove_repeated_lines(docs: DataFrame, least: int = 1) -> DataFrame:
-    """doc_id, n_lines (with a word), n_removed, n_runs and kept (the text without later copies of runs)."""
-    runs = duplicate_runs(docs, least).groupBy("_row").agg(F.collect_list(F.struct("first_line", "last_line")).alias("_runs"), F.sum("n_lines").alias("n_removed"))
-    texts = docs.select(row_key(), F.col("doc_id").cast("long").alias("doc_id"), F.split(whole_text(), "\n").alias("_lines"))
+    """doc_id, n_lines (with a word), n_removed, n_runs, depth (0: none) and kept (the text without later copies of runs)."""
+    runs = duplicate_runs(docs, least).groupBy(*ROW).agg(F.flatten(F.collect_list(F.sequence("first_line", "last_line"))).alias("_gone"), F.sum("n_lines").alias("n_removed"), F.count("*").alias("n_runs"), F.max("depth").alias("depth"))
+    texts = docs.select(*row_key(), F.split(whole_text(), "\n").alias("_lines"))
     n_lines = F.size(F.filter("_lines", lambda x: F.rlike(x, F.lit(_WORD)))).cast("long")
-    df = texts.withColumn("n_lines", n_lines).join(runs, "_row", "left")
-    kept = F.filter("_lines", lambda x, i: ~F.exists("_runs", lambda r: i.between(r["first_line"], r["last_line"])))
-    return df.select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("_runs").isNull(), 0).otherwise(F.size("_runs")).cast("long").alias("n_runs"), F.array_join(F.when(F.col("_runs").isNull(), F.col("_lines")).otherwise(kept), "\n").alias("kept"))
+    told = runs.select(*(F.col(c).alias(f"_{c}") for c in ROW), "_gone", "n_removed", "n_runs", "depth")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ROW]
+    df = texts.withColumn("n_lines", n_lines).join(told, same[0] & same[1] & same[2], "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    kept = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.transform(left, lambda i: F.get(F.col("_lines"), i)))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return df.select("doc_id", "n_lines", zero("n_removed"), zero("n_runs"), zero("depth"), F.array_join(kept, "\n").alias("kept"))
+
+
+# Brute force: every run of 1, 2, 4, ... lines against the first place where it stands.
+ORACLE = r"""WITH d AS (SELECT DISTINCT doc_id, text, coalesce(text, '') AS t FROM documents),
+    raw AS (SELECT doc_id, text, string_split(t, chr(10)) AS lines FROM d),
+    l AS (SELECT doc_id, text, list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS own, list_filter(range(len(lines)), lambda i: regexp_matches(lines[i + 1], '[^\x20\x09-\x0D]')) AS at, lines FROM raw),
+    runs AS (SELECT doc_id, text, p, n, md5(array_to_string(list_slice(own, p, p + n - 1), chr(10))) AS run FROM (SELECT *, unnest(range(1, len(own) + 1)) AS p FROM l) CROSS JOIN (SELECT 1 << k AS n FROM range(0, 16) s(k)) WHERE p + n - 1 <= len(own)),
+    later AS (SELECT *, row_number() OVER (PARTITION BY n, run ORDER BY doc_id NULLS FIRST, md5(coalesce(text, '')), p) > 1 AS later FROM runs),
+    gone AS (SELECT DISTINCT doc_id, text, p FROM later WHERE later AND n = 1),
+    deep AS (SELECT doc_id, text, max(n) AS depth FROM later WHERE later GROUP BY ALL),
+    islands AS (SELECT doc_id, text, min(p) AS a, max(p) AS b FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, text ORDER BY p) AS g FROM gone) GROUP BY doc_id, text, g),
+    spans AS (SELECT i.doc_id, i.text, count(*) AS n_runs, sum(b - a + 1) AS n_removed, flatten(list(range(l.at[a]::BIGINT, l.at[b]::BIGINT + 1))) AS lost FROM islands i JOIN l ON l.doc_id IS NOT DISTINCT FROM i.doc_id AND l.text IS NOT DISTINCT FROM i.text GROUP BY ALL)
+    SELECT r.doc_id, len(l.own)::BIGINT AS n_lines, coalesce(s.n_removed, 0)::BIGINT AS n_removed, coalesce(s.n_runs, 0)::BIGINT AS n_runs, coalesce(deep.depth, 0)::BIGINT AS depth,
+        sha256(array_to_string(CASE WHEN s.lost IS NULL THEN l.lines ELSE list_transform(list_filter(range(len(l.lines)), lambda i: NOT list_contains(s.lost, i)), lambda i: l.lines[i + 1]) END, chr(10))) AS kept_sha256
+    FROM documents r JOIN l ON l.doc_id IS NOT DISTINCT FROM r.doc_id AND l.text IS NOT DISTINCT FROM r.text
+    LEFT JOIN spans s ON s.doc_id IS NOT DISTINCT FROM r.doc_id AND s.text IS NOT DISTINCT FROM r.text LEFT JOIN deep ON deep.doc_id IS NOT DISTINCT FROM r.doc_id AND deep.text IS NOT DISTINCT FROM r.text"""
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.registry import table
 
     got = remove_repeated_lines(table(spark, sf_dir, "documents"))
-    return got.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept", 256).alias("kept_sha256"))
+    return got.select("doc_id", "n_lines", "n_removed", "n_runs", "depth", F.sha2("kept", 256).alias("kept_sha256"))

@@ -38,6 +38,7 @@ QUERIES["op8_language_id"] = op8_language_id
 from kindred.llm.source_mixing import op1_source_mixing  # noqa: E402
 
 QUERIES["op1_source_mixing"] = op1_source_mixing
+from kindred.llm.line_dedup import ORACLE as _LINES  # noqa: E402
 from kindred.llm.line_dedup import op10_line_dedup  # noqa: E402
 
-QUERIES["op10_line_dedup"] = op10_line_dedup
+QUERIES["op10_line_dedup"], ORACLES["op10_line_dedup"] = op10_line_dedup, _LINES
