@@ -94,6 +94,24 @@ def license_digest(spans: DataFrame) -> DataFrame:
         joined(F.when(base, F.col("label"))).alias("base_labels"), joined("label").alias("labels"), F.coalesce(F.max("score"), F.lit(0.0)).alias("score")).drop("_row")
 
 
+def oracle(base: dict[str, str] = BASE, passages: tuple[tuple[str, str], ...] = PASSAGES, k: int = K, slack: int = 2, share: float = 0.7) -> str:
+    """The same votes and spans in SQL, on the grams' words in place of their hashes."""
+    known = [(True, v, p) for p, v in base.items()] + [(False, *p) for p in passages]
+    rows = ", ".join(f"({i}, '{label}', {is_base}, {n}, {len(w) - k + 1}, '{' '.join(w[n : n + k])}')" for i, (is_base, label, p) in enumerate(known) for w in [p.split()] for n in range(len(w) - k + 1))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""WITH t(template, label, is_base, place, n_grams, gram) AS (VALUES {rows}),
+        d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        grams AS (SELECT r, p, array_to_string(list_slice(w, p + 1, p + {k}), ' ') AS gram FROM (SELECT *, unnest(range(0, len(w) - {k - 1})) AS p FROM d)),
+        votes AS (SELECT DISTINCT r, template, label, is_base, n_grams, p - place AS diagonal, place FROM grams JOIN t USING (gram)),
+        cuts AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > CASE WHEN is_base THEN 0 ELSE {slack} END, TRUE)::INT AS cut FROM (SELECT DISTINCT r, template, is_base, diagonal FROM votes)),
+        numbered AS (SELECT r, template, diagonal, sum(cut) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM cuts),
+        spans AS (SELECT r, label, is_base, count(DISTINCT place) / n_grams AS score, min(diagonal + place) AS first_word FROM votes JOIN numbered USING (r, template, diagonal) GROUP BY r, template, label, is_base, n_grams, span),
+        good AS (SELECT * FROM spans WHERE score >= CASE WHEN is_base THEN 1.0 ELSE {share} END)
+        SELECT doc_id, len(any_value(w))::BIGINT AS n_words, count(*) FILTER (is_base) AS n_base, (min(first_word) FILTER (is_base))::BIGINT AS first_word, (max(first_word) FILTER (is_base))::BIGINT AS last_word,
+            coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (is_base)), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (label IS NOT NULL)), ','), '') AS labels, coalesce(max(score), 0)::DOUBLE AS score
+        FROM d LEFT JOIN good USING (r) GROUP BY r, doc_id"""
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.registry import table
 

@@ -6,39 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-from kindred.llm.token_output import op2_token_output  # noqa: E402
-
-QUERIES["op2_token_output"] = op2_token_output
-from kindred.llm.quality_rules import op7_quality_rules  # noqa: E402
-
-QUERIES["op7_quality_rules"] = op7_quality_rules
-from kindred.llm.license_scan import op4_license_scan  # noqa: E402
-
-QUERIES["op4_license_scan"] = op4_license_scan
-from kindred.llm.simhash_dedup import op9_simhash_dedup  # noqa: E402
 
-QUERIES["op9_simhash_dedup"] = op9_simhash_dedup
-from kindred.llm.suffix_dedup import op3_suffix_dedup  # noqa: E402
-from kindred.llm.superkmer_dedup import op5_superkmer_dedup  # noqa: E402
-
-QUERIES["op3_suffix_dedup"] = op3_suffix_dedup
-QUERIES["op5_superkmer_dedup"] = op5_superkmer_dedup
+from kindred.llm import license_scan, line_dedup, suffix_dedup, superkmer_dedup  # noqa: E402  these modules ask for table
 from kindred.llm.decontamination import op6_decontamination  # noqa: E402
 from kindred.llm.language_id import op8_language_id  # noqa: E402
-
-QUERIES["op6_decontamination"] = op6_decontamination
-QUERIES["op8_language_id"] = op8_language_id
+from kindred.llm.quality_rules import op7_quality_rules  # noqa: E402
+from kindred.llm.simhash_dedup import op9_simhash_dedup  # noqa: E402
 from kindred.llm.source_mixing import op1_source_mixing  # noqa: E402
+from kindred.llm.token_output import op2_token_output  # noqa: E402
 
-QUERIES["op1_source_mixing"] = op1_source_mixing
-from kindred.llm.line_dedup import ORACLE as _LINES  # noqa: E402
-from kindred.llm.line_dedup import op10_line_dedup  # noqa: E402
-
-QUERIES["op10_line_dedup"], ORACLES["op10_line_dedup"] = op10_line_dedup, _LINES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
+    "op2_token_output": op2_token_output,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+    "op4_license_scan": license_scan.op4_license_scan,
+    "op5_superkmer_dedup": superkmer_dedup.op5_superkmer_dedup,
+    "op6_decontamination": op6_decontamination,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_language_id": op8_language_id,
+    "op9_simhash_dedup": op9_simhash_dedup,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op3_suffix_dedup": suffix_dedup.ORACLE,
+    "op4_license_scan": license_scan.oracle(),
+    "op5_superkmer_dedup": superkmer_dedup.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE,
+}

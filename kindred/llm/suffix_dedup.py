@@ -268,6 +268,18 @@ def repeat_groups(docs: DataFrame, length: int = 100, **options) -> DataFrame:
     return every.join(again, ["repeat", "n_bytes"], "left_semi").withColumn("doc_id", F.nullif("doc_id", lowest))
 
 
+# Brute force: all windows of 100 bytes, by hashes of 64 bytes made from two of 32 and so on, against the first place that has them.
+ORACLE = rf"""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, coalesce(text, '')) AS r, doc_id, regexp_extract_all(hex(coalesce(text, '')), '..') AS x FROM documents),
+    h0 AS (SELECT r, len(x) AS n, unnest(x) AS c, unnest(range(1, len(x) + 1)) AS p, hash(c) AS h FROM d),
+    {", ".join(f"h{i + 1} AS (SELECT r, n, c, p, hash(h, lead(h, {1 << i}) OVER (PARTITION BY r ORDER BY p)) AS h FROM h{i})" for i in range(6))},
+    windows AS (SELECT r, n, c, p, h, lead(h, 36) OVER (PARTITION BY r ORDER BY p) AS g FROM h6),
+    again AS (SELECT r, c, p, p <= n - 99 AND row_number() OVER (PARTITION BY h, g, p <= n - 99 ORDER BY r, p) > 1 AS later FROM windows),
+    gone AS (SELECT r, c, p, bool_or(later) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM again),
+    runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY p), FALSE) AS starts FROM gone),
+    kept AS (SELECT r, string_agg(c, '' ORDER BY p) FILTER (NOT gone) AS kept, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans FROM runs GROUP BY r)
+    SELECT doc_id, len(x)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.registry import table
 

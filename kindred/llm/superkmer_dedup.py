@@ -153,6 +153,16 @@ def remove_windows(docs: DataFrame, length: int = 50, **options) -> DataFrame:
     return removed_spans(docs, WindowFinder(length), apply, _KEPT, "doc_id long, n_words long, spans array<struct<start:long,stop:long>>, kept string", **options)
 
 
+# Brute force: the 50 words of every window against the smallest doc_id that has them.
+ORACLE = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775808) AS id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+    windows AS (SELECT r, id, p, md5(array_to_string(list_slice(w, p, p + 49), ' ')) AS h FROM (SELECT *, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+    again AS (SELECT r, p FROM (SELECT *, min(id) OVER (PARTITION BY h) AS least FROM windows) WHERE id > least),
+    gone AS (SELECT DISTINCT r, unnest(range(p, p + 50)) AS i FROM again),
+    kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
+
+
 def op5_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.registry import table
 
