@@ -77,6 +77,7 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 2_000_000) -> Iterato
         to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()  # a worker lives on for other tasks; what was freed goes back
 
 
 def pack(**arrays: np.ndarray) -> bytes:

@@ -200,6 +200,10 @@ class Pieces:
             ids[after[offsets[1:]] - 1] = end_id
         return ids, (after[offsets[1:]] - after[offsets[:-1]]).astype(np.int64)
 
+    def rest(self) -> None:
+        """Between tasks, which may be another stage's, only the young generation is kept."""
+        self.old = {}
+
     def _learn(self, pieces: set[str]) -> None:
         young, old = self.young, self.old
         young.update((p, old[p]) for p in pieces if p in old)
@@ -229,7 +233,7 @@ def pieces_of(path: str, most: int) -> Pieces:
     return _PIECES[path]
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = END_ID, block: int = BLOCK, cache: int = 450_000) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = END_ID, block: int = BLOCK, cache: int = 150_000) -> None:
     """Encode every text, end_id after each, and write the coded ids in ascending doc_id order.
 
     A null text is empty; null doc_ids come first; rows with the same doc_id follow by text. The
@@ -250,7 +254,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             return pa.RecordBatch.from_pylist([row], schema=_chunk_schema())
 
         for batch in batches:
-            for part in slices(batch, 1, 6_000_000):
+            for part in slices(batch, 1, 4_000_000):
                 coded, n = pieces.encode(part.column(1), end_id)
                 ids += part.column(0).to_pylist()
                 parts.append(coded)
@@ -260,6 +264,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                     yield flush()
         if ids:
             yield flush()
+        pieces.rest()
 
     (docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
         .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
