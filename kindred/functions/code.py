@@ -105,3 +105,9 @@ def code_features(code: pd.Series) -> pd.DataFrame:
 @F.pandas_udf(StringType())
 def anonymized_code(code: pd.Series) -> pd.Series:
     return code.map(anonymized)
+
+
+@F.pandas_udf(BooleanType())
+def is_usable(code: pd.Series) -> pd.Series:
+    """Whether code parses and has a function."""
+    return code.map(lambda c: (tree := parsed(c)) is not None and any(isinstance(n, FUNCTIONS) for n in ast.walk(tree))).astype(bool)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that give away a story, and what stands in for each.
 SYNONYMS = {
@@ -17,8 +21,13 @@ COMPLEXITIES = (
     (r"O\(\s*\w+\^2\s*log\s*\(?\s*\w+\s*\)?\s*\)", 4.5), (r"O\(\s*\w+\s*\*\s*\w+\s*\)", 3.5), (r"O\(\s*\w+\^2\s*\)", 4.0), (r"O\(\s*\w+\^3\s*\)", 5.0), (r"O\(\s*2\^\w+\s*\)", 6.0), (r"O\(\s*\w+!\s*\)", 7.0),
 )
 
-#: Roman numerals that mark a sequel in a slug.
-SEQUELS = "xii|xi|ix|iv|viii|vii|vi|iii|ii|x|v|i"
+# Roman numerals that mark a sequel in a slug.
+NUMERALS = ["i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii"]
+SEQUELS = "|".join(NUMERALS)
+
+# The tags that are dropped whole, and those that end a line.
+IMAGE = r"(?i)<img\b[^>]*>"
+BLOCK = r"(?i)</?(p|div|pre|ul|ol|li|br|h[1-6])\b[^>]*>"
 
 
 def _c(x: str | Column) -> Column:
@@ -30,17 +39,16 @@ def trim_ws(x: str | Column) -> Column:
     return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
 
 
-def unescaped(x: Column) -> Column:
-    """Named entities resolved once, the ampersand last."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return x
+@F.pandas_udf(StringType())
+def unescaped(x: pd.Series) -> pd.Series:
+    """All entities of HTML resolved once."""
+    return x.map(html.unescape, na_action="ignore")
 
 
 def html_to_text(x: str | Column) -> Column:
     """Images go, block tags become line ends, other tags go, entities are resolved, blank lines shrink to one."""
-    t = F.regexp_replace(_c(x), r"(?i)<img\b[^>]*>", "")
-    t = F.regexp_replace(t, r"(?i)</?(p|div|pre|ul|ol|li|br|h[1-6])\b[^>]*>", "\n")
+    t = F.regexp_replace(_c(x), IMAGE, "")
+    t = F.regexp_replace(t, BLOCK, "\n")
     t = unescaped(F.regexp_replace(t, r"<[^>]+>", ""))
     return trim_ws(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 

@@ -1,6 +1,6 @@
 """Registered queries with their SQL."""
 
-from kindred.jobs import articles, corpus, similarity, texts
+from kindred.jobs import articles, corpus, posts, similarity, texts
 from kindred.jobs.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "articles", "corpus", "similarity", "texts"]
+__all__ = ["ORACLES", "QUERIES", "articles", "corpus", "posts", "similarity", "texts"]

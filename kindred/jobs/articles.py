@@ -55,9 +55,9 @@ def parse_analysis(spark, sf_dir):
     return got.select("p_partkey", "x.ok", "x.error", F.get("x.value.techniques", F.lit(0))["name"].alias("technique"))
 
 
-@query("fenced_code", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text || chr(10) ELSE 'plain ' || text END AS code FROM conversations WHERE text NOT LIKE '%```%'")
+@query("fenced_code", r"WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Look:' || chr(10) || '```python' || chr(10) || text || chr(10) || '```' || chr(10) || 'there' ELSE 'plain ' || text END AS post FROM conversations) SELECT conv_id, turn, coalesce(nullif(regexp_extract(post, '(?s)```(?:python)?\s*\n(.*?)```', 1), ''), post) AS code FROM p")
 def fenced_code(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("text NOT LIKE '%```%'")
+    c = table(spark, sf_dir, "conversations")
     post = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Look:\n```python\n"), "text", F.lit("\n```\nthere"))).otherwise(F.concat(F.lit("plain "), "text"))
     return c.select("conv_id", "turn", post.alias("post")).select("conv_id", "turn", tx.fenced_code("post").alias("code"))
 

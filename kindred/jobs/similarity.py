@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kindred.jobs.registry import query, table
 from kindred.operators import evaluation as ev
 from kindred.operators import sets
-from kindred.operators.vectors import cosine_scores, l2_normalized, ranked
+from kindred.operators.vectors import cosine, cosine_scores, l2_normalized, ranked
 
 K = 10
 KS = [1, 3, 5, 10, 20]
@@ -160,10 +160,19 @@ def q_status(spark, sf_dir):
     return sided(spark, sf_dir).select("q", "c", sets.corroboration_status(F.col("qn"), F.col("cn"), F.col("score"), 4, 0.25).alias("status"))
 
 
-@query("corroborated_score", SQL_RICH + ", base AS (SELECT q, c, score FROM scored) SELECT q, c, round(base.score + 0.2 * coalesce(CASE WHEN qn >= 4 AND cn >= 4 THEN sided.score ELSE 0 END, 0), 12)::DOUBLE AS score FROM base LEFT JOIN sided USING (q, c)")
+SQL_RETURNED = "rw AS (SELECT l_orderkey AS id, l_partkey AS tag, sum(l_quantity) AS w FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL), rt AS (SELECT id, sum(w) AS t, count(*) AS n FROM rw GROUP BY id), both2 AS (SELECT a.id AS q, b.id AS c, sum(least(a.w, b.w)) AS m FROM rw a JOIN rw b ON a.tag = b.tag AND a.id <> b.id WHERE a.id % 20 = 0 GROUP BY ALL), second AS (SELECT q, c, CASE WHEN x.n >= 2 AND y.n >= 2 THEN round(m / (x.t + y.t - m), 9) ELSE 0 END AS gated FROM both2 JOIN rt x ON x.id = q JOIN rt y ON y.id = c)"
+
+
+@query("corroborated_score", sql_pairs(SQL_PLAIN, "dice") + f", {SQL_RETURNED} SELECT q, c, round(score + 0.2 * coalesce(gated, 0), 12)::DOUBLE AS score FROM scored LEFT JOIN second USING (q, c)")
 def q_corroborated(spark, sf_dir):
-    s = sided(spark, sf_dir)
-    return s.select("q", "c", F.round(F.col("score") + 0.2 * F.coalesce(sets.gated(F.col("qn"), F.col("cn"), F.col("score"), 4), F.lit(0.0)), 12).alias("score"))
+    """The tags' score and a share of what a second signal adds, the bags of lines that may come back; pairs that it does not know add nothing."""
+    w = plain(spark, sf_dir)
+    base = sets.pair_scores(asked(w), w, "dice").select("q", "c", F.round("score", 9).alias("score"))
+    back = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").groupBy(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("tag")).agg(F.sum("l_quantity").alias("w"))
+    rich = back.groupBy("id").agg(F.count("*").alias("n"))
+    second = sets.pair_scores(asked(back), back, "jaccard", F.least("qw", "cw")).join(rich.select(F.col("id").alias("q"), F.col("n").alias("qn")), "q").join(rich.select(F.col("id").alias("c"), F.col("n").alias("cn")), "c")
+    gated = second.select("q", "c", sets.gated(F.col("qn"), F.col("cn"), F.round("score", 9), 2).alias("gated"))
+    return base.join(gated, ["q", "c"], "left").select("q", "c", F.round(F.col("score") + 0.2 * F.coalesce("gated", F.lit(0.0)), 12).alias("score"))
 
 
 @query("coverage_report", f"WITH {SQL_TAGS}, rich AS (SELECT id, count(*) AS n FROM items GROUP BY id) SELECT t AS threshold, count(*) FILTER (n >= t) AS covered, round(100.0 * count(*) FILTER (n >= t) / count(*), 9)::DOUBLE AS percent FROM rich, (SELECT unnest([2, 3, 4, 5, 6]) AS t) GROUP BY t")
@@ -245,9 +254,23 @@ def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosines(spark, sf_dir).withColumn("cosine", F.round("cosine", 9)).join(tag, ["q", "c"], "left").na.fill(0.0, ["tag_score"])
 
 
+def candidates(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """blended, of all pairs that may be among the first k of a query at any weight of the cosine above 0.
+
+    A pair without a shared tag that k others pass by cosine is passed by them in any blend too, as
+    tags only add. So the k best by cosine, ties kept, and the pairs that share a tag are enough.
+    """
+    w, v = weighted(spark, sf_dir), vectors(spark, sf_dir)
+    tag = sets.pair_scores(asked(w), w, "dice").select("q", "c", F.round("score", 9).alias("tag_score"))
+    side = lambda name: v.where("v IS NOT NULL").select(F.col("id").alias(name), F.col("v").alias(f"{name}v"))
+    tagged = tag.join(side("q"), "q").join(side("c"), "c").select("q", "c", F.round(cosine("qv", "cv"), 9).alias("cosine"), "tag_score")
+    near = cosines(spark, sf_dir, top=k).withColumn("cosine", F.round("cosine", 9)).withColumn("tag_score", F.lit(0.0))
+    return near.join(tag.select("q", "c"), ["q", "c"], "left_anti").unionByName(tagged)
+
+
 @query("blended_neighbors", SQL_BLEND + f" SELECT * FROM (SELECT q, c, cosine, tag_score, round({ALPHA}::DOUBLE * cosine + (1 - {ALPHA}::DOUBLE) * tag_score, 12) AS score, row_number() OVER (PARTITION BY q ORDER BY round({ALPHA}::DOUBLE * cosine + (1 - {ALPHA}::DOUBLE) * tag_score, 12) DESC, c) AS rank FROM blend) WHERE rank <= {K}")
 def q_blended(spark, sf_dir):
-    scores = blended(spark, sf_dir).withColumn("score", ALPHA * F.col("cosine") + (1 - ALPHA) * F.col("tag_score"))
+    scores = candidates(spark, sf_dir, K).withColumn("score", ALPHA * F.col("cosine") + (1 - ALPHA) * F.col("tag_score"))
     return ranked(scores, "score", K, places=BLEND_PLACES).select("q", "c", "cosine", "tag_score", "score", F.col("rank").cast("long"))
 
 
@@ -261,7 +284,7 @@ SQL_ALPHAS = SQL_BLEND + f""", {SQL_TRUTH}, alphas AS (SELECT unnest([0.25, 0.5,
 def q_alphas(spark, sf_dir):
     """One ranking for every weight, over scores that are made once."""
     alphas, gt = F.explode(F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("k"), truth(spark, sf_dir)
-    scores = blended(spark, sf_dir).select("q", "c", "cosine", "tag_score", alphas)
+    scores = candidates(spark, sf_dir, K).select("q", "c", "cosine", "tag_score", alphas)
     best = ranked(scores.withColumn("score", F.col("k") * F.col("cosine") + (1 - F.col("k")) * F.col("tag_score")), "score", K, by=["k", "q"], places=BLEND_PLACES)
     hits = best.join(gt.withColumnRenamed("t", "c"), ["q", "c"], "left_semi").groupBy("k", "q").agg(F.count("*").alias("hits"))
     per = gt.groupBy("q").agg(F.count("*").alias("relevant")).select("q", "relevant", alphas).join(hits, ["k", "q"], "left").na.fill(0, ["hits"])
@@ -335,7 +358,7 @@ def q_delta(spark, sf_dir):
 
 @query("signal_agreement", SQL_BLEND + " SELECT count(*) AS n, round(avg(tag_score), 9) AS mean_tag, round(avg(cosine), 9) AS mean_cosine FROM (SELECT * FROM blend ORDER BY cosine DESC, q, c LIMIT 200)")
 def q_agreement(spark, sf_dir):
-    return blended(spark, sf_dir).orderBy(F.desc("cosine"), "q", "c").limit(200).agg(F.count("*").alias("n"), F.round(F.avg("tag_score"), 9).alias("mean_tag"), F.round(F.avg("cosine"), 9).alias("mean_cosine"))
+    return candidates(spark, sf_dir, 200).orderBy(F.desc("cosine"), "q", "c").limit(200).agg(F.count("*").alias("n"), F.round(F.avg("tag_score"), 9).alias("mean_tag"), F.round(F.avg("cosine"), 9).alias("mean_cosine"))
 
 
 @query("top1_disagreement", SQL_BLEND + ", p AS (SELECT q, arg_max(c, (cosine, -c)) AS by_vector, arg_max(c, (tag_score, -c)) AS by_tag FROM blend GROUP BY q) SELECT * FROM p WHERE by_vector <> by_tag")
@@ -387,10 +410,10 @@ def q_thresholds(spark, sf_dir):
 
 @query("kmeans_clusters")
 def q_kmeans(spark, sf_dir):
-    """Clusters of unit vectors; the best of several seeds by cost. Rows only: no seed of SQL's gives the same."""
+    """Clusters of unit vectors; the best of ten starts by cost. Rows only: no seed of SQL's gives the same."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     v = vectors(spark, sf_dir).select("id", array_to_vector(l2_normalized("v")).alias("features"))
-    fitted = [KMeans(k=10, seed=s, maxIter=20).fit(v) for s in range(3)]
+    fitted = [KMeans(k=10, seed=s, maxIter=20).fit(v) for s in range(10)]
     return min(fitted, key=lambda m: m.summary.trainingCost).transform(v).select(F.col("id").alias("vec_id"), F.col("prediction").alias("cluster"))

@@ -75,11 +75,11 @@ def domain_terms(spark, sf_dir):
     return titles.where((F.length("token") > 2) & ~F.rlike("token", F.lit("^[0-9]+$"))).join(generic, "token", "left_anti").groupBy("p_partkey").agg(F.array_sort(F.collect_list("token")).alias("terms"))
 
 
-@query("self_leak", f"WITH d AS (SELECT doc_id, text, regexp_extract(lower(text), '[a-z]{{5,}}') AS term FROM documents) SELECT doc_id, term, term <> '' AND regexp_matches(lower(substr(text, 200)), '{EDGE_L}' || term || '{EDGE_R}') AS leaks FROM d")
+@query("self_leak", f"WITH d AS (SELECT doc_id, text, regexp_extract(lower(text), '[a-z]{{5,}}') AS term FROM documents) SELECT doc_id, term, term <> '' AND regexp_matches(substr(lower(text), strpos(lower(text), term) + length(term)), '{EDGE_L}' || term || '{EDGE_R}') AS leaks FROM d")
 def self_leak(spark, sf_dir):
-    """Whether a text's own first long word stands in its rest."""
-    d = documents(spark, sf_dir).select("doc_id", "text", F.regexp_extract(F.lower("text"), "[a-z]{5,}", 0).alias("term"))
-    return d.select("doc_id", "term", ((F.col("term") != "") & F.rlike(F.lower(F.substr("text", F.lit(200))), F.concat(F.lit(r"(?U)\b"), "term", F.lit(r"\b")))).alias("leaks"))
+    """Whether a text's own first long word stands anywhere after its first place; term_leaks looks for all rare words of the beginning."""
+    d = documents(spark, sf_dir).select("doc_id", F.lower("text").alias("low")).withColumn("term", F.regexp_extract("low", "[a-z]{5,}", 0))
+    return d.select("doc_id", "term", ((F.col("term") != "") & F.rlike(F.substr("low", F.position("term", "low") + F.length("term")), F.concat(F.lit(r"(?U)\b"), "term", F.lit(r"\b")))).alias("leaks"))
 
 
 SQL_BAND = "CASE WHEN n_chars < 500 THEN 0 WHEN n_chars < 1500 THEN 1 WHEN n_chars < 3000 THEN 2 ELSE 3 END"

@@ -37,6 +37,12 @@ def pair_scores(queries: DataFrame, items: DataFrame, metric: str, measure: Colu
     return both.select("q", "c", score.cast("double").alias("score"))
 
 
+def matrix(queries: DataFrame, items: DataFrame, ids: DataFrame, metric: str, measure: Column | None = None) -> DataFrame:
+    """pair_scores and a diagonal of ones for all ids (id), also of those without tags; what is not in it is 0."""
+    one = ids.select(F.col("id").alias("q"), F.col("id").alias("c"), F.lit(1.0).alias("score")).distinct()
+    return pair_scores(queries, items, metric, measure).unionByName(one)
+
+
 def combined(tag: Column, signature: Column, difficulty: Column | None = None, tag_weight: float = 0.8, signature_weight: float = 0.2, difficulty_weight: float = 0.0) -> Column:
     """The weighted blend; difficulty counts only with a weight."""
     out = F.lit(tag_weight) * tag + F.lit(signature_weight) * signature

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,3 +25,14 @@ def ship(spark: SparkSession) -> None:
             out.write(p, p.relative_to(here.parent))
     spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a local session without one gets its own."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="spark-kindred-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return f"{at}/kindred/{name}-{uuid.uuid4().hex}"

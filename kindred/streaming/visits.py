@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kindred.functions.text import visitor_key
+from kindred.sources.tables import upserted
+
+
+def on_route(events: DataFrame, method: str | Column, path: str | Column, ip: str | Column, salt: str | None) -> DataFrame:
+    """Requests that count: GET of the root by a known address; none without a salt."""
+    method, path, ip = (F.col(c) if isinstance(c, str) else c for c in (method, path, ip))
+    return events.where((method == "GET") & (path == "/") & ip.isNotNull() & F.lit(bool(salt)))
 
 
 def visits(events: DataFrame, ip: str, ts: str, salt: str) -> DataFrame:
@@ -24,3 +31,15 @@ def run_visits(stream: DataFrame, ip: str, ts: str, salt: str, path: str, checkp
         batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/epoch={epoch:010d}")
 
     return visits(stream, ip, ts, salt).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_visit_table(stream: DataFrame, ip: str, ts: str, salt: str, path: str, checkpoint: str) -> StreamingQuery:
+    """The same counts as one table with a row for each key: every batch is put into it by key.
+
+    A batch that runs again puts the same rows, so the table is the same.
+    """
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        upserted(batch, path, "visitor", "visit_count")
+
+    return visits(stream, ip, ts, salt).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
