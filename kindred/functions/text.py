@@ -60,12 +60,19 @@ def leaked_words(x: str | Column, words: list[str]) -> Column:
 
 
 def scrubbed(x: str | Column, synonyms: dict[str, str]) -> Column:
-    """Every word and its plural replaced, the first letter's case kept."""
+    """Every word and its plural replaced, the first letter's case kept; only texts that hold a word pay for its patterns."""
+
+    def without(t: Column, w: str, r: str) -> Column:
+        out = t
+        for case, made in ((r"(?=\p{Lu})", str.capitalize), ("", str)):
+            out = F.regexp_replace(out, rf"(?U)\b{case}(?i:{w}e?s)\b", made(r + "s"))
+            out = F.regexp_replace(out, rf"(?U)\b{case}(?i:{w}e?)\b", made(r))
+        return F.when(F.contains(F.lower(t), F.lit(w)), out).otherwise(t)
+
     t = _c(x)
     for w, r in synonyms.items():
-        for case, made in ((r"(?=\p{Lu})", str.capitalize), ("", str)):
-            t = F.regexp_replace(t, rf"(?U)\b{case}(?i:{w}e?s)\b", made(r + "s"))
-            t = F.regexp_replace(t, rf"(?U)\b{case}(?i:{w}e?)\b", made(r))
+        # The array of one gives the text a name, so that it is not computed once for each use.
+        t = F.get(F.transform(F.array(t), lambda u: without(u, w, r)), F.lit(0))
     return t
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kindred.jobs.registry import query, table
 from kindred.operators import evaluation as ev
 from kindred.operators import sets
-from kindred.operators.vectors import cosine, cosine_scores, l2_normalized, ranked
+from kindred.operators.vectors import cosine, cosine_scores, l2_normalized, ranked, ranks_of
 
 K = 10
 KS = [1, 3, 5, 10, 20]
@@ -237,10 +237,9 @@ def q_export(spark, sf_dir):
     return vectors(spark, sf_dir).select(F.col("id").alias("vec_id"), F.transform(l2_normalized("v"), lambda x: F.round(x, 6)).alias("vector"))
 
 
-@query("vector_search", f"WITH {SQL_RANKED} SELECT c, cosine, rank FROM ranked WHERE q = 0 AND rank <= 20")
+@query("vector_search", f"WITH {SQL_RANKED} SELECT q, c, cosine, rank FROM ranked WHERE rank <= 20")
 def q_search(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    return ranked(cosine_scores(v.where("id = 0"), v, top=20), "cosine", 20).select("c", "cosine", F.col("rank").cast("long"))
+    return neighbours(spark, sf_dir, 20).select("q", "c", "cosine", F.col("rank").cast("long"))
 
 
 SQL_DICE = "tagged AS (" + sql_pairs(SQL_WEIGHTED, "dice") + " SELECT q, c, score AS tag_score FROM scored)"
@@ -332,8 +331,12 @@ SQL_BEST = f"WITH {SQL_RANKED}, {SQL_TRUTH}, best AS (SELECT t.q, min(r.rank) AS
 
 
 def best_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = ranked(cosines(spark, sf_dir), "cosine")
-    return truth(spark, sf_dir).withColumnRenamed("t", "c").join(r, ["q", "c"]).groupBy("q").agg(F.min("rank").cast("long").alias("best"))
+    """The rank of each query's nearest true item; the other items are counted, not ranked."""
+    v = vectors(spark, sf_dir).select("id", "v").where("v IS NOT NULL")
+    side = lambda name: v.select(F.col("id").alias(name), F.col("v").alias(f"{name}v"))
+    scored = truth(spark, sf_dir).withColumnRenamed("t", "c").join(side("q"), "q").join(side("c"), "c").select("q", "c", F.round(cosine("qv", "cv"), 9).alias("score"))
+    best = scored.groupBy("q").agg(F.max(F.struct("score", (-F.col("c")).alias("c"))).alias("x")).select("q", (-F.col("x.c")).alias("c"), "x.score")
+    return ranks_of(best, v).select("q", F.col("rank").alias("best"))
 
 
 @query("miss_classes", SQL_BEST + " SELECT q, best, CASE WHEN best <= 10 THEN 'hit' WHEN best <= 20 THEN 'near_miss' ELSE 'deep_miss' END AS kind FROM best")
@@ -363,8 +366,12 @@ def q_agreement(spark, sf_dir):
 
 @query("top1_disagreement", SQL_BLEND + ", p AS (SELECT q, arg_max(c, (cosine, -c)) AS by_vector, arg_max(c, (tag_score, -c)) AS by_tag FROM blend GROUP BY q) SELECT * FROM p WHERE by_vector <> by_tag")
 def q_disagreement(spark, sf_dir):
+    """A query's best by vector is among its nearest, its best by tag among those that share one, or else the smallest id."""
     best = lambda s: F.max_by("c", F.struct(F.col(s), -F.col("c")))
-    return blended(spark, sf_dir).groupBy("q").agg(best("cosine").alias("by_vector"), best("tag_score").alias("by_tag")).where("by_vector <> by_tag")
+    v = vectors(spark, sf_dir).where("v IS NOT NULL")
+    smallest = [r["id"] for r in v.select("id").orderBy("id").limit(2).collect()]
+    untagged = asked(v).select(F.col("id").alias("q"), F.explode(F.array(*map(F.lit, smallest)).cast("array<long>")).alias("c"), F.lit(None).cast("double").alias("cosine"), F.lit(0.0).alias("tag_score")).where("q <> c")
+    return candidates(spark, sf_dir, 1).unionByName(untagged).groupBy("q").agg(best("cosine").alias("by_vector"), best("tag_score").alias("by_tag")).where("by_vector <> by_tag")
 
 
 @query("family_compare", SQL_BLEND + ", f AS (SELECT e.label, cosine, tag_score FROM blend b JOIN embeddings e ON e.vec_id = b.q JOIN embeddings g ON g.vec_id = b.c AND g.label = e.label) SELECT label, count(*) AS n, round(avg(cosine), 9) AS mean_cosine, round(avg(tag_score), 9) AS mean_tag, round(avg(tag_score - cosine), 9) AS delta FROM f GROUP BY label")
@@ -389,14 +396,16 @@ def q_purity(spark, sf_dir):
 def q_verdicts(spark, sf_dir):
     label = vectors(spark, sf_dir).select("id", "label")
     s = cosines(spark, sf_dir).withColumn("cosine", F.round("cosine", 9)).join(label.select(F.col("id").alias("q"), F.col("label").alias("ql")), "q").join(label.select(F.col("id").alias("c"), F.col("label").alias("cl")), "c")
-    return s.groupBy((F.col("ql") == F.col("cl")).alias("verdict")).agg(F.count("*").alias("n"), F.round(F.avg("cosine"), 9).alias("mean"), F.round(F.median("cosine"), 12).alias("median"))
+    got = ev.quantiles(s.select((F.col("ql") == F.col("cl")).alias("verdict"), "cosine"), "verdict", "cosine", {"median": 0.5})
+    return got.select("verdict", "n", F.round("mean", 9).alias("mean"), F.round("median", 12).alias("median"))
 
 
 @query("score_percentiles", f"WITH {SQL_COS} SELECT ql AS label, round(quantile_cont(cosine, 0.1), 12) AS p10, round(quantile_cont(cosine, 0.25), 12) AS p25, round(quantile_cont(cosine, 0.75), 12) AS p75, min(cosine) AS low, max(cosine) AS high FROM cos GROUP BY ql")
 def q_percentiles(spark, sf_dir):
     label = vectors(spark, sf_dir).select(F.col("id").alias("q"), "label")
-    p = lambda x: F.round(F.percentile("cosine", F.lit(x)), 12)
-    return cosines(spark, sf_dir).withColumn("cosine", F.round("cosine", 9)).join(label, "q").groupBy("label").agg(p(0.1).alias("p10"), p(0.25).alias("p25"), p(0.75).alias("p75"), F.min("cosine").alias("low"), F.max("cosine").alias("high"))
+    s = cosines(spark, sf_dir).withColumn("cosine", F.round("cosine", 9)).join(label, "q")
+    at = {"p10": 0.1, "p25": 0.25, "p75": 0.75}
+    return ev.quantiles(s, "label", "cosine", at).select("label", *(F.round(p, 12).alias(p) for p in at), "low", "high")
 
 
 THRESHOLDS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5]

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.session import work_path
+
 
 def pending(keys: DataFrame, done: DataFrame, key: str, limit: int | None = None) -> DataFrame:
     """Keys that are not done, in order, the first ``limit`` of them."""
@@ -37,5 +39,19 @@ def first_row(df: DataFrame, key: str, *order: str | Column) -> DataFrame:
 
 
 def chunked(df: DataFrame, size: int, by: str, *order: str | Column) -> DataFrame:
-    """df with chunk: rows of each ``by`` numbered in an order, ``size`` to a chunk."""
-    return df.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1) / size).cast("long"))
+    """df with chunk: rows of each ``by`` numbered by the columns of order, ascending, ``size`` to a chunk.
+
+    The rows are dealt by ranges of by and order, so a ``by`` with a third of them is numbered in
+    many tasks: inside its ranges, plus the rows of the ranges before. The dealt rows are a written
+    table, since a range must hold the same rows in both steps. A column chunk of df's is replaced.
+    """
+    at, keys = work_path(df.sparkSession, "chunked"), [f"_key{i}" for i in range(len(order))]
+    marked = [F.col(by).alias("_by"), F.spark_partition_id().alias("_range"), *((F.col(o) if isinstance(o, str) else o).alias(k) for o, k in zip(order, keys))]
+    df.repartitionByRange(by, *order).select(F.struct("*").alias("_row"), *marked).write.parquet(at)
+    dealt = df.sparkSession.read.parquet(at)
+    sums = dealt.groupBy(F.col("_by").alias("_of"), F.col("_range").alias("_at")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_of").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = sums.select("_of", "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_by", "_range").orderBy(*keys))
+    numbered = dealt.withColumn("_place", inside).join(sums, F.col("_by").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_at")))
+    return numbered.select(*(F.col("_row")[c].alias(c) for c in df.columns if c != "chunk"), F.floor((F.col("_before") + F.col("_place") - 1) / size).cast("long").alias("chunk"))
