@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kindred.jobs.registry import query, table
 from kindred.operators import evaluation as ev
 from kindred.operators import sets
-from kindred.operators.vectors import cosine, cosine_scores, l2_normalized, ranked, ranks_of
+from kindred.operators.vectors import BILLION, cosine, cosine_scores, l2_normalized, ranked, ranks_of, score_counts, score_quantiles
 
 K = 10
 KS = [1, 3, 5, 10, 20]
@@ -200,6 +200,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
 
 
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).withColumn("label", F.col("label").cast("long"))
+
+
 def cosines(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     v = vectors(spark, sf_dir)
     return cosine_scores(asked(v), v, **options)
@@ -246,15 +250,8 @@ SQL_DICE = "tagged AS (" + sql_pairs(SQL_WEIGHTED, "dice") + " SELECT q, c, scor
 SQL_BLEND = f"WITH {SQL_COS}, {SQL_DICE}, blend AS (SELECT q, c, cosine, coalesce(tag_score, 0)::DOUBLE AS tag_score FROM cos LEFT JOIN tagged USING (q, c))"
 
 
-def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """q, c, cosine and tag_score of every query and item that has a vector."""
-    w = weighted(spark, sf_dir)
-    tag = sets.pair_scores(asked(w), w, "dice").select("q", "c", F.round("score", 9).alias("tag_score"))
-    return cosines(spark, sf_dir).withColumn("cosine", F.round("cosine", 9)).join(tag, ["q", "c"], "left").na.fill(0.0, ["tag_score"])
-
-
 def candidates(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """blended, of all pairs that may be among the first k of a query at any weight of the cosine above 0.
+    """q, c, cosine and tag_score of all pairs that may be among the first k of a query at any weight of the cosine above 0.
 
     A pair without a shared tag that k others pass by cosine is passed by them in any blend too, as
     tags only add. So the k best by cosine, ties kept, and the pairs that share a tag are enough.
@@ -352,11 +349,28 @@ def q_buckets(spark, sf_dir):
 
 @query("rank_delta", SQL_BLEND + f", {SQL_TRUTH}, ra AS (SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, c) AS a, row_number() OVER (PARTITION BY q ORDER BY round(0.5 * cosine + 0.5 * tag_score, 12) DESC, c) AS b FROM blend), d AS (SELECT ra.* FROM ra JOIN truth t ON t.q = ra.q AND t.t = ra.c) SELECT count(*) FILTER (b < a - 5) AS improved, count(*) FILTER (b > a + 5) AS worse, count(*) FILTER (abs(a - b) <= 5) AS same, median(a)::DOUBLE AS median_before, median(b)::DOUBLE AS median_after FROM d")
 def q_delta(spark, sf_dir):
-    s = blended(spark, sf_dir)
-    before = ranked(s, "cosine").select("q", "c", F.col("rank").alias("a"))
-    after = ranked(s.withColumn("score", 0.5 * F.col("cosine") + 0.5 * F.col("tag_score")), "score", places=BLEND_PLACES).select("q", "c", F.col("rank").alias("b"))
-    d = truth(spark, sf_dir).withColumnRenamed("t", "c").join(before, ["q", "c"]).join(after, ["q", "c"])
-    return d.agg(F.count_if(F.col("b") < F.col("a") - 5).alias("improved"), F.count_if(F.col("b") > F.col("a") + 5).alias("worse"), F.count_if(F.abs(F.col("a") - F.col("b")) <= 5).alias("same"), F.median("a").alias("median_before"), F.median("b").alias("median_after"))
+    """Ranks of the true pairs by cosine and by an even blend; the other items are counted.
+
+    In the blend an item stands as by its cosine alone, but for those that share a tag: these are
+    taken out of the count and put back with their blend. Twice the blend is cosine + tag_score.
+    """
+    v, w = vectors(spark, sf_dir).where("v IS NOT NULL"), weighted(spark, sf_dir)
+    side = lambda name: v.select(F.col("id").alias(name), F.col("v").alias(f"{name}v"))
+    scored = lambda pairs: pairs.join(side("q"), "q").join(side("c"), "c").withColumn("cosine", F.round(cosine("qv", "cv"), 9)).drop("qv", "cv")
+    gt = truth(spark, sf_dir).withColumnRenamed("t", "c")
+    tag = sets.pair_scores(asked(w), w, "dice").select("q", "c", F.round("score", 9).alias("tag_score"))
+    tagged = scored(tag.join(gt.select("q").distinct(), "q", "left_semi"))
+    true = scored(gt).join(tag, ["q", "c"], "left").select("q", "c", "cosine", F.round(F.col("cosine") + F.coalesce("tag_score", F.lit(0.0)), 9).alias("blend"))
+    ahead = lambda s: ((s > F.col("blend")) | ((s == F.col("blend")) & (F.col("o") < F.col("c")))).cast("long")
+    other = tagged.select("q", F.col("c").alias("o"), F.col("cosine").alias("plain"), F.round(F.col("cosine") + F.col("tag_score"), 9).alias("both"))
+    moved = true.join(other, "q").where("o <> c").groupBy("q", "c").agg(F.sum(ahead(F.col("both")) - ahead(F.col("plain"))).alias("moved"))
+    before = ranks_of(true.select("q", "c", F.col("cosine").alias("score")), v).withColumnRenamed("rank", "a")
+    after = ranks_of(true.select("q", "c", F.col("blend").alias("score")), v).join(moved, ["q", "c"], "left").select("q", "c", (F.col("rank") + F.coalesce("moved", F.lit(0))).alias("b"))
+    d = before.join(after, ["q", "c"]).select("a", "b", F.lit(0).alias("all"))
+    counts = d.agg(F.count_if(F.col("b") < F.col("a") - 5).alias("improved"), F.count_if(F.col("b") > F.col("a") + 5).alias("worse"), F.count_if(F.abs(F.col("a") - F.col("b")) <= 5).alias("same"))
+    for name, rank in (("median_before", "a"), ("median_after", "b")):
+        counts = counts.join(F.broadcast(ev.quantiles(d, "all", rank, {name: 0.5}, width=1000).select(name)), how="left")  # one row each
+    return counts
 
 
 @query("signal_agreement", SQL_BLEND + " SELECT count(*) AS n, round(avg(tag_score), 9) AS mean_tag, round(avg(cosine), 9) AS mean_cosine FROM (SELECT * FROM blend ORDER BY cosine DESC, q, c LIMIT 200)")
@@ -376,9 +390,15 @@ def q_disagreement(spark, sf_dir):
 
 @query("family_compare", SQL_BLEND + ", f AS (SELECT e.label, cosine, tag_score FROM blend b JOIN embeddings e ON e.vec_id = b.q JOIN embeddings g ON g.vec_id = b.c AND g.label = e.label) SELECT label, count(*) AS n, round(avg(cosine), 9) AS mean_cosine, round(avg(tag_score), 9) AS mean_tag, round(avg(tag_score - cosine), 9) AS delta FROM f GROUP BY label")
 def q_family(spark, sf_dir):
-    label = vectors(spark, sf_dir).select("id", "label")
-    s = blended(spark, sf_dir).join(label.select(F.col("id").alias("q"), "label"), "q").join(label.select(F.col("id").alias("c"), "label"), ["c", "label"])
-    return s.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("cosine"), 9).alias("mean_cosine"), F.round(F.avg("tag_score"), 9).alias("mean_tag"), F.round(F.avg(F.col("tag_score") - F.col("cosine")), 9).alias("delta"))
+    """Cosines are added up where they are made; only pairs that share a tag are held."""
+    v, w = labelled(spark, sf_dir), weighted(spark, sf_dir)
+    near = score_counts(asked(v), v, BILLION).where("same = 1").groupBy("label").agg(F.sum("n").alias("n"), (F.sum("total").cast("double") / BILLION).alias("cosine"))
+    label = v.where("v IS NOT NULL").select("id", "label")
+    tag = sets.pair_scores(asked(w), w, "dice").select("q", "c", F.round("score", 9).alias("tag_score"))
+    shared = tag.join(label.select(F.col("id").alias("q"), "label"), "q").join(label.select(F.col("id").alias("c"), "label"), ["c", "label"]).groupBy("label").agg(F.sum("tag_score").alias("tag"))
+    s = near.join(shared, "label", "left").na.fill(0.0, ["tag"])
+    mean = lambda x: F.round(x / F.col("n"), 9)
+    return s.select(F.col("label").cast("int").alias("label"), "n", mean(F.col("cosine")).alias("mean_cosine"), mean(F.col("tag")).alias("mean_tag"), mean(F.col("tag") - F.col("cosine")).alias("delta"))
 
 
 # The mean over all pairs of a cluster follows from the sum of its unit vectors: no pair is made.
@@ -394,18 +414,16 @@ def q_purity(spark, sf_dir):
 
 @query("verdict_stats", f"WITH {SQL_COS} SELECT (ql = cl) AS verdict, count(*) AS n, round(avg(cosine), 9) AS mean, round(median(cosine), 12) AS median FROM cos GROUP BY ALL")
 def q_verdicts(spark, sf_dir):
-    label = vectors(spark, sf_dir).select("id", "label")
-    s = cosines(spark, sf_dir).withColumn("cosine", F.round("cosine", 9)).join(label.select(F.col("id").alias("q"), F.col("label").alias("ql")), "q").join(label.select(F.col("id").alias("c"), F.col("label").alias("cl")), "c")
-    got = ev.quantiles(s.select((F.col("ql") == F.col("cl")).alias("verdict"), "cosine"), "verdict", "cosine", {"median": 0.5})
-    return got.select("verdict", "n", F.round("mean", 9).alias("mean"), F.round("median", 12).alias("median"))
+    v = labelled(spark, sf_dir)
+    got = score_quantiles(asked(v), v, "same", {"median": 0.5})
+    return got.select(F.when(F.col("same") < 2, F.col("same") == 1).alias("verdict"), "n", F.round("mean", 9).alias("mean"), F.round("median", 12).alias("median"))
 
 
 @query("score_percentiles", f"WITH {SQL_COS} SELECT ql AS label, round(quantile_cont(cosine, 0.1), 12) AS p10, round(quantile_cont(cosine, 0.25), 12) AS p25, round(quantile_cont(cosine, 0.75), 12) AS p75, min(cosine) AS low, max(cosine) AS high FROM cos GROUP BY ql")
 def q_percentiles(spark, sf_dir):
-    label = vectors(spark, sf_dir).select(F.col("id").alias("q"), "label")
-    s = cosines(spark, sf_dir).withColumn("cosine", F.round("cosine", 9)).join(label, "q")
-    at = {"p10": 0.1, "p25": 0.25, "p75": 0.75}
-    return ev.quantiles(s, "label", "cosine", at).select("label", *(F.round(p, 12).alias(p) for p in at), "low", "high")
+    v = labelled(spark, sf_dir)
+    at = {"p10": 0.1, "p25": 0.25, "p75": 0.75, "low": 0.0, "high": 1.0}
+    return score_quantiles(asked(v), v, "label", at).select(F.col("label").cast("int").alias("label"), *(F.round(p, 12).alias(p) for p in at))
 
 
 THRESHOLDS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5]
@@ -413,8 +431,12 @@ THRESHOLDS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5]
 
 @query("threshold_sweep", f"WITH {SQL_COS} SELECT ql AS label, t::DOUBLE AS threshold, round(avg((cosine >= t)::INT), 9) AS survival FROM cos, (SELECT unnest({THRESHOLDS})::DOUBLE AS t) GROUP BY ALL")
 def q_thresholds(spark, sf_dir):
-    label = vectors(spark, sf_dir).select(F.col("id").alias("q"), "label")
-    return ev.survival(cosines(spark, sf_dir).withColumn("cosine", F.round("cosine", 9)).join(label, "q"), THRESHOLDS, "label", "cosine")
+    """Thresholds are ends of bins, so the counts of bins are enough."""
+    v = labelled(spark, sf_dir)
+    width = BILLION // 10
+    got = score_counts(asked(v), v, width).groupBy("label").agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col("bin") >= round(t * 10), F.col("n")).otherwise(0)).alias(str(i)) for i, t in enumerate(THRESHOLDS)))
+    shares = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), (F.col(str(i)) / F.col("n")).alias("s")) for i, t in enumerate(THRESHOLDS)))).alias("x")
+    return got.select(F.col("label").cast("int").alias("label"), shares).select("label", F.col("x.t").alias("threshold"), F.round("x.s", 9).alias("survival"))
 
 
 @query("kmeans_clusters")

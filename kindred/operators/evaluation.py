@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,6 +54,16 @@ def quantiles(scores: DataFrame, by: str, score: str, at: dict[str, float], widt
     counts = scores.where(x.isNotNull()).groupBy(own, F.floor(x / width).alias("_bin"), x.alias("_x")).agg(F.count("*").alias("_n"))
     bins = counts.groupBy("_by", "_bin").agg(F.sum("_n").alias("_size"), F.sum(F.col("_x") * F.col("_n")).alias("_sum"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
     totals = bins.groupBy("_by").agg(F.sum("_size").alias("n"), (F.sum("_sum") / F.sum("_size")).alias("mean"), F.min("_low").alias("low"), F.max("_high").alias("high"))
+    found = place_values(counts, wanted_bins(bins, at), at)
+    return totals.join(found, F.col("_by").eqNullSafe(F.col("_g"))).select(F.col("_by").alias(by), "n", "mean", "low", "high", *at)
+
+
+def _within(a: Column, b: Column):
+    return lambda s: (s["place"] >= a) & (s["place"] < b)
+
+
+def wanted_bins(bins: DataFrame, at: dict[str, float]) -> DataFrame:
+    """_g, _b, _start, _places: the bins that hold a wanted place of their group; bins has _by, _bin and _size."""
     group = Window.partitionBy("_by")
     last = F.sum("_size").over(group) - 1
     places = []
@@ -61,17 +71,13 @@ def quantiles(scores: DataFrame, by: str, score: str, at: dict[str, float], widt
         low, part = F.floor(last * p), last * p - F.floor(last * p)
         places += [F.struct(F.lit(name).alias("name"), low.alias("place"), (1 - part).alias("share")), F.struct(F.lit(name).alias("name"), F.ceil(last * p).alias("place"), part.alias("share"))]
     end = F.sum("_size").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
-    within = lambda a, b: lambda s: (s["place"] >= a) & (s["place"] < b)
     ended = bins.select(F.col("_by").alias("_g"), F.col("_bin").alias("_b"), (end - F.col("_size")).alias("_start"), end.alias("_end"), F.array(*places).alias("_places"))
-    wanted = ended.select("_g", "_b", "_start", F.filter("_places", within(F.col("_start"), F.col("_end"))).alias("_places")).where(F.size("_places") > 0)
-    inside = counts.join(wanted, F.col("_by").eqNullSafe(F.col("_g")) & (F.col("_bin") == F.col("_b")))
-    upto = F.col("_start") + F.sum("_n").over(Window.partitionBy("_by", "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
-    hits = inside.withColumn("_upto", upto).select("_g", "_x", F.explode(F.filter("_places", within(F.col("_upto") - F.col("_n"), F.col("_upto")))).alias("_p"))
-    found = hits.groupBy("_g").agg(*(F.sum(F.when(F.col("_p.name") == name, F.col("_x") * F.col("_p.share"))).alias(name) for name in at))
-    return totals.join(found, F.col("_by").eqNullSafe(F.col("_g"))).select(F.col("_by").alias(by), "n", "mean", "low", "high", *at)
+    return ended.select("_g", "_b", "_start", F.filter("_places", _within(F.col("_start"), F.col("_end"))).alias("_places")).where(F.size("_places") > 0)
 
 
-def survival(scores: DataFrame, thresholds: list[float], by: str, score: str) -> DataFrame:
-    """For every group and threshold, the share of scores at or above it; one pass."""
-    got = scores.groupBy(by).agg(*(F.avg((F.col(score) >= t).cast("double")).alias(str(i)) for i, t in enumerate(thresholds)))
-    return got.select(by, F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col(str(i)).alias("s")) for i, t in enumerate(thresholds)))).alias("x")).select(by, F.col("x.t").alias("threshold"), F.round("x.s", 9).alias("survival"))
+def place_values(counts: DataFrame, wanted: DataFrame, at: dict[str, float]) -> DataFrame:
+    """_g and the quantiles by name; counts has _by, _bin, _x and _n, of the wanted bins at least."""
+    inside = counts.join(wanted, F.col("_by").eqNullSafe(F.col("_g")) & (F.col("_bin") == F.col("_b")))
+    upto = F.col("_start") + F.sum("_n").over(Window.partitionBy("_by", "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    hits = inside.withColumn("_upto", upto).select("_g", "_x", F.explode(F.filter("_places", _within(F.col("_upto") - F.col("_n"), F.col("_upto")))).alias("_p"))
+    return hits.groupBy("_g").agg(*(F.sum(F.when(F.col("_p.name") == name, F.col("_x") * F.col("_p.share"))).alias(name) for name in at))

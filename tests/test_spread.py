@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kindred.functions import text as tx
 from kindred.operators.corpus import chunked
 from kindred.operators.evaluation import quantiles
-from kindred.operators.vectors import cosine_scores, ranked, ranks_of
+from kindred.operators.vectors import cosine_scores, ranked, ranks_of, score_counts, score_quantiles
 
 
 def test_chunks_of_a_hot_group(spark):
@@ -49,6 +49,29 @@ def test_ranks_without_pairs(spark, block_bytes):
     assert ranks_of(marks.limit(0), v).collect() == []
 
 
+@pytest.mark.parametrize("block_bytes", [64_000_000, 200])
+def test_scores_counted_without_pairs(spark, block_bytes):
+    rng = np.random.default_rng(4)
+    vs = rng.integers(-2, 3, (60, 4)).astype(float)
+    label = [None if i % 11 == 0 else i % 4 for i in range(60)]
+    v = spark.createDataFrame([(i, x.tolist(), k) for i, (x, k) in enumerate(zip(vs, label))] + [(99, None, 1)], "id long, v array<float>, label long")
+    asked = v.where("id % 5 = 0")
+    pairs = [(label[r.q], 2 if label[r.q] is None or label[r.c] is None else int(label[r.q] == label[r.c]), round(r.cosine, 9)) for r in cosine_scores(asked, v).collect()]
+    counts = score_counts(asked, v, 10**8, block_bytes=block_bytes).collect()
+    assert {(r.label, r.same) for r in counts} == {p[:2] for p in pairs} and sum(r.n for r in counts) == len(pairs)
+    assert {(r.label, r.same, r.bin): r.n for r in counts} == {k: sum(1 for p in pairs if (*p[:2], round(p[2] * 1e9) // 10**8) == k) for k in {(*p[:2], round(p[2] * 1e9) // 10**8) for p in pairs}}
+    assert abs(sum(r.total for r in counts) - sum(round(p[2] * 1e9) for p in pairs)) == 0
+    at = {"low": 0.0, "p10": 0.1, "median": 0.5, "high": 1.0}
+    for by, of in (("label", 0), ("same", 1)):
+        got = {r[by]: r for r in score_quantiles(asked, v, by, at, block_bytes=block_bytes).collect()}
+        assert set(got) == {p[of] for p in pairs}
+        for g, r in got.items():
+            xs = [p[2] for p in pairs if p[of] == g]
+            assert r.n == len(xs) and np.isclose(r["mean"], np.mean(xs), atol=1e-12)
+            assert np.allclose([r[n] for n in at], np.quantile(xs, list(at.values())), atol=1e-12)
+    assert score_counts(asked.limit(0), v, 10**8).collect() == []
+
+
 def test_scrubbed_texts_without_a_word(spark):
     df = spark.createDataFrame([("no such word",), (None,), ("",), ("STONE stones Stone, écat cats",)], "x string")
     got = [r.y for r in df.select(tx.scrubbed("x", {"stone": "element", "cat": "dog"}).alias("y")).collect()]
