@@ -244,7 +244,7 @@ def test_decontamination(spark, part_bytes):
                 both = sum((want & have).values())
                 if both / (2 * m - both) >= 0.8:
                     expected[d, i] = max(expected.get((d, i), 0), both / (2 * m - both))
-    found = {(r.doc_id, r.item_id): r.similarity for r in decontamination.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), part_bytes=part_bytes).collect()}
+    found = {(r.doc_id, r.item_id): r.similarity for r in decontamination.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), part_bytes=part_bytes, known_bytes=2 * part_bytes).collect()}
     assert found == pytest.approx(expected) and len(expected) >= 10
 
 
