@@ -44,6 +44,30 @@ def anonymized(code: str | None) -> str | None:
     return ast.unparse(tree)
 
 
+def aligned(code: str | None, stub: str | None, method: str | None) -> str | None:
+    """The code with the method's parameters, by place, and their uses in its body named as in the stub.
+
+    It stays as it is if either side does not parse or lacks the method, if the numbers of parameters
+    differ (``self`` does not count) or if there is nothing to rename. The stub lacks only its body.
+    """
+    tree, model = parsed(code), parsed(None if stub is None else stub + "pass")
+    if tree is None or model is None:
+        return code
+    named = lambda t: [n for n in ast.walk(t) if isinstance(n, ast.FunctionDef) and n.name == method]
+    names = lambda found: [a.arg for a in found[0].args.args if a.arg != "self"] if found else []
+    own, wanted = names(named(tree)), names(named(model))
+    if not own or len(own) != len(wanted) or own == wanted:
+        return code
+    to = dict(zip(own, wanted))
+    inner = {id(n) for f in named(tree) for line in f.body for n in ast.walk(line)}
+    for f in [f for f in named(tree) if id(f) not in inner]:
+        for a in f.args.args:
+            a.arg = to.get(a.arg, a.arg)
+        for n in (n for line in f.body for n in ast.walk(line) if isinstance(n, ast.Name)):
+            n.id = to.get(n.id, n.id)
+    return ast.unparse(tree)
+
+
 def _depth(node: ast.AST) -> int:
     return max((_depth(c) for c in ast.iter_child_nodes(node)), default=0) + isinstance(node, LOOPS)
 
@@ -111,3 +135,8 @@ def anonymized_code(code: pd.Series) -> pd.Series:
 def is_usable(code: pd.Series) -> pd.Series:
     """Whether code parses and has a function."""
     return code.map(lambda c: (tree := parsed(c)) is not None and any(isinstance(n, FUNCTIONS) for n in ast.walk(tree))).astype(bool)
+
+
+@F.pandas_udf(StringType())
+def aligned_code(code: pd.Series, stub: pd.Series, method: pd.Series) -> pd.Series:
+    return pd.Series([aligned(*row) for row in zip(code, stub, method)], dtype=object)

@@ -62,10 +62,15 @@ def fenced_code(spark, sf_dir):
     return c.select("conv_id", "turn", post.alias("post")).select("conv_id", "turn", tx.fenced_code("post").alias("code"))
 
 
-@query("normalize_escapes", r"SELECT doc_id, text FROM documents WHERE NOT contains(text, chr(92))")
+SQL_ESCAPES = "x"
+for _old, _new in (("chr(92) || 'r' || chr(92) || 'n'", 10), ("chr(92) || 'n'", 10), ("chr(92) || 't'", 9), ("chr(92) || chr(39)", 39), ("chr(92) || chr(34)", 34), ("chr(92) || chr(92)", 92)):
+    SQL_ESCAPES = f"replace({SQL_ESCAPES}, {_old}, chr({_new}))"
+
+
+@query("normalize_escapes", f"WITH d AS (SELECT doc_id, replace(text, chr(10), chr(92) || 'n') AS x FROM documents) SELECT doc_id, CASE WHEN contains(x, chr(92) || 'n') THEN {SQL_ESCAPES} ELSE x END AS text FROM d")
 def normalize_escapes(spark, sf_dir):
-    """Texts whose line ends were made literal come back; those without any stay."""
-    d = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("\\")))
+    """Texts whose line ends were made literal come back; other escapes in them become real too."""
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\\n")).alias("x")).select("doc_id", tx.normalized_escapes("x").alias("text"))
 
 
@@ -113,6 +118,42 @@ def q_anonymize(spark, sf_dir):
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("text").alias("n_texts"))
 
 
+def steps(last: str) -> Column:
+    """p_size % 4 + 1 assignments, each from the one before, and a return; names differ from row to row."""
+    name = lambda i: F.concat(F.lit("x"), F.col("p_partkey").cast("string"), F.lit("_"), i.cast("string"))
+    n = (F.col("p_size") % 4).cast("int")
+    lines = F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.lit("    "), name(i), F.lit(" = "), F.when(i == 0, F.col(last)).otherwise(name(i - 1)), F.lit(" * "), i.cast("string"), F.lit("\n")))
+    return F.concat(F.array_join(lines, ""), F.lit("    return "), name(n), F.lit("\n"))
+
+
+@query("anonymized_text", """SELECT p_partkey, 'def solve(v' || (p_size % 4 + 1) || '):' || chr(10) || array_to_string(list_transform(range(0, p_size % 4 + 1), lambda i: '    v' || i || ' = v' || CASE WHEN i = 0 THEN p_size % 4 + 1 ELSE i - 1 END || ' * ' || i || chr(10)), '') || '    return v' || (p_size % 4) AS text FROM part""")
+def anonymized_text(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumn("p", F.concat(F.lit("a"), F.col("p_partkey").cast("string")))
+    return p.select("p_partkey", code.anonymized_code(F.concat(F.lit("def g"), F.col("p"), F.lit("("), F.col("p"), F.lit("):\n"), steps("p"))).alias("text"))
+
+
+@query("code_shapes", "SELECT p_partkey, TRUE AS usable, (p_size % 5 + p_partkey % 3)::INT AS n_loops, greatest(p_size % 5, (p_partkey % 3 > 0)::INT)::INT AS nesting, p_size % 2 = 1 AS recursive, p_partkey % 4 = 0 AND p_partkey % 3 > 0 AS early_exit FROM part")
+def code_shapes(spark, sf_dir):
+    """Loops in each other and one after another, with or without a way out and a call of itself, as the row says."""
+    deep, flat = (F.col("p_size") % 5).cast("int"), (F.col("p_partkey") % 3).cast("int")
+    way_out = F.when(F.col("p_partkey") % 4 == 0, "        break\n").otherwise("        pass\n")
+    nested = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), deep + 1), lambda i: F.concat(F.repeat(F.lit("    "), i), F.when(i > deep, "n = 0\n").otherwise("for i in a:\n"))), ""))
+    body = F.concat(nested, F.repeat(F.concat(F.lit("    while n:\n"), way_out), flat), F.when(F.col("p_size") % 2 == 1, "    n = f(a)\n").otherwise("    n = g(a)\n"))
+    features = code.code_features(F.concat(F.lit("def f(a):\n"), body)).alias("x")
+    return table(spark, sf_dir, "part").select("p_partkey", features).select("p_partkey", "x.usable", "x.n_loops", "x.nesting", "x.recursive", "x.early_exit")
+
+
+@query("align_signature", """WITH c AS (SELECT p_partkey, p_size, 'x' || p_partkey AS x, p_partkey % 2 = 0 AS two, p_partkey % 3 > 0 AS given FROM part)
+    SELECT p_partkey, CASE WHEN two = given THEN 'class Solution:' || chr(10) || chr(10) || '    def work(self, a' || CASE WHEN two THEN ', b' ELSE '' END || '):' || chr(10) || '        t = a + ' || p_size || chr(10) || '        return t'
+        ELSE 'class Solution:' || chr(10) || '    def work(self, ' || x || CASE WHEN given THEN ', y' ELSE '' END || '):' || chr(10) || '        t = ' || x || ' + ' || p_size || chr(10) || '        return t' || chr(10) END AS code FROM c""")
+def align_signature(spark, sf_dir):
+    """Candidates whose parameters have other names than the stub's; a third of them of another number."""
+    x = F.concat(F.lit("x"), F.col("p_partkey").cast("string"))
+    more = F.when(F.col("p_partkey") % 3 > 0, ", y").otherwise("")
+    own = F.concat(F.lit("class Solution:\n    def work(self, "), x, more, F.lit("):\n        t = "), x, F.lit(" + "), F.col("p_size").cast("string"), F.lit("\n        return t\n"))
+    return table(spark, sf_dir, "part").select("p_partkey", code.aligned_code(own, stub(), F.lit("work")).alias("code"))
+
+
 @query("motif_counts", "SELECT CASE p_partkey % 5 WHEN 0 THEN 'binary_search' ELSE 'two_pointers' END AS motif, count(*) AS n FROM part WHERE p_partkey % 5 < 2 GROUP BY ALL")
 def motif_counts(spark, sf_dir):
     return programs(spark, sf_dir).select(F.explode(code.code_features("code")["motifs"]).alias("motif")).groupBy("motif").agg(F.count("*").alias("n"))

@@ -112,3 +112,14 @@ def test_kmeans_is_settled(spark, sf_dir):
     means = np.stack([x[own == c].mean(axis=0) for c in range(10)])
     nearest = ((x[:, None] - means[None]) ** 2).sum(axis=2).argmin(axis=1)
     assert len(got) == len(rows) and (nearest == own).mean() > 0.95
+
+
+def test_aligned_signature():
+    from kindred.functions.code import aligned
+
+    stub = "class Solution:\n    def f(self, nums, k):\n        "
+    assert aligned("def f(k, n=1):\n    g = lambda: k + n\n    return g()", stub, "f") == "def f(nums, k=1):\n    g = lambda: nums + k\n    return g()"  # names trade places
+    assert aligned("def f(a, b):\n    def f(a):\n        return a\n    return f(b)", stub, "f") == "def f(nums, k):\n\n    def f(a):\n        return nums\n    return f(k)"
+    for same in ("def f(a):\n    return a", "def f(nums, k):\n    return  k", "def g(a, b):\n    return  a", "def f(a, b:\n", None, ""):
+        assert aligned(same, stub, "f") == same
+    assert aligned("def f(a, b): return a", None, "f") == aligned("def f(a, b): return a", "def (", "f") == "def f(a, b): return a"
