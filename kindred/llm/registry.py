@@ -14,6 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 from kindred.llm import license_scan, line_dedup, suffix_dedup, superkmer_dedup  # noqa: E402  these modules ask for table
 from kindred.llm.decontamination import op6_decontamination  # noqa: E402
 from kindred.llm.language_id import op8_language_id  # noqa: E402
+from kindred.llm.periodic_runs import op11_periodic_runs  # noqa: E402
 from kindred.llm.quality_rules import op7_quality_rules  # noqa: E402
 from kindred.llm.simhash_dedup import op9_simhash_dedup  # noqa: E402
 from kindred.llm.source_mixing import op1_source_mixing  # noqa: E402
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op3_suffix_dedup": suffix_dedup.ORACLE,
