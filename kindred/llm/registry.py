@@ -12,6 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 from kindred.llm import license_scan, line_dedup, suffix_dedup, superkmer_dedup  # noqa: E402  these modules ask for table
+from kindred.llm.best_fit_packing import op12_best_fit_packing  # noqa: E402
 from kindred.llm.decontamination import op6_decontamination  # noqa: E402
 from kindred.llm.language_id import op8_language_id  # noqa: E402
 from kindred.llm.periodic_runs import op11_periodic_runs  # noqa: E402
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_best_fit_packing": op12_best_fit_packing,
 }
 ORACLES: dict[str, str] = {
     "op3_suffix_dedup": suffix_dedup.ORACLE,
