@@ -11,7 +11,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from kindred.llm import license_scan, line_dedup, suffix_dedup, superkmer_dedup  # noqa: E402  these modules ask for table
+from kindred.llm import license_scan, line_dedup, source_divergence, suffix_dedup, superkmer_dedup  # noqa: E402  these modules ask for table
 from kindred.llm.best_fit_packing import op12_best_fit_packing  # noqa: E402
 from kindred.llm.decontamination import op6_decontamination  # noqa: E402
 from kindred.llm.language_id import op8_language_id  # noqa: E402
@@ -34,10 +34,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_source_divergence": source_divergence.op13_source_divergence,
 }
 ORACLES: dict[str, str] = {
     "op3_suffix_dedup": suffix_dedup.ORACLE,
     "op4_license_scan": license_scan.oracle(),
     "op5_superkmer_dedup": superkmer_dedup.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op13_source_divergence": source_divergence.ORACLE,
 }
