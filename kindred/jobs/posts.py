@@ -17,6 +17,7 @@ from kindred.jobs.similarity import SQL_PLAIN, asked, plain, sql_pairs, sql_top,
 from kindred.operators import sets
 from kindred.session import work_path
 from kindred.sources import tables
+from kindred.sources.commits import Table
 from kindred.streaming.visits import on_route, run_visit_table, visits
 
 # --- nested lists -------------------------------------------------------------------------------
@@ -320,4 +321,4 @@ def visit_table(spark, sf_dir):
     events.select("user_id", "ts").repartition(3, "user_id").write.parquet(source)
     stream = spark.readStream.schema("user_id long, ts timestamp").option("maxFilesPerTrigger", 2).parquet(source)
     run_visit_table(stream, "user_id", "ts", SALT, path, work_path(spark, "state")).awaitTermination()
-    return tables.read_or_empty(spark, path, "visitor string, visit_count long, first_seen timestamp, last_seen timestamp")
+    return Table(spark, path, "visitor", "visit_count").read("visitor string, visit_count long, first_seen timestamp, last_seen timestamp")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from kindred.functions.posts import literal_list
+from kindred.sources.commits import Table
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -32,41 +31,25 @@ def exported(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
-def _filesystem(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def overwritten(df: DataFrame, path: str) -> DataFrame:
+    """df in place of the table of commits at path, which df may read."""
+    return Table(df.sparkSession, path).overwrite(df)
 
 
-def overwritten(df: DataFrame, path: str) -> DataFrame:
-    """df in place of the table at path, which df may read: written beside it, then swapped in by two renames."""
-    spark, mark = df.sparkSession, uuid.uuid4().hex
-    new, old = f"{path}.{mark}.new", f"{path}.{mark}.old"
-    df.write.parquet(new)
-    (to, fs), (fresh, _), (gone, _) = _filesystem(spark, path), _filesystem(spark, new), _filesystem(spark, old)
-    if fs.exists(to) and not fs.rename(to, gone):
-        raise OSError(f"{path} could not be moved away")
-    if not fs.rename(fresh, to):
-        raise OSError(f"{new} could not be moved to {path}")
-    fs.delete(gone, True)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def upserted(changes: DataFrame, path: str, key: str, newest: str) -> DataFrame:
-    """The table at path with the changes: of each key the row that is last by ``newest``; a change wins a tie."""
-    both = read_or_empty(changes.sparkSession, path, changes.schema).withColumn("_change", F.lit(0)).unionByName(changes.withColumn("_change", F.lit(1)))
-    rows = both.groupBy(key).agg(F.max_by(F.struct(*changes.columns), F.struct(newest, "_change")).alias("_row"))
-    return overwritten(rows.select(*(F.col("_row")[c].alias(c) for c in changes.columns)), path)
+def upserted(changes: DataFrame, path: str, key: str, newest: str, writer: str = "", epoch: int | None = None) -> DataFrame:
+    """The table of commits at path with the changes: of each key the row that is last by ``newest``; a change wins a tie."""
+    return Table(changes.sparkSession, path, key, newest).upsert(changes, writer, epoch)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, renames: dict[str, str], cache: str | None = None, refresh: bool = False) -> DataFrame:
-    """Lines of JSON with columns renamed; with a cache, a Parquet copy is read if there is one and no refresh is asked for."""
+    """Lines of JSON with columns renamed; with a cache, a table of commits, that is read if there is one and no refresh is asked for."""
     def scan() -> DataFrame:
         return spark.read.schema(schema).json(path).withColumnsRenamed(renames)
 
     if cache is None:
         return scan()
-    to, fs = _filesystem(spark, cache)
-    return overwritten(scan(), cache) if refresh or not fs.exists(to) else spark.read.parquet(cache)
+    held = Table(spark, cache)
+    return held.overwrite(scan()) if refresh or not held.exists() else held.read()
 
 
 def read_csv_lists(spark: SparkSession, path: str, schema: StructType | str, lists: list[str]) -> DataFrame:

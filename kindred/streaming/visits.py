@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kindred.functions.text import visitor_key
 from kindred.sources.tables import upserted
+from kindred.streaming.state import started
 
 
 def on_route(events: DataFrame, method: str | Column, path: str | Column, ip: str | Column, salt: str | None) -> DataFrame:
@@ -30,16 +31,18 @@ def run_visits(stream: DataFrame, ip: str, ts: str, salt: str, path: str, checkp
     def put(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/epoch={epoch:010d}")
 
-    return visits(stream, ip, ts, salt).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return started(visits(stream, ip, ts, salt).writeStream.outputMode("update").foreachBatch(put), stream.sparkSession, checkpoint)
 
 
 def run_visit_table(stream: DataFrame, ip: str, ts: str, salt: str, path: str, checkpoint: str) -> StreamingQuery:
-    """The same counts as one table with a row for each key: every batch is put into it by key.
+    """The same counts as one table with a row for each key, a table of commits at path.
 
-    A batch that runs again puts the same rows, so the table is the same.
+    The counts are kept in the state store; a batch hands on the keys that it changed, which become
+    one more folder of the table, so its work grows with these keys. A batch that runs again is
+    recognised by its number.
     """
 
     def put(batch: DataFrame, epoch: int) -> None:
-        upserted(batch, path, "visitor", "visit_count")
+        upserted(batch, path, "visitor", "visit_count", checkpoint, epoch)
 
-    return visits(stream, ip, ts, salt).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return started(visits(stream, ip, ts, salt).writeStream.outputMode("update").foreachBatch(put), stream.sparkSession, checkpoint)

@@ -14,6 +14,7 @@ import __spark_entry__ as entry
 from kindred.functions import code, posts
 from kindred.functions import text as tx
 from kindred.sources import tables
+from kindred.sources.commits import Table
 from kindred.streaming.visits import on_route, run_visit_table
 
 
@@ -64,9 +65,10 @@ def test_upsert_overwrite_and_cache(spark, tmp_path):
     rows = lambda *r: spark.createDataFrame(list(r), "k long, v long, s string")
     tables.upserted(rows((1, 1, "a"), (2, 5, "b")), path, "k", "v")
     tables.upserted(rows((1, 1, "tie"), (2, 4, "older"), (3, 1, None)), path, "k", "v")
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, 1, "tie"), (2, 5, "b"), (3, 1, None)]
-    tables.overwritten(spark.read.parquet(path).where("k > 1"), path)
-    assert spark.read.parquet(path).count() == 2 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    table = Table(spark, path, "k", "v")
+    assert sorted(map(tuple, table.read().collect())) == [(1, 1, "tie"), (2, 5, "b"), (3, 1, None)]
+    tables.overwritten(table.read().where("k > 1"), path)
+    assert table.read().count() == 2 and [p.name for p in tmp_path.iterdir()] == ["t"]
     lines, cache = f"file://{tmp_path}/lines", f"file://{tmp_path}/cache"
     read = lambda **o: tables.read_jsonl(spark, lines, "k long, s string", {"k": "id"}, cache, **o)
     tables.exported(rows((1, 1, "a")).drop("v"), lines)
@@ -85,7 +87,9 @@ def test_visit_table_goes_on_from_its_state(spark, tmp_path):
     put("b", "c", None)
     run()
     run()
-    got = spark.read.parquet(f"{tmp_path}/out")
+    held = Table(spark, f"file://{tmp_path}/out", "visitor", "visit_count")
+    got = held.read()
+    assert len(held.head().deltas) == 2 and list(held.head().epochs) == [f"{tmp_path}/state"]
     assert sorted(r.visit_count for r in got.collect()) == [1, 2, 2] and {r.first_seen for r in got.collect()} == {at}
 
 
