@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kindred.functions.json_repair import json_or_repaired
+from kindred.functions.markdown import code_blocks  # noqa: F401  posts are where their users look for it
+
 #: Most candidates of one problem that are looked at.
 CANDIDATES = 6
 
@@ -21,14 +24,6 @@ def votes(reactions: Column, kind: str = "UPVOTE") -> Column:
     return F.coalesce(first_match(reactions, lambda r: r["type"] == kind)["count"], F.lit(0))
 
 
-def code_blocks(post: Column) -> Column:
-    """The bodies of all fenced blocks, those tagged as Python first, each kind in its order."""
-    whole = F.regexp_extract_all(post, F.lit(r"(?ms)^```[^\n`]*\n.*?^```[ \t]*$"), F.lit(0))
-    parts = F.transform(whole, lambda b: F.struct(F.rlike(b, F.lit(r"(?i)^```\s*py")).alias("python"), F.regexp_replace(b, r"(?s)^```[^\n]*\n(.*?)```[ \t]*$", "$1").alias("body")))
-    body = lambda b: b["body"]
-    return F.concat(F.transform(F.filter(parts, lambda b: b["python"]), body), F.transform(F.filter(parts, lambda b: ~b["python"]), body))
-
-
 def dedented(code: Column) -> Column:
     """Without the white space that all lines with text begin with; lines without any become empty."""
     lines = F.split(code, "\n")
@@ -63,7 +58,7 @@ def literal_list(x: Column) -> Column:
 
 def parsed_taxonomy(x: Column) -> Column:
     """ok, error and the phases and algorithm of a described taxonomy in JSON: phases need a label and a role each, the algorithm some text."""
-    got = F.from_json(F.nullif(F.regexp_extract(x, r"(?s)\{.*\}", 0), F.lit("")), "phases array<struct<label:string,role:string>>, tags array<string>, algorithm string")
+    got = F.from_json(json_or_repaired(F.nullif(F.regexp_extract(x, r"(?s)\{.*\}", 0), F.lit(""))), "phases array<struct<label:string,role:string>>, tags array<string>, algorithm string")
     filled = lambda c: F.coalesce(F.length(F.trim(c)) > 0, F.lit(False))
     phases = F.coalesce(F.forall(got["phases"], lambda p: filled(p["label"]) & filled(p["role"])), F.lit(False))
     lists = got["phases"].isNotNull() & got["tags"].isNotNull()

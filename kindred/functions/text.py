@@ -7,6 +7,9 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+
+from kindred.functions.json_repair import json_or_repaired
+from kindred.functions.signatures import signature_bag  # noqa: F401  one of the functions of text
 from pyspark.sql.types import StringType
 
 # Words that give away a story, and what stands in for each.
@@ -117,8 +120,8 @@ def json_object(x: str | Column) -> Column:
 
 
 def parsed_analysis(x: str | Column) -> Column:
-    """ok, error and the techniques and mechanism of a described solution in JSON."""
-    got = F.from_json(json_object(x), "techniques array<struct<name:string,role:string>>, mechanism string")
+    """ok, error and the techniques and mechanism of a described solution in JSON; JSON that does not parse is repaired first."""
+    got = F.from_json(json_or_repaired(json_object(x)), "techniques array<struct<name:string,role:string>>, mechanism string")
     filled = lambda c: F.coalesce(F.length(F.trim(c)) > 0, F.lit(False))
     techniques = F.coalesce((F.size(got["techniques"]) > 0) & F.forall(got["techniques"], lambda t: filled(t["name"]) & filled(t["role"])), F.lit(False))
     error = F.when(json_object(x).isNull(), "no JSON object").when(got.isNull() | (got["techniques"].isNull() & got["mechanism"].isNull()), "invalid JSON").when(~techniques, "bad techniques").when(~filled(got["mechanism"]), "no mechanism")
@@ -165,18 +168,3 @@ def normalized_escapes(x: str | Column) -> Column:
     for a, b in (("\\r\\n", "\n"), ("\\n", "\n"), ("\\t", "\t"), ("\\'", "'"), ('\\"', '"'), ("\\\\", "\\")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.when(literal > 2 * real, out).otherwise(t)
-
-
-def signature_bag(stub: str | Column, method: str | Column) -> Column:
-    """The bag of a method's signature as sorted tokens: arg:T for every name in an argument's type, ret:T for the result's, nargs:n. Null if the stub has no such method."""
-    head = F.call_function("regexp_extract", _c(stub), F.concat(F.lit(r"(?s)def\s+"), _c(method), F.lit(r"\s*\((.*?)\)\s*(?:->[^:]*)?:")), F.lit(1))
-    found = F.rlike(_c(stub), F.concat(F.lit(r"def\s+"), _c(method), F.lit(r"\s*\(")))
-    result = F.call_function("regexp_extract", _c(stub), F.concat(F.lit(r"(?s)def\s+"), _c(method), F.lit(r"\s*\(.*?\)\s*->\s*([^:]*):")), F.lit(1))
-    flat = head
-    for _ in range(4):  # brackets from the inside out, so that only commas between arguments are left
-        flat = F.regexp_replace(flat, r"\[([^\[\],]*)[,]?([^\[\]]*)\]", " $1 $2 ")
-    args = F.filter(F.transform(F.split(flat, ","), lambda a: F.trim(a)), lambda a: (a != "") & (a != "self"))
-    names = lambda t: F.regexp_extract_all(t, F.lit(r"([A-Za-z_][A-Za-z_0-9]*)"), F.lit(1))
-    of_args = F.flatten(F.transform(args, lambda a: F.transform(names(F.regexp_extract(a, r"(?s)^[^:]*:(.*)$", 1)), lambda t: F.concat(F.lit("arg:"), t))))
-    bag = F.concat(of_args, F.transform(names(result), lambda t: F.concat(F.lit("ret:"), t)), F.array(F.concat(F.lit("nargs:"), F.size(args).cast("string"))))
-    return F.when(found, F.array_sort(bag))

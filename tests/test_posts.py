@@ -30,7 +30,7 @@ def test_dedent_and_wrap(spark):
 
 def test_code_blocks(spark):
     post = "```js\n1\n```\n`x`\n```Python3\n2\n\n```\n```\n3\n```\n```py\n4\n```\n```c\nnever closed"
-    assert one(spark, posts.code_blocks(F.col("x")), post, "", None) == [["2\n\n", "4\n", "1\n", "3\n"], [], None]
+    assert one(spark, posts.code_blocks(F.col("x")), post, "", None) == [["2\n\n", "4\n", "1\n", "3\n", "never closed"], [], None]
 
 
 def test_literal_lists(spark):
