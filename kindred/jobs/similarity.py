@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kindred.jobs.registry import query, table
 from kindred.operators import evaluation as ev
 from kindred.operators import sets
+from kindred.operators.search import nearest, top_neighbours
 from kindred.operators.vectors import BILLION, cosine, cosine_scores, l2_normalized, ranked, ranks_of, score_counts, score_quantiles
 
 K = 10
@@ -210,7 +211,8 @@ def cosines(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 
 def neighbours(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return ranked(cosines(spark, sf_dir, top=k), "cosine", k)
+    v = vectors(spark, sf_dir)
+    return top_neighbours(asked(v), v, k)
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,6 +248,13 @@ def q_search(spark, sf_dir):
     return neighbours(spark, sf_dir, 20).select("q", "c", "cosine", F.col("rank").cast("long"))
 
 
+@query("cell_search", f"WITH {SQL_RANKED} SELECT q, c, cosine, rank FROM ranked WHERE rank <= {K}")
+def q_cells(spark, sf_dir):
+    """The same search by cells and blocks, as for query sets that are too large to send to all tasks."""
+    v = vectors(spark, sf_dir)
+    return ranked(nearest(asked(v), v, K), "cosine", K).select("q", "c", "cosine", F.col("rank").cast("long"))
+
+
 SQL_DICE = "tagged AS (" + sql_pairs(SQL_WEIGHTED, "dice") + " SELECT q, c, score AS tag_score FROM scored)"
 SQL_BLEND = f"WITH {SQL_COS}, {SQL_DICE}, blend AS (SELECT q, c, cosine, coalesce(tag_score, 0)::DOUBLE AS tag_score FROM cos LEFT JOIN tagged USING (q, c))"
 
