@@ -237,7 +237,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     """Encode every text, end_id after each, and write the coded ids in ascending doc_id order.
 
     A null text is empty; null doc_ids come first; rows with the same doc_id follow by text. The
-    order comes from a range shuffle; each part then codes its documents in a stream.
+    order comes from a range shuffle by doc_id and the first letters of the text, so that many rows
+    without an id, or with one, are dealt to many parts; each part codes its documents in a stream.
     tokenizer_path must be a vocabulary that drops white space.
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +268,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         pieces.rest()
 
     (docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-        .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+        .repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
         .mapInArrow(encode, CHUNK_SCHEMA).write.option("compression", "zstd").parquet(path))
 
 
