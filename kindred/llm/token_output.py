@@ -14,6 +14,7 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kindred.llm.byte_pieces import Generation, gathered
 from kindred.llm.common import scratch_path, slices, whole_text
 
 # Fixed values: (ids, bits) of selectors 1 to 14 of Simple-8b; selector 0 is the escape here.
@@ -151,7 +153,7 @@ def plain_letters(piece: str) -> bool:
 
 
 class Pieces:
-    """Ids of pieces of text between spaces, as little-endian 32-bit integers.
+    """Ids of pieces of text between spaces.
 
     Two generations of at most ``most`` pieces each: what a full generation's successor asks for
     again moves over, what nothing asks for goes.
@@ -162,7 +164,7 @@ class Pieces:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         own = Tokenizer.from_file(path)
-        self.batch, self.most, self.young, self.old = own.encode_batch_fast, most, {}, {}
+        self.batch, self.most, self.young, self.old = own.encode_batch_fast, most, Generation(), Generation()
         vocabulary = own.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -174,53 +176,59 @@ class Pieces:
         A-Z are lowered first, as the vocabulary does, unless a special token may be about, or a
         mark that would then make another letter.
         """
-        if len(self.young) >= self.most:
-            self.young, self.old = {}, self.young
+        if len(self.young.index) >= self.most:
+            self.young, self.old = Generation(), self.young
         if not any(pc.any(pc.match_substring(texts, x)).as_py() for x in ("<|", *_JOINING)):
             texts = pc.ascii_lower(texts)
         split = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "\n", " "), "\t", " "), " ")
         pieces = split.flatten().dictionary_encode()
         # One string of all pieces, cut again: much faster than a Python object for each. None has a line end.
         all_of = pa.ListArray.from_arrays(pa.array([0, len(pieces.dictionary)], pa.int32()), pieces.dictionary)
-        distinct, which = pc.binary_join(all_of, "\n")[0].as_py().split("\n"), pieces.indices.to_numpy()
-        coded = list(map(self.young.get, distinct))
-        if None in coded:
-            self._learn({p for p, ids in zip(distinct, coded) if ids is None})
-            coded = list(map(self.young.__getitem__, distinct))
-        sizes = np.fromiter(map(len, coded), np.int32, len(coded)) // 4
-        flat, starts = np.frombuffer(b"".join([*coded, bytes(4)]), "<u4"), np.cumsum(sizes, dtype=np.int32) - sizes
-        n = sizes[which]
+        distinct = pc.binary_join(all_of, "\n")[0].as_py().split("\n")
+        known = self.young.find(distinct)
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            missing = [distinct[i] for i in new.tolist()]
+            self._learn(missing)
+            known[new] = self.young.find(missing)
+        own, flat, begins = known[pieces.indices.to_numpy()], self.young.flat, self.young.begins
+        if len(flat) == begins[-1]:
+            flat = np.concatenate((flat, np.zeros(1, np.uint32)))  # the end id's place after the last piece
+        n = begins[own + 1] - begins[own]
         offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
         if end_id is not None:
             n[offsets[1:] - 1] += 1  # every text has a piece, if an empty one
-        after = np.zeros(len(n) + 1, np.int32)
-        np.cumsum(n, out=after[1:])
-        ids = flat[np.repeat(starts[which] - after[:-1], n) + np.arange(after[-1], dtype=np.int32)]
+        ids, after = gathered(flat, begins, own, n), np.concatenate(([0], np.cumsum(n)))[offsets]
         if end_id is not None:
-            ids[after[offsets[1:]] - 1] = end_id
-        return ids, (after[offsets[1:]] - after[offsets[:-1]]).astype(np.int64)
+            ids[after[1:] - 1] = end_id
+        return ids, np.diff(after)
 
     def rest(self) -> None:
         """Between tasks, which may be another stage's, only the young generation is kept."""
-        self.old = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        young, old = self.young, self.old
-        young.update((p, old[p]) for p in pieces if p in old)
-        marked = [p for p in pieces if p not in young and p[-1:] in _MARKS and plain_letters(p[:-1])]
-        new = [p for p in (pieces | {p[:-1] for p in marked} | _MARKS).difference(marked) if p not in young]
+        self.old = Generation()
+
+    def _learn(self, pieces: list[str]) -> None:
+        young, old, every = self.young, self.old, set(pieces)
+        found = old.find(pieces)
+        own = np.flatnonzero(found >= 0)
+        sizes = old.begins[found[own] + 1] - old.begins[found[own]]
+        young.add([pieces[i] for i in own.tolist()], gathered(old.flat, old.begins, found[own], sizes), sizes)
+        marked = [p for p in pieces if p not in young.index and p[-1:] in _MARKS and plain_letters(p[:-1])]
+        new = [p for p in (every | {p[:-1] for p in marked} | _MARKS).difference(marked) if p not in young.index]
         words = [p for p in new if p.isalpha()]
         if words:
-            ids = np.array(self.batch([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            ids = np.array(self.batch([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(words):  # else a word is more than one pre-token
-                raw = ids.tobytes()
-                young.update(zip(words, (raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist()))))
-        rest = [p for p in new if p not in young]
+                young.add(words, ids, np.diff(ends, prepend=0))
+        rest = [p for p in new if p not in young.index]
         for at in range(0, len(rest), 5000):
-            part = rest[at : at + 5000]
-            young.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(part, self.batch(part, add_special_tokens=False)))
-        young.update((p, young[p[:-1]] + young[p[-1]]) for p in marked)
+            coded = [e.ids for e in self.batch(rest[at : at + 5000], add_special_tokens=False)]
+            young.add(rest[at : at + 5000], np.fromiter(chain.from_iterable(coded), np.uint32), np.fromiter(map(len, coded), np.int64, len(coded)))
+        if marked:  # letters, then their mark
+            parts = np.stack((young.find([p[:-1] for p in marked]), young.find([p[-1] for p in marked])), axis=1)
+            sizes = young.begins[parts + 1] - young.begins[parts]
+            young.add(marked, gathered(young.flat, young.begins, parts.ravel(), sizes.ravel()), sizes.sum(axis=1))
 
 
 _PIECES: dict[str, Pieces] = {}
@@ -233,7 +241,7 @@ def pieces_of(path: str, most: int) -> Pieces:
     return _PIECES[path]
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = END_ID, block: int = BLOCK, cache: int = 300_000) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = END_ID, block: int = BLOCK, cache: int = 500_000) -> None:
     """Encode every text, end_id after each, and write the coded ids in ascending doc_id order.
 
     A null text is empty; null doc_ids come first; rows with the same doc_id follow by text. The
