@@ -72,12 +72,13 @@ def _depth(node: ast.AST) -> int:
     return max((_depth(c) for c in ast.iter_child_nodes(node)), default=0) + isinstance(node, LOOPS)
 
 
-def _bounds(loop: ast.While) -> set[str]:
-    """The two names that a loop's condition orders."""
+def _bounds(loop: ast.While) -> tuple[str, ...]:
+    """The two names that a loop's condition orders, the lesser first."""
     t = loop.test
     if isinstance(t, ast.Compare) and len(t.ops) == 1 and isinstance(t.ops[0], (ast.Lt, ast.LtE, ast.Gt, ast.GtE)) and isinstance(t.left, ast.Name) and isinstance(t.comparators[0], ast.Name):
-        return {t.left.id, t.comparators[0].id}
-    return set()
+        names = (t.left.id, t.comparators[0].id)
+        return names if isinstance(t.ops[0], (ast.Lt, ast.LtE)) else names[::-1]
+    return ()
 
 
 def _halves(value: ast.AST, bounds: set[str]) -> bool:
@@ -96,14 +97,16 @@ def motifs(tree: ast.AST) -> list[str]:
     found = set()
     for loop in (n for n in ast.walk(tree) if isinstance(n, ast.While)):
         bounds = _bounds(loop)
-        if len(bounds) != 2:
+        if len(set(bounds)) != 2:
             continue
+        lesser, greater = bounds
+        bounds = set(bounds)
         assigned = [(n.targets[0].id, n.value) for n in ast.walk(loop) if isinstance(n, ast.Assign) and len(n.targets) == 1 and isinstance(n.targets[0], ast.Name)]
         mids = {name for name, value in assigned if _halves(value, bounds)}
         if any(name in bounds and mids & {x.id for x in ast.walk(value) if isinstance(x, ast.Name)} for name, value in assigned):
             found.add("binary_search")
         steps = _steps(loop, bounds)
-        if {op for _, op in steps} == {ast.Add, ast.Sub} and len({name for name, _ in steps}) == 2:
+        if steps == {(lesser, ast.Add), (greater, ast.Sub)}:
             found.add("two_pointers")
     return sorted(found)
 

@@ -248,3 +248,9 @@ def visitor_key(spark, sf_dir):
 @query("visit_counter", f"SELECT 'visitor:' || sha256(user_id::VARCHAR || '{SALT}') AS visitor, count(*) AS visit_count, min(ts) AS first_seen, max(ts) AS last_seen FROM events WHERE user_id IS NOT NULL GROUP BY ALL")
 def visit_counter(spark, sf_dir):
     return visits(table(spark, sf_dir, "events"), "user_id", "ts", SALT)
+
+
+@query("last_wins", "SELECT user_id, ts, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def last_wins(spark, sf_dir):
+    """Of the rows that share a key the last one, whatever came before."""
+    return ops.last_row(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id")

@@ -6,7 +6,7 @@ then reads them back by parsing; SQL knows the outcome from the columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import code, posts
@@ -90,9 +90,9 @@ def with_usable(df: DataFrame, block: str) -> DataFrame:
     SELECT k, usable, code FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY usable DESC, place) AS n FROM (SELECT * FROM good UNION ALL SELECT * FROM rest)) WHERE n = 1""")
 def candidate_selection(spark, sf_dir):
     """Of the candidates with most votes the first block that is usable Python, else the first block of any; orders without a block are left out."""
-    every = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), *PLACE, "post")))
-    best = candidates(spark, sf_dir).groupBy("k").agg(F.slice(every, 1, posts.CANDIDATES).alias("c"))
-    blocks = best.select("k", F.posexplode("c").alias("place", "x")).select("k", "place", F.posexplode(posts.code_blocks(F.col("x.post"))).alias("block", "raw"))
+    order = Window.partitionBy("k").orderBy(F.desc("votes"), *PLACE)
+    best = candidates(spark, sf_dir).withColumn("place", F.row_number().over(order)).where(F.col("place") <= posts.CANDIDATES)  # cut before the shuffle too
+    blocks = best.select("k", "place", F.posexplode(posts.code_blocks(F.col("post"))).alias("block", "raw"))
     tried = with_usable(blocks, "raw")
     chosen = F.min_by(F.struct(F.col("good").isNotNull().alias("usable"), F.coalesce("good", "raw").alias("code")), F.struct(F.col("good").isNull(), "place", "block"))
     return tried.groupBy("k").agg(chosen.alias("b")).select("k", "b.usable", "b.code")

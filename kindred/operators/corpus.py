@@ -38,6 +38,13 @@ def first_row(df: DataFrame, key: str, *order: str | Column) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def last_row(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """The last row of every key in an order, as where later writes of a key replace earlier ones; rows that are equal by it end by their other columns. One aggregate, so a hot key is added up where it is read."""
+    rest = [c for c in df.columns if c not in order]
+    last = df.groupBy(F.col(key).alias("_key")).agg(F.max(F.struct(*order, *rest)).alias("_row"))
+    return last.select(*(F.col("_row")[c].alias(c) for c in df.columns))
+
+
 def chunked(df: DataFrame, size: int, by: str, *order: str | Column) -> DataFrame:
     """df with chunk: rows of each ``by`` numbered by the columns of order, ascending, ``size`` to a chunk.
 

@@ -182,6 +182,9 @@ def test_anonymized():
     ("while i < j:\n    i += 1\n    j -= 1", ["two_pointers"]),
     ("while i < j:\n    i += 1\n    j += 1", []),
     ("while queue:\n    queue.pop()", []),
+    ("while i < j:\n    i -= 1\n    j += 1", []),
+    ("while j >= i:\n    i += 1\n    j -= 1", ["two_pointers"]),
+    ("while i > j:\n    i += 1\n    j -= 1", []),
 ])
 def test_motifs(source, found):
     assert cd.features(source)["motifs"] == found
