@@ -9,6 +9,8 @@ from kindred.functions import text as tx
 from kindred.jobs.registry import query, table
 from kindred.operators import corpus as ops
 from kindred.operators import evaluation as ev
+from kindred.session import work_path
+from kindred.sources.pages import scan_pages, write_pages
 from kindred.sources.tables import page
 from kindred.streaming.visits import visits
 
@@ -254,3 +256,24 @@ def visit_counter(spark, sf_dir):
 def last_wins(spark, sf_dir):
     """Of the rows that share a key the last one, whatever came before."""
     return ops.last_row(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id")
+
+
+@query("publish_check", "SELECT coalesce(lang, '') AS lang, count(*) AS n_staged, count(*) FILTER (doc_id IS NULL OR doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id IS NOT NULL)) AS n_without FROM documents GROUP BY 1")
+def publish_check(spark, sf_dir):
+    """How many staged documents there are of each language, and how many could not be published as they have no vector."""
+    staged = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"))
+    lacking = ops.without(staged, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id").groupBy("lang").agg(F.count("*").alias("n_without"))
+    return staged.groupBy("lang").agg(F.count("*").alias("n_staged")).join(lacking, "lang", "left").select("lang", "n_staged", F.coalesce("n_without", F.lit(0).cast("long")).alias("n_without"))
+
+
+PAGE = 40
+
+
+@query("page_source", f"SELECT p_partkey, p_name FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) AS n, count(*) OVER () AS total FROM part) WHERE n <= {PAGE} * (ceil(total / {PAGE})::BIGINT * 3 // 4)")
+def page_source(spark, sf_dir):
+    """A catalog written as pages, the last quarter of which begins with one that is cut off, and its scan."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    at, total = work_path(spark, "pages"), part.count()
+    rows = ops.chunked(part.withColumn("_all", F.lit(0)), PAGE, "_all", "p_partkey")
+    write_pages(rows.select(F.col("chunk").alias("page"), "p_partkey", "p_name"), at, total, broken=-(-total // PAGE) * 3 // 4)
+    return scan_pages(spark, at, "p_partkey long, p_name string")

@@ -21,6 +21,19 @@ def published(production: DataFrame, staged: DataFrame, key: str) -> DataFrame:
     return production.unionByName(staged.join(production.select(key), key, "left_anti"))
 
 
+def without(staged: DataFrame, needed: DataFrame, key: str) -> DataFrame:
+    """Staged rows whose key has no row in ``needed``, a null key included."""
+    return staged.join(needed.select(key), key, "left_anti")
+
+
+def published_complete(production: DataFrame, staged: DataFrame, needed: DataFrame, key: str) -> DataFrame:
+    """As ``published``, but refused (KeyError, with one such key) if a staged row lacks what it needs."""
+    first = without(staged, needed, key).select(key).first()
+    if first is not None:
+        raise KeyError(f"a staged row has nothing it needs: {key} = {first[0]!r}")
+    return published(production, staged, key)
+
+
 def overridden(layers: list[DataFrame], key: str) -> DataFrame:
     """One row for every key of any layer, from the last layer that has it; layer counts from 0."""
     every = reduce(DataFrame.unionByName, [d.withColumn("layer", F.lit(i)) for i, d in enumerate(layers)])
