@@ -14,6 +14,7 @@ from kindred.jobs.registry import query, table
 from kindred.operators import evaluation as ev
 from kindred.operators import sets
 from kindred.operators.search import nearest, top_neighbours
+from kindred.operators.set_join import nearest_sets
 from kindred.operators.vectors import BILLION, cosine, cosine_scores, l2_normalized, ranked, ranks_of, score_counts, score_quantiles
 
 K = 10
@@ -104,6 +105,38 @@ def q_ruzicka(spark, sf_dir):
     return top(sets.pair_scores(asked(w), w, "jaccard", F.least("qw", "cw")))
 
 
+MILLION = 1_000_000
+SQL_EXACT = SQL_IDF + f", w AS (SELECT id, tag, round(idf * {MILLION})::BIGINT AS w FROM items JOIN idf USING (tag))"
+SQL_KINDS = f"""items AS (SELECT DISTINCT l_orderkey AS id, unnest(['part ' || l_partkey, 'line ' || l_linenumber, 'flag ' || l_returnflag, 'status ' || l_linestatus]) AS tag FROM lineitem), n AS (SELECT count(*)::DOUBLE AS n FROM orders),
+    w AS (SELECT id, tag, round((ln((SELECT n FROM n) / count(*) OVER (PARTITION BY tag)) + 1) * {MILLION})::BIGINT AS w FROM items)"""
+
+
+def sql_exact_top(weights: str, metric: str) -> str:
+    """Ranked before rounding: integer weights make equal scores equal."""
+    return sql_top(weights, metric).replace("round(2 * shared / (qt + ct), 9) AS score", "2 * shared / (qt + ct) AS score").replace("round(shared / (qt + ct - shared), 9) AS score", "shared / (qt + ct - shared) AS score").replace("SELECT q, c, score, rank FROM", "SELECT q, c, round(score, 9) AS score, rank FROM")
+
+
+def in_millionths(weights: DataFrame) -> DataFrame:
+    return weights.withColumn("w", F.round(F.col("w") * MILLION).cast("long"))
+
+
+@query("set_join", sql_exact_top(SQL_EXACT, "dice"))
+def q_set_join(spark, sf_dir):
+    """wdice_pairs by the exact set join."""
+    w = in_millionths(weighted(spark, sf_dir))
+    return nearest_sets(asked(w), w, K).withColumn("score", F.round("score", 9))
+
+
+@query("hot_tag_join", sql_exact_top(SQL_KINDS, "jaccard"))
+def q_hot_tag_join(spark, sf_dir):
+    """Orders by their parts, numbers of lines, flags and states, tags that up to most of the orders have."""
+    kinds = F.array(*(F.concat(F.lit(f"{name} "), F.col(c).cast("string")) for name, c in (("part", "l_partkey"), ("line", "l_linenumber"), ("flag", "l_returnflag"), ("status", "l_linestatus"))))
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.explode(kinds).alias("tag")).distinct()
+    idf = sets.tag_idf(items, table(spark, sf_dir, "orders").count()).select("tag", F.col("idf").alias("w"))
+    w = in_millionths(items.join(idf, "tag").select("id", "tag", "w"))
+    return nearest_sets(asked(w), w, K, "jaccard").withColumn("score", F.round("score", 9))
+
+
 SQL_LEVEL = "CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END"
 
 
