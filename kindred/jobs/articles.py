@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from kindred.functions import code
 from kindred.functions import text as tx
 from kindred.jobs.registry import query, table
+from kindred.operators import sets
 from kindred.operators.sampling import stratified
+from kindred.session import work_path
 
 COSTS = ["O(1)", "O(\\log n)", "O(n)", "O(n log n)", "O(n^2)", "O(n * m)", "O(2^n)"]
 RANKS = [0.0, None, 2.0, 3.0, 4.0, 3.5, 6.0]
@@ -90,34 +92,63 @@ def signature_bag(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", stub().alias("stub")).select("p_partkey", tx.signature_bag("stub", F.lit("work")).alias("bag"))
 
 
-#: One function of every kind, named by the row; the last does not parse.
-PROGRAMS = [
-    "def {n}(nums, target):\n    lo, hi = 0, len(nums)\n    while lo < hi:\n        mid = (lo + hi) // 2\n        if nums[mid] < target:\n            lo = mid + 1\n        else:\n            hi = mid\n    return lo\n",
-    "def {n}(s):\n    a, b = 0, len(s) - 1\n    while a < b:\n        if s[a] != s[b]:\n            return False\n        a += 1\n        b -= 1\n    return True\n",
-    "def {n}(k):\n    if k < 2:\n        return k\n    return {n}(k - 1) + {n}(k - 2)\n",
-    "def {n}(grid):\n    total = 0\n    for row in grid:\n        for x in row:\n            total += x\n    return total\n",
-    "def {n}(:\n    return\n",
-]
+SQL_PROGRAMS = """programs AS (SELECT p_partkey, p_size, p_partkey % 11 < 10 AS good, p_size % 4 AS deep, p_partkey % 3 = 0 AS search, p_size % 3 = 0 AS pointers, p_size % 5 = 0 AS again,
+    p_partkey % 3 = 0 AND p_size % 7 > 0 AS halves, p_size % 3 = 0 AND p_partkey % 5 > 0 AS meets FROM part)"""
+SQL_FEATURES = SQL_PROGRAMS + """, features AS (SELECT p_partkey, search::INT + pointers::INT + deep AS n_loops, greatest(deep, (search OR pointers)::INT)::INT AS nesting, again AS recursive, pointers AS early_exit,
+    list_filter([CASE WHEN halves THEN 'binary_search' END, CASE WHEN meets THEN 'two_pointers' END], lambda x: x IS NOT NULL) AS motifs FROM programs WHERE good)"""
 
 
 def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.lit("f"), F.col("p_partkey").cast("string"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.replace(F.get(F.array(*map(F.lit, PROGRAMS)), (F.col("p_partkey") % 5).cast("int")), F.lit("{n}"), name).alias("code"))
-
-
-@query("code_features", """SELECT p_partkey, CASE WHEN p_partkey % 5 < 4 THEN TRUE END AS usable, CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN 2 END::INT AS n_loops, CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN 2 END::INT AS nesting,
-    CASE WHEN p_partkey % 5 < 4 THEN p_partkey % 5 = 2 END AS recursive, CASE WHEN p_partkey % 5 < 4 THEN p_partkey % 5 = 1 END AS early_exit, CASE p_partkey % 5 WHEN 0 THEN 'binary_search' WHEN 1 THEN 'two_pointers' WHEN 4 THEN NULL ELSE '' END AS motifs FROM part""")
+    """A function for each part, put together from its columns: a search that halves or only seems to, two pointers that
+    meet or part, loops in each other, a call of itself; one of eleven does not parse. All names hold the part's number.
+    """
+    k, z = F.col("p_partkey"), F.col("p_size")
+    middle = F.when(z % 7 == 0, "lo{n} * hi{n} // 2").when(k % 2 == 0, "(lo{n} + hi{n}) // 2").otherwise("lo{n} + hi{n} >> 1")
+    search = F.concat(F.lit("    lo{n}, hi{n} = 0, len(a)\n    while lo{n} < hi{n}:\n        mid{n} = "), middle, F.lit("\n        if a[mid{n}] < s:\n            lo{n} = mid{n} + 1\n        else:\n            hi{n} = mid{n}\n"))
+    moves = F.when(k % 5 > 0, "        i{n} += 1\n        j{n} -= 1\n").otherwise("        i{n} -= 1\n        j{n} += 1\n")
+    pointers = F.concat(F.lit("    i{n}, j{n} = 0, len(s) - 1\n    while i{n} < j{n}:\n        if s[i{n}] != s[j{n}]:\n            return False\n"), moves)
+    deep = (z % 4).cast("int")
+    loops = F.array_join(F.transform(F.sequence(F.lit(1), deep + 1), lambda i: F.concat(F.repeat(F.lit("    "), i), F.when(i > deep, "t{n} = 0\n").otherwise(F.concat(F.lit("for x{n}_"), i.cast("string"), F.lit(" in a:\n"))))), "")
+    head = F.when(k % 11 < 10, "def f{n}(a, s):\n").otherwise("def f{n}(:\n")
+    last = F.when(z % 5 == 0, "    return f{n}(a, s)\n").otherwise("    return t{n}\n")
+    text = F.concat(head, F.when(k % 3 == 0, search).otherwise(""), F.when(z % 3 == 0, pointers).otherwise(""), loops, last)
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size", F.replace(text, F.lit("{n}"), k.cast("string")).alias("code"))
+
+
+@query("code_features", f"WITH {SQL_FEATURES} SELECT p_partkey, CASE WHEN good THEN TRUE END AS usable, n_loops, nesting, recursive, early_exit, array_to_string(motifs, ',') AS motifs FROM programs LEFT JOIN features USING (p_partkey)")
 def q_features(spark, sf_dir):
     return programs(spark, sf_dir).select("p_partkey", code.code_features("code").alias("x")).select("p_partkey", "x.usable", "x.n_loops", "x.nesting", "x.recursive", "x.early_exit", F.array_join("x.motifs", ",").alias("motifs"))
 
 
-@query("anonymize_code", "SELECT p_partkey % 5 AS kind, count(*) AS n, count(DISTINCT CASE WHEN p_partkey % 5 IN (2, 4) THEN p_partkey END) + (p_partkey % 5 NOT IN (2, 4))::INT AS n_texts FROM part GROUP BY p_partkey % 5")
+@query("anonymize_code", f"""WITH {SQL_PROGRAMS} SELECT deep AS kind, count(*) AS n, count(DISTINCT CASE WHEN good AND NOT again THEN concat_ws(' ', search, CASE WHEN halves THEN p_partkey % 2 END, search AND NOT halves, pointers, meets) ELSE p_partkey::VARCHAR END) AS n_texts FROM programs GROUP BY deep""")
 def q_anonymize(spark, sf_dir):
-    """Functions that differ by name alone become one text; a call keeps its name, so recursion shows, and what does not parse stays as it is."""
-    rows = programs(spark, sf_dir).select((F.col("p_partkey") % 5).alias("kind"), code.anonymized_code("code").alias("text"))
+    """Functions that differ by names alone become one text; a call keeps its name, so recursion shows, and what does not parse stays as it is."""
+    rows = programs(spark, sf_dir).select((F.col("p_size") % 4).alias("kind"), code.anonymized_code("code").alias("text"))
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("text").alias("n_texts"))
 
 
+@query("derived_tag_pairs", f"""WITH {SQL_FEATURES}, t AS (SELECT p_partkey, list_sort(list_concat(['loops:' || n_loops, 'nesting:' || nesting], CASE WHEN recursive THEN ['recursive'] ELSE [] END, CASE WHEN early_exit THEN ['early_exit'] ELSE [] END, motifs)) AS tags FROM features),
+    r AS (SELECT tags, min(p_partkey) AS id, count(*) AS n FROM t GROUP BY tags), x AS (SELECT id, n, unnest(tags) AS tag FROM r),
+    idf AS (SELECT tag, ln((SELECT sum(n) FROM r)::DOUBLE / sum(n)) + 1 AS w FROM x GROUP BY tag), w AS (SELECT id, tag, w FROM x JOIN idf USING (tag)), total AS (SELECT id, sum(w) AS t FROM w GROUP BY id),
+    p AS (SELECT a.id AS q, b.id AS c, sum(a.w) AS shared FROM w a JOIN w b ON a.tag = b.tag AND a.id <> b.id GROUP BY ALL)
+    SELECT q, c, round(shared / (x.t + y.t - shared), 9) AS score, a.n AS n_q, b.n AS n_c FROM p JOIN total x ON x.id = q JOIN total y ON y.id = c JOIN r a ON a.id = q JOIN r b ON b.id = c""")
+def derived_tag_pairs(spark, sf_dir):
+    """Weighted similarity over the tags that code itself gives, between one representative of each set of tags; n_q and n_c count the programs they stand for."""
+    x = F.col("x")
+    flag = lambda c: F.when(x[c], F.array(F.lit(c))).otherwise(F.array().cast("array<string>"))
+    own = F.array(F.concat(F.lit("loops:"), x["n_loops"].cast("string")), F.concat(F.lit("nesting:"), x["nesting"].cast("string")))
+    tags = F.array_sort(F.concat(own, flag("recursive"), flag("early_exit"), x["motifs"]))
+    reps = programs(spark, sf_dir).select("p_partkey", code.code_features("code").alias("x")).where("x.usable").select("p_partkey", tags.alias("tags"))
+    path = work_path(spark, "tags")
+    reps.groupBy("tags").agg(F.min("p_partkey").alias("id"), F.count("*").alias("n")).write.parquet(path)
+    reps = spark.read.parquet(path)
+    held = reps.select("id", "n", F.explode("tags").alias("tag"))
+    idf = held.groupBy("tag").agg(F.sum("n").alias("df")).select("tag", (F.log(F.lit(float(reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])) / F.col("df")) + 1).alias("w"))
+    w = held.join(idf, "tag").select("id", "tag", "w")
+    n = lambda side: reps.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"))
+    return sets.pair_scores(w, w, "jaccard").join(n("q"), "q").join(n("c"), "c").select("q", "c", F.round("score", 9).alias("score"), "n_q", "n_c")
+
+
 def steps(last: str) -> Column:
     """p_size % 4 + 1 assignments, each from the one before, and a return; names differ from row to row."""
     name = lambda i: F.concat(F.lit("x"), F.col("p_partkey").cast("string"), F.lit("_"), i.cast("string"))
@@ -154,7 +185,7 @@ def align_signature(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", code.aligned_code(own, stub(), F.lit("work")).alias("code"))
 
 
-@query("motif_counts", "SELECT CASE p_partkey % 5 WHEN 0 THEN 'binary_search' ELSE 'two_pointers' END AS motif, count(*) AS n FROM part WHERE p_partkey % 5 < 2 GROUP BY ALL")
+@query("motif_counts", f"WITH {SQL_FEATURES} SELECT motif, count(*) AS n FROM (SELECT unnest(motifs) AS motif FROM features) GROUP BY motif")
 def motif_counts(spark, sf_dir):
     return programs(spark, sf_dir).select(F.explode(code.code_features("code")["motifs"]).alias("motif")).groupBy("motif").agg(F.count("*").alias("n"))
 

@@ -46,35 +46,52 @@ def first_nested(spark, sf_dir):
 
 # --- posts with code ----------------------------------------------------------------------------
 
-KINDS = 5
-#: What a post of each kind says after its title; {n} is the part.
-BODIES = [
-    "no code here, only `inline {n}`",
-    "```js\nlet x = {n}\n```\nand\n```\nplain {n}\n```",
-    "```python\nx = ({n}\n```",
-    "```\nother {n}\n```\nthen\n```python3\ndef f{n}(a):\n    return a\n```",
-    "```py\n    def g(self, a):\n        return {n}\n\n    def h(self):\n        pass\n```",
-]
-SQL_BLOCKS = "CASE l_partkey % 5 WHEN 0 THEN [] WHEN 1 THEN ['let x = ' || l_partkey || chr(10), 'plain ' || l_partkey || chr(10)] WHEN 2 THEN ['x = (' || l_partkey || chr(10)] WHEN 3 THEN ['def f' || l_partkey || '(a):' || chr(10) || '    return a' || chr(10), 'other ' || l_partkey || chr(10)] ELSE ['    def g(self, a):' || chr(10) || '        return ' || l_partkey || chr(10) || chr(10) || '    def h(self):' || chr(10) || '        pass' || chr(10)] END"
-SQL_CLASS = "'class Solution:' || chr(10) || '    def g(self, a):' || chr(10) || '        return ' || l_partkey || chr(10) || chr(10) || '    def h(self):' || chr(10) || '        pass' || chr(10)"
+#: A block's statements, by the line's quantity; its kind goes by part and place: a function, a method with some margin, or what does not parse.
+def _sql_body(margin: str) -> str:
+    rows = lambda text: f"array_to_string(list_transform(range(l_quantity::INT % 4), lambda j: {text}), '')"
+    function = "'def f' || l_partkey || '_' || i || '(a):' || chr(10) || " + rows("'    a = a + ' || j || chr(10)") + " || '    return a' || chr(10)"
+    method = f"{margin} || 'def g(self, a):' || chr(10) || " + rows(f"{margin} || '    a = a + ' || j || chr(10)") + f" || {margin} || '    return a' || chr(10)"
+    broken = "'x = (' || l_partkey || chr(10) || " + rows("'y' || j || ' = ' || j || chr(10)")
+    return f"CASE (l_partkey + i) % 3 WHEN 0 THEN {function} WHEN 1 THEN {method} ELSE {broken} END"
+
+
+SQL_WRAPPED = "'class Solution:' || chr(10) || " + _sql_body("'    '")
+SQL_BLOCKS = f"""found AS (SELECT *, list_transform(range(l_suppkey % 3), lambda i: {{'python': (l_partkey + l_suppkey + i) % 3 = 0, 'kind': (l_partkey + i) % 3, 'body': {_sql_body("repeat(' ', 1 + l_suppkey % 5)")}, 'wrapped': {SQL_WRAPPED}}}) AS every FROM lineitem),
+    posts AS (SELECT *, list_concat(list_filter(every, lambda b: b.python), list_filter(every, lambda b: NOT b.python)) AS blocks FROM found)"""
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A post for every line of an order, with votes."""
-    body = F.replace(F.get(F.array(*map(F.lit, BODIES)), (F.col("l_partkey") % KINDS).cast("int")), F.lit("{n}"), F.col("l_partkey").cast("string"))
+    """A post for every line of an order, with votes: up to two code blocks, whose fences, tags, kinds and lengths follow from the line."""
+    p, s, n = F.col("l_partkey"), F.col("l_suppkey"), (F.col("l_quantity").cast("int") % 4)
+    margin = F.repeat(F.lit(" "), (1 + s % 5).cast("int"))
+
+    def rows(text) -> Column:
+        return F.array_join(F.transform(F.filter(F.sequence(F.lit(0), n), lambda j: j < n), lambda j: F.concat(*(text(j.cast("string"))), F.lit("\n"))), "")
+
+    def block(i: Column) -> Column:
+        fence = F.when((p + i) % 2 == 0, "```").otherwise("~~~")
+        tag = F.when((p + s + i) % 3 == 0, "python3").when((p + s + i) % 3 == 1, "").otherwise("js")
+        function = F.concat(F.lit("def f"), p.cast("string"), F.lit("_"), i.cast("string"), F.lit("(a):\n"), rows(lambda j: (F.lit("    a = a + "), j)), F.lit("    return a\n"))
+        method = F.concat(margin, F.lit("def g(self, a):\n"), rows(lambda j: (margin, F.lit("    a = a + "), j)), margin, F.lit("    return a\n"))
+        broken = F.concat(F.lit("x = ("), p.cast("string"), F.lit("\n"), rows(lambda j: (F.lit("y"), j, F.lit(" = "), j)))
+        return F.concat(fence, tag, F.lit("\n"), F.when((p + i) % 3 == 0, function).when((p + i) % 3 == 1, method).otherwise(broken), fence)
+
+    n_blocks = (s % 3).cast("int")
+    blocks = F.transform(F.filter(F.sequence(F.lit(0), n_blocks), lambda i: i < n_blocks), block)
+    body = F.when(n_blocks == 0, F.concat(F.lit("no code here, only `inline "), p.cast("string"), F.lit("`"))).otherwise(F.array_join(blocks, "\nand\n"))
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), *PLACE, F.col("l_quantity").alias("votes"), F.concat(F.lit("# My way\n"), body, F.lit("\nThanks")).alias("post"))
 
 
-@query("code_blocks", f"SELECT l_orderkey AS k, {SQL_PLACE}, {SQL_BLOCKS} AS blocks FROM lineitem")
+@query("code_blocks", f"WITH {SQL_BLOCKS} SELECT l_orderkey AS k, {SQL_PLACE}, list_transform(blocks, lambda b: b.body) AS blocks FROM posts")
 def code_blocks(spark, sf_dir):
     return candidates(spark, sf_dir).select("k", *PLACE, posts.code_blocks(F.col("post")).alias("blocks"))
 
 
-@query("class_wrap", f"SELECT l_orderkey AS k, {SQL_PLACE}, {SQL_CLASS} AS wrapped FROM lineitem WHERE l_partkey % 5 = 4")
+@query("class_wrap", f"WITH {SQL_BLOCKS} SELECT k, {SQL_PLACE}, b.wrapped AS wrapped FROM (SELECT l_orderkey AS k, {SQL_PLACE}, unnest(blocks) AS b FROM posts) WHERE b.kind = 1")
 def class_wrap(spark, sf_dir):
     """Methods dedented, then put a level into a class."""
-    blocks = candidates(spark, sf_dir).where(F.col("l_partkey") % KINDS == 4).select("k", *PLACE, F.explode(posts.code_blocks(F.col("post"))).alias("block"))
-    return blocks.select("k", *PLACE, posts.in_class(F.col("block")).alias("wrapped"))
+    blocks = candidates(spark, sf_dir).select("k", *PLACE, F.explode(posts.code_blocks(F.col("post"))).alias("block"))
+    return blocks.where(F.rlike("block", F.lit("^ +def "))).select("k", *PLACE, posts.in_class(F.col("block")).alias("wrapped"))
 
 
 def with_usable(df: DataFrame, block: str) -> DataFrame:
@@ -84,10 +101,9 @@ def with_usable(df: DataFrame, block: str) -> DataFrame:
     return df.withColumn("good", F.when(F.col("_own"), F.col(block)).when(F.col("_in_class"), F.col("_wrapped"))).drop("_wrapped", "_own", "_in_class")
 
 
-@query("candidate_selection", f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, {SQL_PLACE}) AS place FROM lineitem),
-    good AS (SELECT l_orderkey AS k, place, TRUE AS usable, CASE WHEN l_partkey % 5 = 3 THEN 'def f' || l_partkey || '(a):' || chr(10) || '    return a' || chr(10) ELSE {SQL_CLASS} END AS code FROM c WHERE place <= 6 AND l_partkey % 5 >= 3),
-    rest AS (SELECT l_orderkey AS k, place, FALSE AS usable, ({SQL_BLOCKS})[1] AS code FROM c WHERE place <= 6 AND l_partkey % 5 > 0)
-    SELECT k, usable, code FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY usable DESC, place) AS n FROM (SELECT * FROM good UNION ALL SELECT * FROM rest)) WHERE n = 1""")
+@query("candidate_selection", f"""WITH {SQL_BLOCKS}, c AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, {SQL_PLACE}) AS place FROM posts),
+    b AS (SELECT l_orderkey AS k, place, unnest(blocks) AS b, unnest(range(len(blocks))) AS i FROM c WHERE place <= 6)
+    SELECT k, usable, code FROM (SELECT k, b.kind < 2 AS usable, CASE b.kind WHEN 1 THEN b.wrapped ELSE b.body END AS code, row_number() OVER (PARTITION BY k ORDER BY b.kind < 2 DESC, place, i) AS n FROM b) WHERE n = 1""")
 def candidate_selection(spark, sf_dir):
     """Of the candidates with most votes the first block that is usable Python, else the first block of any; orders without a block are left out."""
     order = Window.partitionBy("k").orderBy(F.desc("votes"), *PLACE)
@@ -98,7 +114,7 @@ def candidate_selection(spark, sf_dir):
     return tried.groupBy("k").agg(chosen.alias("b")).select("k", "b.usable", "b.code")
 
 
-@query("usable_fallback", "SELECT p_partkey, CASE WHEN p_size > 25 AND p_partkey % 5 < 4 THEN 'preferred' ELSE 'base' END AS origin FROM part")
+@query("usable_fallback", "SELECT p_partkey, CASE WHEN p_size > 25 AND p_partkey % 11 < 10 THEN 'preferred' ELSE 'base' END AS origin FROM part")
 def usable_fallback(spark, sf_dir):
     """The preferred source of a key if it is there and usable, else the base one."""
     base = table(spark, sf_dir, "part").select("p_partkey", F.lit("pass").alias("base"))
