@@ -1,6 +1,8 @@
 """What the two substring operators share: finding repeats through anchors, in five steps.
 
-Documents are dealt by doc_id into batches of a few MB. Every window of a fixed length has an
+Documents are dealt by doc_id and text into batches of a few MB, so that rows without an id, or with
+one that many have, fill many batches; only rows that repeat a document wholly share its batch.
+Every window of a fixed length has an
 anchor that depends on its content alone (the smallest hash in it), so equal windows have equal
 anchors. The steps, each a Spark group over packed rows:
 
@@ -22,10 +24,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import pack, text_bytes, unpack, whole_text
+from kindred.llm.common import pack, text_bytes, unpack, whole_text, written
 
 ONCE, AGAIN, HOT = 0, 1, 2
 _ROW = pa.schema([("key", pa.int64()), ("batch", pa.int64()), ("data", pa.binary())])
@@ -57,6 +59,9 @@ def window_minima(hashes: np.ndarray, width: int) -> np.ndarray:
 class Finder:
     """What an operator says about its windows; methods run in tasks."""
 
+    #: whether documents with one doc_id are told apart; rows of passages then get ``tie``, their texts' order
+    ordered = False
+
     #: (anchor hashes, state for later) of a batch
     def anchors(self, ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, object]:
         raise NotImplementedError
@@ -99,6 +104,23 @@ def _by(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(keys[part[0]]), part
 
 
+def text_order(docs: DataFrame) -> DataFrame | None:
+    """doc_id, two hashes of the text and tie, the order of the texts, for documents whose doc_id others have too; None if there are none.
+
+    Texts are dealt by ranges of doc_id and their first letters, so that one doc_id fills many tasks.
+    """
+    own = docs.select("doc_id", "text")
+    again = written(own.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "ids")
+    if again.isEmpty():
+        return None
+    sorted_ = own.join(again, "doc_id", "left_semi").distinct().repartitionByRange("doc_id", F.substring("text", 1, 100)).sortWithinPartitions("doc_id", "text")
+    return written(sorted_.select("doc_id", *_hashes(), F.monotonically_increasing_id().alias("tie")), "ties")
+
+
+def _hashes() -> list[Column]:
+    return [F.xxhash64("text").alias("_h0"), F.xxhash64(F.lit(1), "text").alias("_h1")]
+
+
 def removed_spans(docs: DataFrame, finder: Finder, apply: Callable[[int, bytes, np.ndarray], tuple], schema: pa.Schema, ddl: str, batch_bytes: int = 4_000_000, hot_count: int = 50_000) -> DataFrame:
     """Run the five steps; ``apply(doc_id, text, spans)`` makes one row of each document.
 
@@ -138,10 +160,18 @@ def _carried(docs: DataFrame, finder: Finder, batch_bytes: int, hot_count: int)
     n_buckets = n_batches
     lowest = np.iinfo(np.int64).min
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(lowest)))
-    dealt = docs.select(F.pmod(F.xxhash64(doc_id), F.lit(n_batches)).alias("batch"), doc_id.alias("doc_id"), whole_text().cast("binary").alias("text")).repartition(min(-(-n_batches // 2), 100_000), "batch")
+    own = docs.select(doc_id.alias("doc_id"), whole_text().alias("text"))
+    ties = text_order(own) if finder.ordered else None
+    tied = ["tie"] if ties is not None else []
+    if ties is not None:
+        own = own.select("doc_id", "text", *_hashes()).join(ties, ["doc_id", "_h0", "_h1"], "left").withColumn("tie", F.coalesce("tie", F.lit(0).cast("long")))
+    dealt = own.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).alias("batch"), "doc_id", *tied, F.col("text").cast("binary").alias("text")).repartition(min(-(-n_batches // 2), 100_000), "batch")
+
+    def in_order(t: pa.Table) -> pa.Table:
+        return t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
     def read(t: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-        t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        t = in_order(t)
         return t.column("doc_id").to_numpy(), t.column("text").to_pylist()
 
     def counted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,6 +207,8 @@ def _carried(docs: DataFrame, finder: Finder, batch_bytes: int, hot_count: int)
             kind[part] = unpack(told[key])["k"]
         kind = kind[which]
         to, rows, settled = finder.passages(state, kind == AGAIN, kind == HOT)
+        if tied:
+            rows["tie"] = in_order(text).column("tie").to_numpy()[rows["place"]]
         parts = list(_by(bucket_of(to)))
         keys = [k for k, _ in parts]
         data = [pack(**{name: v[p] for name, v in rows.items()}) for _, p in parts]

@@ -105,6 +105,8 @@ def maximal_repeats(left: list[bytes], right: list[bytes], length: int, least: i
 
 
 class ByteFinder(Finder):
+    ordered = True
+
     def __init__(self, length: int, k: int = 32):
         if length < 2 * k:
             raise ValueError(f"repeats must have {2 * k} bytes at least")
@@ -159,9 +161,10 @@ class ByteFinder(Finder):
         ids, place, start, left = (np.concatenate([r[k] for r in rows]).astype(np.int64) for k in ("id", "place", "start", "left"))
         batch = np.repeat(batches, [len(r["id"]) for r in rows])
         xs = [x for r in rows for x in r["x"]]
-        # By document and place: the first occurrence of a group is the one of least rank.
+        # By document and place: the first occurrence of a group is the one of least rank. Rows that repeat a document share its batch.
         rank = np.empty(len(xs), np.int64)
-        by = np.lexsort((start + left, place, ids))
+        ties = np.concatenate([r["tie"] for r in rows]) if "tie" in rows[0] else np.zeros(len(xs), np.int64)
+        by = np.lexsort((start + left, place, ties, ids))
         rank[by] = np.arange(len(xs))
         spans, owner = [], []
 
