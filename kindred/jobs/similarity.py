@@ -209,6 +209,36 @@ def q_corroborated(spark, sf_dir):
     return base.join(gated, ["q", "c"], "left").select("q", "c", F.round(F.col("score") + 0.2 * F.coalesce("gated", F.lit(0.0)), 12).alias("score"))
 
 
+SWEEP = [(t, w) for t in (0, 1, 2, 3) for w in (0.05, 0.1, 0.2, 0.3)]  # 0 tags at least: the signal without a gate
+
+
+@query("corroboration_sweep", sql_pairs(SQL_PLAIN, "dice") + f""", {SQL_RETURNED}, raw AS (SELECT q, c, least(x.n, y.n) AS n, round(m / (x.t + y.t - m), 9) AS s FROM both2 JOIN rt x ON x.id = q JOIN rt y ON y.id = c),
+    every AS (SELECT t, w, q, c, round(score + w * CASE WHEN n >= t THEN s ELSE 0 END, 12)::DOUBLE AS score FROM scored LEFT JOIN raw USING (q, c), (SELECT unnest([0, 1, 2, 3]) AS t), (SELECT unnest([0.05, 0.1, 0.2, 0.3])::DOUBLE AS w)),
+    best AS (SELECT t, w, q, c, score FROM (SELECT *, row_number() OVER (PARTITION BY t, w, q ORDER BY score DESC, c) AS n FROM every) WHERE n = 1),
+    plain AS (SELECT q, c FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS n FROM scored) WHERE n = 1)
+    SELECT t AS threshold, w AS weight, count(*) AS n, count(*) FILTER (best.c <> plain.c) AS changed, round(avg(score), 9) AS mean_score FROM best JOIN plain USING (q) GROUP BY ALL""")
+def corroboration_sweep(spark, sf_dir):
+    """How often a second signal changes a query's best item, over the tags that both sides need and the signal's weight, the signal without a gate among them.
+
+    All settings are aggregates of one pass over the pairs, added up before the shuffle.
+    """
+    w = plain(spark, sf_dir)
+    base = sets.pair_scores(asked(w), w, "dice").select("q", "c", F.round("score", 9).alias("score"))
+    back = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").groupBy(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("tag")).agg(F.sum("l_quantity").alias("w"))
+    rich = back.groupBy("id").agg(F.count("*").alias("n"))
+    second = sets.pair_scores(asked(back), back, "jaccard", F.least("qw", "cw")).withColumnRenamed("score", "second").join(rich.select(F.col("id").alias("q"), F.col("n").alias("qn")), "q").join(rich.select(F.col("id").alias("c"), F.col("n").alias("cn")), "c")
+    pairs = base.join(second, ["q", "c"], "left")
+
+    def best(t: int, weight: float):
+        signal = F.coalesce(sets.gated(F.col("qn"), F.col("cn"), F.round("second", 9), t), F.lit(0.0))
+        return F.min(F.struct((-F.round(F.col("score") + weight * signal, 12)).alias("score"), "c"))
+
+    settings = [F.struct(F.lit(t).alias("threshold"), F.lit(x).alias("weight"), best(t, x).alias("best")) for t, x in SWEEP]
+    by_query = pairs.groupBy("q").agg(F.min(F.struct((-F.col("score")).alias("score"), "c")).alias("plain"), F.array(*settings).alias("settings"))
+    each = by_query.select("plain.c", F.explode("settings").alias("x"))
+    return each.groupBy("x.threshold", "x.weight").agg(F.count("*").alias("n"), F.count_if(F.col("x.best.c") != F.col("c")).alias("changed"), F.round(F.avg(-F.col("x.best.score")), 9).alias("mean_score"))
+
+
 @query("coverage_report", f"WITH {SQL_TAGS}, rich AS (SELECT id, count(*) AS n FROM items GROUP BY id) SELECT t AS threshold, count(*) FILTER (n >= t) AS covered, round(100.0 * count(*) FILTER (n >= t) / count(*), 9)::DOUBLE AS percent FROM rich, (SELECT unnest([2, 3, 4, 5, 6]) AS t) GROUP BY t")
 def q_coverage(spark, sf_dir):
     rich = tags(spark, sf_dir).groupBy("id").agg(F.count("*").alias("n"))
