@@ -129,7 +129,7 @@ def q_set_join(spark, sf_dir):
 
 @query("hot_tag_join", sql_exact_top(SQL_KINDS, "jaccard"))
 def q_hot_tag_join(spark, sf_dir):
-    """Orders by their parts, numbers of lines, flags and states, tags that up to most of the orders have."""
+    """Orders by their parts, numbers of lines, flags and states: twelve tags are frequent."""
     kinds = F.array(*(F.concat(F.lit(f"{name} "), F.col(c).cast("string")) for name, c in (("part", "l_partkey"), ("line", "l_linenumber"), ("flag", "l_returnflag"), ("status", "l_linestatus"))))
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.explode(kinds).alias("tag")).distinct()
     idf = sets.tag_idf(items, table(spark, sf_dir, "orders").count()).select("tag", F.col("idf").alias("w"))
