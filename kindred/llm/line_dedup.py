@@ -8,17 +8,26 @@ distinct pairs are range-partitioned and sorted, and the rank is partition and r
 suffixes that share their rank with another go into the next round; rounds end when none does.
 
 Suffixes that share a rank are a longest-common-prefix interval of that depth or more, and the
-intervals of all depths are the tree. Of each interval the first occurrence, by doc_id and line,
-stays; all lines of the others are deleted. Spans that overlap or touch are one run. At ``least`` = 1
-the single lines of a later copy are in intervals of their own, so the deeper ones add no line to
-what is deleted; they tell how long the runs are that stood before (``depth``).
+intervals of all depths are the tree. The rounds are then walked back, from the deepest: a line's run
+grows by 2^k lines where an earlier place has the same run and the same 2^k lines after it. So each
+line gets the exact length of the longest run from it that also starts earlier (``longest_runs``).
+Runs inside the run of the line before are left out, which leaves the maximal ones. A maximal run of
+``least`` lines and ``least_words`` words or more goes, so a short line goes with the run that it
+belongs to and stays where it is repeated alone. Runs are judged on the input, and may overlap the
+place they repeat; spans that overlap or touch are one run of the result.
+
+In the walk back, places that have the same run so far are a class. Of those that agree on the next
+2^k lines all but the first, by doc_id, text and line, grow; the first stays in its class and stands in
+the new one as a witness. A place that grew is never missed by the class it left, as the first has the
+same lines and is earlier. A class has one witness, so rows at most double.
 
 DataFrame functions only: joins and aggregates on ranks, with counts added up before the shuffle;
 a window runs only within a document. The first occurrence comes with the rank, and both from a
 written table, so a hot line is a hot key of a join alone, which adaptive execution splits. Defined
 cases: a null text is one empty line; lines without a word are not part of runs, but those inside a
 deleted run go with it; rows with the same doc_id and text are one document and get the same result;
-a null doc_id comes before all others; an empty table gives no rows; other columns are not read.
+texts of one doc_id come in the order of their MD5; a null doc_id comes before all others; a very long
+text is that many lines and is not cut; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +40,7 @@ from pyspark.sql import functions as F
 from kindred.llm.common import whole_text, written
 
 _WORD = r"[^\x20\x09-\x0D]"
-#: What tells documents apart: doc_id and a 128-bit hash of the text, which may be null.
+#: What tells documents apart: doc_id and 120 bits of the text's MD5.
 ROW = ["doc_id", "_text0", "_text1"]
 
 
@@ -40,17 +49,16 @@ def _hashes(x: Column, name: str) -> list[Column]:
 
 
 def row_key() -> list[Column]:
-    id_ = F.col("doc_id").cast("long")
-    # The hash of a null is that of no column at all, and a text may have it; a null doc_id is told apart in joins.
-    return [id_.alias("doc_id"), *_hashes(F.coalesce(F.col("text").cast("string"), F.lit("\n\x00null")), "_text")]
+    part = lambda at, name: F.conv(F.substring(F.md5(whole_text()), at, 15), 16, 10).cast("long").alias(name)
+    return [F.col("doc_id").cast("long").alias("doc_id"), part(1, "_text0"), part(16, "_text1")]
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
-    """ROW, line_no (from 0, of the text), seq (of lines with a word) and the line's id (two longs)."""
-    line = lambda x, i: F.struct(i.alias("line_no"), F.rlike(x, F.lit(_WORD)).alias("used"), *_hashes(x, "id"))
-    lines = F.filter(F.transform(F.split(whole_text(), "\n"), line), lambda x: x["used"])
+    """ROW, line_no (from 0, of the text), seq (of lines with a word), n_words and the line's id (two longs)."""
+    line = lambda x, i: F.struct(i.alias("line_no"), F.regexp_count(x, F.lit(_WORD + "+")).cast("long").alias("n_words"), *_hashes(x, "id"))
+    lines = F.filter(F.transform(F.split(whole_text(), "\n"), line), lambda x: x["n_words"] > 0)
     rows = docs.select(*row_key(), lines.alias("_lines"))
-    return rows.select(*ROW, F.posexplode("_lines").alias("seq", "x")).select(*ROW, "seq", "x.line_no", "x.id0", "x.id1")
+    return rows.select(*ROW, F.posexplode("_lines").alias("seq", "x")).select(*ROW, "seq", "x.line_no", "x.n_words", "x.id0", "x.id1")
 
 
 def _ranked(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,21 +70,28 @@ def _ranked(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def first_ranks(lines: DataFrame) -> DataFrame:
-    """Lines that occur again: ROW, seq, line_no, last_line, rank (the order of their ids) and first."""
+    """Lines that occur again: ROW, seq, line_no, last_line, n_words, rank (the order of their ids) and first."""
     # Rows that repeat a document have the same lines at the same places.
     return written(_ranked(lines, ["id0", "id1"]).dropDuplicates([*ROW, "seq"]).withColumn("last_line", F.col("line_no")), "suffixes")
 
 
+def _place(seq: Column) -> list[Column]:
+    """A line's place, as a join key: null doc_ids equal each other here, as none of the values is null."""
+    return [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.col("_text0").alias("_t0"), F.col("_text1").alias("_t1"), seq.alias("_at")]
+
+
+_PLACE = ["_id", "_null", "_t0", "_t1", "_at"]
+
+
 def longer_ranks(now: DataFrame, step: int) -> DataFrame:
     """A round: the ranks of runs that are ``step`` lines longer, of those that occur again.
 
     seq counts all lines with a word, so a run goes on only if the line ``step`` later is still here.
+    n_words is that of the two runs, which is the longer run's where they do not overlap.
     """
-    # Null doc_ids equal each other here: the key is made of values that are never null.
-    key = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"), "_text0", "_text1"]
-    names = ["_id", "_null", "_text0", "_text1", "seq"]
-    later = now.select(*key, (F.col("seq") - step).alias("seq"), F.col("rank").alias("_next"), F.col("last_line"))
-    pairs = now.select(*key, "doc_id", "seq", "line_no", F.col("rank").alias("_own")).join(later, names).drop("_id", "_null")
+    later = now.select(*_place(F.col("seq") - step), F.col("rank").alias("_next"), "last_line", F.col("n_words").alias("_more"))
+    own = now.select(*_place(F.col("seq")), *ROW, "seq", "line_no", "n_words", F.col("rank").alias("_own"))
+    pairs = own.join(later, _PLACE).withColumn("n_words", F.col("n_words") + F.col("_more")).drop(*_PLACE, "_more")
     return written(_ranked(pairs, ["_own", "_next"]), "suffixes")
 
 
@@ -117,18 +132,58 @@ def interval_tree(docs: DataFrame, least: int = 2) -> DataFrame:
     return out
 
 
-def duplicate_runs(docs: DataFrame, least: int = 1) -> DataFrame:
-    """What the intervals' later occurrences cover, merged: ROW, first_line, last_line (by text line), n_lines and depth (of the deepest interval)."""
-    later = interval_tree(docs, least).where(~F.col("first"))
-    within = Window.partitionBy(*ROW).orderBy("seq", "depth")
-    reach = F.max(F.col("seq") + F.col("depth")).over(within.rowsBetween(Window.unboundedPreceding, -1))
-    island = later.withColumn("_new", F.coalesce(F.col("seq") > reach, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*ROW, "_run").agg(F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), (F.max(F.col("seq") + F.col("depth")) - F.min("seq")).alias("n_lines"), F.max("depth").alias("depth"))
+_RUN = [*ROW, "seq", "line_no", "last_line", "n_lines", "n_words", "own", "born", "class"]
+
+
+def _grown(state: DataFrame, now: DataFrame, step: int) -> DataFrame:
+    """A step back: runs of the state that grow by the ``step`` lines of now's ranks, and those that do not."""
+    after = now.select(*_place(F.col("seq")), F.col("rank").alias("_next"), F.col("last_line").alias("_last"), F.col("n_words").alias("_more"))
+    looked = written(state.select(*_place(F.col("seq") + F.col("n_lines")), *_RUN).join(after, _PLACE, "left").drop(*_PLACE), "looked")
+    place, keys = F.struct(*ROW, "seq"), ["born", "class", "_next"]
+    again = looked.where("_next IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("_n"), F.min(place).alias("_first")).where("_n > 1").drop("_n")
+    classes = written(again.withColumn("_class", F.monotonically_increasing_id()), "classes")
+    as_is = F.struct("last_line", "n_lines", "n_words", "own", "born", "class")
+    longer = lambda own: F.struct(F.col("_last").alias("last_line"), (F.col("n_lines") + step).alias("n_lines"), (F.col("n_words") + F.col("_more")).alias("n_words"), F.lit(own).alias("own"), F.lit(2 * step + 1).cast("long").alias("born"), F.col("_class").alias("class"))
+    to = F.when(F.col("_class").isNull(), F.array(as_is)).when(place == F.col("_first"), F.array(as_is, longer(False))).otherwise(F.array(longer(True)))
+    return looked.join(classes, keys, "left").select(*ROW, "seq", "line_no", F.explode(to).alias("x")).select(*ROW, "seq", "line_no", "x.*").select(*_RUN)
+
+
+def longest_runs(lines: DataFrame) -> DataFrame:
+    """Lines that stood before: ROW, seq, line_no, last_line, n_lines and n_words of the longest run from there that also starts at an earlier place."""
+    rounds = [now for _, now in levels(lines, 1)]  # of the last one no run occurs again
+    runs = lambda df, k, own: df.select(*ROW, "seq", "line_no", "last_line", F.lit(1 << k).cast("long").alias("n_lines"), "n_words", F.lit(own).alias("own"), F.lit(2 << k).cast("long").alias("born"), F.col("rank").alias("class"))
+    state = runs(rounds[-1], len(rounds) - 1, True)
+    for k in reversed(range(len(rounds) - 1)):
+        now, deeper = rounds[k], rounds[k + 1]
+        # Where a longer run stood before, its line is in the state already.
+        had = deeper.where("NOT first").select(*_place(F.col("seq")))
+        fresh = written(now.where("NOT first").select("*", *_place(F.col("seq"))).join(had, _PLACE, "left_anti").drop(*_PLACE), "fresh")
+        witnesses = now.where("first").join(fresh.select("rank").distinct(), "rank", "left_semi")
+        grown = _grown(state, now, 1 << k) if k + 2 < len(rounds) else state
+        state = written(grown.unionByName(runs(fresh, k, True)).unionByName(runs(witnesses, k, False)), "state")
+    return state.where("own").drop("own", "born", "class")
+
+
+def maximal_runs(docs: DataFrame, least: int = 1, least_words: int = 0) -> DataFrame:
+    """Runs of ``least`` lines and ``least_words`` words or more that also start earlier, less those inside the run of the line before: ROW, seq, line_no, last_line, n_lines, n_words."""
+    if least < 1:
+        raise ValueError("a run has one line at least")
+    within = Window.partitionBy(*ROW).orderBy("seq")
+    runs = longest_runs(numbered_lines(docs)).withColumn("_end", F.col("seq") + F.col("n_lines")).withColumn("_before", F.lag("_end").over(within))
+    return runs.where(F.col("_before").isNull() | (F.col("_before") < F.col("_end"))).where((F.col("n_lines") >= least) & (F.col("n_words") >= least_words)).drop("_end", "_before")
+
+
+def duplicate_runs(docs: DataFrame, least: int = 1, least_words: int = 0) -> DataFrame:
+    """What the maximal runs cover, merged: ROW, first_line, last_line (by text line), n_lines and depth (lines of the longest maximal run)."""
+    within = Window.partitionBy(*ROW).orderBy("seq")
+    reach = F.max(F.col("seq") + F.col("n_lines")).over(within.rowsBetween(Window.unboundedPreceding, -1))
+    island = maximal_runs(docs, least, least_words).withColumn("_new", F.coalesce(F.col("seq") > reach, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    return island.groupBy(*ROW, "_run").agg(F.min("line_no").alias("first_line"), F.max("last_line").alias("last_line"), (F.max(F.col("seq") + F.col("n_lines")) - F.min("seq")).alias("n_lines"), F.max("n_lines").alias("depth"))
 
 
-def remove_repeated_lines(docs: DataFrame, least: int = 1) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, least: int = 1, least_words: int = 0) -> DataFrame:
     """doc_id, n_lines (with a word), n_removed, n_runs, depth (0: none) and kept (the text without later copies of runs)."""
-    runs = duplicate_runs(docs, least).groupBy(*ROW).agg(F.flatten(F.collect_list(F.sequence("first_line", "last_line"))).alias("_gone"), F.sum("n_lines").alias("n_removed"), F.count("*").alias("n_runs"), F.max("depth").alias("depth"))
+    runs = duplicate_runs(docs, least, least_words).groupBy(*ROW).agg(F.flatten(F.collect_list(F.sequence("first_line", "last_line"))).alias("_gone"), F.sum("n_lines").alias("n_removed"), F.count("*").alias("n_runs"), F.max("depth").alias("depth"))
     texts = docs.select(*row_key(), F.split(whole_text(), "\n").alias("_lines"))
     n_lines = F.size(F.filter("_lines", lambda x: F.rlike(x, F.lit(_WORD)))).cast("long")
     told = runs.select(*(F.col(c).alias(f"_{c}") for c in ROW), "_gone", "n_removed", "n_runs", "depth")
@@ -140,24 +195,27 @@ def remove_repeated_lines(docs: DataFrame, least: int = 1) -> DataFrame:
     return df.select("doc_id", "n_lines", zero("n_removed"), zero("n_runs"), zero("depth"), F.array_join(kept, "\n").alias("kept"))
 
 
-# Brute force: every run of 1, 2, 4, ... lines against the first place where it stands.
-ORACLE = r"""WITH d AS (SELECT DISTINCT doc_id, text, coalesce(text, '') AS t FROM documents),
-    raw AS (SELECT doc_id, text, string_split(t, chr(10)) AS lines FROM d),
-    l AS (SELECT doc_id, text, list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS own, list_filter(range(len(lines)), lambda i: regexp_matches(lines[i + 1], '[^\x20\x09-\x0D]')) AS at, lines FROM raw),
-    runs AS (SELECT doc_id, text, p, n, md5(array_to_string(list_slice(own, p, p + n - 1), chr(10))) AS run FROM (SELECT *, unnest(range(1, len(own) + 1)) AS p FROM l) CROSS JOIN (SELECT 1 << k AS n FROM range(0, 16) s(k)) WHERE p + n - 1 <= len(own)),
-    later AS (SELECT *, row_number() OVER (PARTITION BY n, run ORDER BY doc_id NULLS FIRST, md5(coalesce(text, '')), p) > 1 AS later FROM runs),
-    gone AS (SELECT DISTINCT doc_id, text, p FROM later WHERE later AND n = 1),
-    deep AS (SELECT doc_id, text, max(n) AS depth FROM later WHERE later GROUP BY ALL),
-    islands AS (SELECT doc_id, text, min(p) AS a, max(p) AS b FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, text ORDER BY p) AS g FROM gone) GROUP BY doc_id, text, g),
-    spans AS (SELECT i.doc_id, i.text, count(*) AS n_runs, sum(b - a + 1) AS n_removed, flatten(list(range(l.at[a]::BIGINT, l.at[b]::BIGINT + 1))) AS lost FROM islands i JOIN l ON l.doc_id IS NOT DISTINCT FROM i.doc_id AND l.text IS NOT DISTINCT FROM i.text GROUP BY ALL)
-    SELECT r.doc_id, len(l.own)::BIGINT AS n_lines, coalesce(s.n_removed, 0)::BIGINT AS n_removed, coalesce(s.n_runs, 0)::BIGINT AS n_runs, coalesce(deep.depth, 0)::BIGINT AS depth,
+#: A run of the query has this many words or more: shorter lines that are repeated alone stay.
+LEAST_WORDS = 5
+
+# Brute force: runs grow by one line as long as they occur again.
+ORACLE = rf"""WITH RECURSIVE raw AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(t)) AS r, string_split(t, chr(10)) AS lines FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents)),
+    l AS (SELECT *, list_filter(range(len(lines)), lambda i: regexp_matches(lines[i + 1], '{_WORD}')) AS places FROM raw),
+    line AS (SELECT r, p, md5(x) AS x, len(regexp_extract_all(x, '{_WORD}+')) AS w FROM (SELECT r, unnest(range(1, len(places) + 1)) AS p, unnest(list_transform(places, lambda i: lines[i + 1])) AS x FROM l)),
+    run AS (SELECT 1 AS n, r, p, x, w, count(*) OVER (PARTITION BY x) > 1 AS again, row_number() OVER (PARTITION BY x ORDER BY r, p) > 1 AS later FROM line
+        UNION ALL SELECT a.n + 1, a.r, a.p, md5(a.x || b.x), a.w + b.w, count(*) OVER (PARTITION BY a.x, b.x) > 1, row_number() OVER (PARTITION BY a.x, b.x ORDER BY a.r, a.p) > 1 FROM run a JOIN line b ON b.r = a.r AND b.p = a.p + a.n WHERE a.again),
+    longest AS (SELECT r, p, max(n) AS n, max(w) AS w FROM run WHERE later GROUP BY ALL HAVING max(w) >= {LEAST_WORDS}),
+    gone AS (SELECT DISTINCT r, unnest(range(p, p + n)) AS p FROM longest),
+    islands AS (SELECT r, min(p) AS a, max(p) AS b FROM (SELECT *, p - row_number() OVER (PARTITION BY r ORDER BY p) AS g FROM gone) GROUP BY r, g),
+    spans AS (SELECT i.r, count(*) AS n_runs, sum(b - a + 1) AS n_removed, flatten(list(range(l.places[a]::BIGINT, l.places[b]::BIGINT + 1))) AS lost FROM islands i JOIN l ON l.r = i.r GROUP BY ALL),
+    deep AS (SELECT r, max(n) AS depth FROM longest GROUP BY r)
+    SELECT d.doc_id, len(l.places)::BIGINT AS n_lines, coalesce(s.n_removed, 0)::BIGINT AS n_removed, coalesce(s.n_runs, 0)::BIGINT AS n_runs, coalesce(deep.depth, 0)::BIGINT AS depth,
         sha256(array_to_string(CASE WHEN s.lost IS NULL THEN l.lines ELSE list_transform(list_filter(range(len(l.lines)), lambda i: NOT list_contains(s.lost, i)), lambda i: l.lines[i + 1]) END, chr(10))) AS kept_sha256
-    FROM documents r JOIN l ON l.doc_id IS NOT DISTINCT FROM r.doc_id AND l.text IS NOT DISTINCT FROM r.text
-    LEFT JOIN spans s ON s.doc_id IS NOT DISTINCT FROM r.doc_id AND s.text IS NOT DISTINCT FROM r.text LEFT JOIN deep ON deep.doc_id IS NOT DISTINCT FROM r.doc_id AND deep.text IS NOT DISTINCT FROM r.text"""
+    FROM documents d JOIN l ON l.doc_id IS NOT DISTINCT FROM d.doc_id AND l.t = coalesce(d.text, '') LEFT JOIN spans s ON s.r = l.r LEFT JOIN deep ON deep.r = l.r"""
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.registry import table
 
-    got = remove_repeated_lines(table(spark, sf_dir, "documents"))
+    got = remove_repeated_lines(table(spark, sf_dir, "documents"), least_words=LEAST_WORDS)
     return got.select("doc_id", "n_lines", "n_removed", "n_runs", "depth", F.sha2("kept", 256).alias("kept_sha256"))
