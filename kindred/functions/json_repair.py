@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,7 +61,12 @@ def repaired(x: Column) -> Column:
     return F.aggregate(F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0)), start, lambda s, t: step(s, t).cast(STATE), end)
 
 
+def named(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x computed once, however often f names it; nor is a struct that f makes split up and computed field by field."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def json_or_repaired(x: Column) -> Column:
     """x where it parses as it is, else repaired where that parses, else null."""
-    fixed = F.get(F.transform(F.array(repaired(x)), lambda r: F.when(F.try_parse_json(r).isNotNull(), r)), F.lit(0))
-    return F.when(F.try_parse_json(x).isNotNull(), x).otherwise(fixed)
+    valid = lambda r: F.when(F.try_parse_json(r).isNotNull(), r)
+    return named(x, lambda y: F.coalesce(valid(y), named(repaired(y), valid)))

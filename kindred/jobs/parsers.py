@@ -11,6 +11,7 @@ from kindred.functions.signatures import signature_bag
 from kindred.jobs.posts import PLACE, SQL_PLACE
 from kindred.jobs.registry import query, table
 from kindred.operators import sets
+from kindred.session import spread, work_path
 
 
 def _when(test: str, text: str) -> Column:
@@ -25,7 +26,7 @@ def repaired_analysis(spark, sf_dir):
     listed = F.concat(F.lit('{"techniques": ['), technique, _when("p_size % 2 = 0", ","), _when("p_size % 3 <> 0", "]"))
     last = F.when(F.expr("p_size % 5 = 4"), F.lit("null")).when(F.expr("p_partkey % 4 = 1"), F.concat(F.lit('"'), F.col("p_brand"), F.lit('\\"'))).otherwise(brand)
     raw = F.concat(F.lit("It is:\n"), listed, F.when(F.expr("p_size % 3 = 0"), "], ").otherwise(", "), F.lit("mechanism: "), last, F.lit("}"))
-    got = table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw")).select("p_partkey", tx.parsed_analysis("raw").alias("x"))
+    got = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", raw.alias("raw")).select("p_partkey", tx.parsed_analysis("raw").alias("x"))
     return got.select("p_partkey", "x.ok", "x.error", F.get("x.value.techniques", F.lit(0))["name"].alias("technique"), F.col("x.value.mechanism").alias("mechanism"))
 
 
@@ -69,7 +70,7 @@ def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("p_partkey") % 11 > 0, "work").otherwise("other")
     result = F.when(F.col("p_partkey") % 2 == 0, " -> Tuple[int, int, int]").otherwise("")
     stub = F.concat(F.lit("class Solution:\n    def "), name, F.lit("(self, "), F.array_join(args, ", "), F.lit(")"), result, F.lit(":\n        "))
-    return table(spark, sf_dir, "part").select("p_partkey", stub.alias("stub")).select("p_partkey", signature_bag(F.col("stub"), F.lit("work")).alias("bag"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", stub.alias("stub")).select("p_partkey", signature_bag(F.col("stub"), F.lit("work")).alias("bag"))
 
 
 @query("signature_depths", f"WITH {SQL_SIGNATURES} SELECT p_partkey, bag FROM s")
@@ -90,7 +91,9 @@ def signature_coverage(spark, sf_dir):
     SELECT q, c, round(score, 9) AS score, a.n AS n_q, b.n AS n_c FROM m JOIN r a ON a.id = q JOIN r b ON b.id = c""")
 def signature_matrix(spark, sf_dir):
     """Ruzicka similarity of signatures, ones on the diagonal, between one representative of each equal bag; n_q and n_c count the rows they stand for."""
-    own = signatures(spark, sf_dir).where("bag IS NOT NULL").groupBy("bag").agg(F.min("p_partkey").alias("id"), F.count("*").alias("n"))
+    path = work_path(spark, "bags")
+    signatures(spark, sf_dir).groupBy("bag").agg(F.min("p_partkey").alias("id"), F.count("*").alias("n")).write.parquet(path)
+    own = spark.read.parquet(path).where("bag IS NOT NULL")  # dropped here, so that each signature is read once
     bags = own.select("id", F.explode("bag").alias("tag")).groupBy("id", "tag").agg(F.count("*").alias("w"))
     pairs = sets.matrix(bags, bags, own.select("id"), "jaccard", F.least("qw", "cw"))
     n = lambda side: own.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"))
