@@ -14,7 +14,7 @@ from kindred.functions import text as tx
 from kindred.jobs.registry import query, table
 from kindred.operators import sets
 from kindred.operators.sampling import stratified
-from kindred.session import work_path
+from kindred.session import spread, work_path
 
 COSTS = ["O(1)", "O(\\log n)", "O(n)", "O(n log n)", "O(n^2)", "O(n * m)", "O(2^n)"]
 RANKS = [0.0, None, 2.0, 3.0, 4.0, 3.5, 6.0]
@@ -53,7 +53,7 @@ def best_approach(spark, sf_dir):
 def parse_analysis(spark, sf_dir):
     whole = F.struct(F.array(F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("role"))).alias("techniques"), F.when(F.col("p_size") % 7 == 0, " ").otherwise(F.col("p_brand")).alias("mechanism"))
     raw = F.when(F.col("p_size") % 5 == 0, F.col("p_name")).otherwise(F.concat(F.lit("```json\n"), F.to_json(whole), F.lit("\n```")))
-    got = table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw")).select("p_partkey", tx.parsed_analysis("raw").alias("x"))
+    got = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", raw.alias("raw")).select("p_partkey", tx.parsed_analysis("raw").alias("x"))
     return got.select("p_partkey", "x.ok", "x.error", F.get("x.value.techniques", F.lit(0))["name"].alias("technique"))
 
 
@@ -89,7 +89,7 @@ def stub() -> Column:
 
 @query("signature_bag", f"SELECT p_partkey, {SQL_BAG} AS bag FROM part")
 def signature_bag(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", stub().alias("stub")).select("p_partkey", tx.signature_bag("stub", F.lit("work")).alias("bag"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", stub().alias("stub")).select("p_partkey", tx.signature_bag("stub", F.lit("work")).alias("bag"))
 
 
 SQL_PROGRAMS = """programs AS (SELECT p_partkey, p_size, p_partkey % 11 < 10 AS good, p_size % 4 AS deep, p_partkey % 3 = 0 AS search, p_size % 3 = 0 AS pointers, p_size % 5 = 0 AS again,
@@ -112,7 +112,7 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.when(k % 11 < 10, "def f{n}(a, s):\n").otherwise("def f{n}(:\n")
     last = F.when(z % 5 == 0, "    return f{n}(a, s)\n").otherwise("    return t{n}\n")
     text = F.concat(head, F.when(k % 3 == 0, search).otherwise(""), F.when(z % 3 == 0, pointers).otherwise(""), loops, last)
-    return table(spark, sf_dir, "part").select("p_partkey", "p_size", F.replace(text, F.lit("{n}"), k.cast("string")).alias("code"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", "p_size", F.replace(text, F.lit("{n}"), k.cast("string")).alias("code"))
 
 
 @query("code_features", f"WITH {SQL_FEATURES} SELECT p_partkey, CASE WHEN good THEN TRUE END AS usable, n_loops, nesting, recursive, early_exit, array_to_string(motifs, ',') AS motifs FROM programs LEFT JOIN features USING (p_partkey)")
@@ -137,11 +137,12 @@ def derived_tag_pairs(spark, sf_dir):
     x = F.col("x")
     flag = lambda c: F.when(x[c], F.array(F.lit(c))).otherwise(F.array().cast("array<string>"))
     own = F.array(F.concat(F.lit("loops:"), x["n_loops"].cast("string")), F.concat(F.lit("nesting:"), x["nesting"].cast("string")))
-    tags = F.array_sort(F.concat(own, flag("recursive"), flag("early_exit"), x["motifs"]))
-    reps = programs(spark, sf_dir).select("p_partkey", code.code_features("code").alias("x")).where("x.usable").select("p_partkey", tags.alias("tags"))
+    # Programs that do not parse are one group, dropped once it is written: a filter before that would walk each program twice.
+    tags = F.when(x["usable"], F.array_sort(F.concat(own, flag("recursive"), flag("early_exit"), x["motifs"])))
+    reps = programs(spark, sf_dir).select("p_partkey", code.code_features("code").alias("x")).select("p_partkey", tags.alias("tags"))
     path = work_path(spark, "tags")
     reps.groupBy("tags").agg(F.min("p_partkey").alias("id"), F.count("*").alias("n")).write.parquet(path)
-    reps = spark.read.parquet(path)
+    reps = spark.read.parquet(path).where("tags IS NOT NULL")
     held = reps.select("id", "n", F.explode("tags").alias("tag"))
     idf = held.groupBy("tag").agg(F.sum("n").alias("df")).select("tag", (F.log(F.lit(float(reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])) / F.col("df")) + 1).alias("w"))
     w = held.join(idf, "tag").select("id", "tag", "w")
@@ -159,7 +160,7 @@ def steps(last: str) -> Column:
 
 @query("anonymized_text", """SELECT p_partkey, 'def solve(v' || (p_size % 4 + 1) || '):' || chr(10) || array_to_string(list_transform(range(0, p_size % 4 + 1), lambda i: '    v' || i || ' = v' || CASE WHEN i = 0 THEN p_size % 4 + 1 ELSE i - 1 END || ' * ' || i || chr(10)), '') || '    return v' || (p_size % 4) AS text FROM part""")
 def anonymized_text(spark, sf_dir):
-    p = table(spark, sf_dir, "part").withColumn("p", F.concat(F.lit("a"), F.col("p_partkey").cast("string")))
+    p = spread(table(spark, sf_dir, "part"), "p_partkey").withColumn("p", F.concat(F.lit("a"), F.col("p_partkey").cast("string")))
     return p.select("p_partkey", code.anonymized_code(F.concat(F.lit("def g"), F.col("p"), F.lit("("), F.col("p"), F.lit("):\n"), steps("p"))).alias("text"))
 
 
@@ -171,7 +172,7 @@ def code_shapes(spark, sf_dir):
     nested = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), deep + 1), lambda i: F.concat(F.repeat(F.lit("    "), i), F.when(i > deep, "n = 0\n").otherwise("for i in a:\n"))), ""))
     body = F.concat(nested, F.repeat(F.concat(F.lit("    while n:\n"), way_out), flat), F.when(F.col("p_size") % 2 == 1, "    n = f(a)\n").otherwise("    n = g(a)\n"))
     features = code.code_features(F.concat(F.lit("def f(a):\n"), body)).alias("x")
-    return table(spark, sf_dir, "part").select("p_partkey", features).select("p_partkey", "x.usable", "x.n_loops", "x.nesting", "x.recursive", "x.early_exit")
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", features).select("p_partkey", "x.usable", "x.n_loops", "x.nesting", "x.recursive", "x.early_exit")
 
 
 @query("align_signature", """WITH c AS (SELECT p_partkey, p_size, 'x' || p_partkey AS x, p_partkey % 2 = 0 AS two, p_partkey % 3 > 0 AS given FROM part)
@@ -182,7 +183,7 @@ def align_signature(spark, sf_dir):
     x = F.concat(F.lit("x"), F.col("p_partkey").cast("string"))
     more = F.when(F.col("p_partkey") % 3 > 0, ", y").otherwise("")
     own = F.concat(F.lit("class Solution:\n    def work(self, "), x, more, F.lit("):\n        t = "), x, F.lit(" + "), F.col("p_size").cast("string"), F.lit("\n        return t\n"))
-    return table(spark, sf_dir, "part").select("p_partkey", code.aligned_code(own, stub(), F.lit("work")).alias("code"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", code.aligned_code(own, stub(), F.lit("work")).alias("code"))
 
 
 @query("motif_counts", f"WITH {SQL_FEATURES} SELECT motif, count(*) AS n FROM (SELECT unnest(motifs) AS motif FROM features) GROUP BY motif")
