@@ -19,20 +19,19 @@ def _lines(text: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"(?m)^( {0,3})\t", "    ")
 
     def look(x: Column) -> Column:
+        marked = F.rlike(x, F.lit(r"^ {0,3}[`~*+>#_\d-]"))  # what may open anything but a paragraph or indented code; other lines are not looked at further
         fence = F.regexp_extract(x, r"^ {0,3}(`{3,}(?=[^`]*$)|~{3,})", 1)
         item = F.regexp_extract(x, r"^( {0,3}(?:[-*+]|\d{1,9}[.)])(?: {1,4}(?=\S)| |$))", 1)
         rule = F.rlike(x, F.lit(r"^ {0,3}(?:(?:\* *){3,}|(?:- *){3,}|(?:_ *){3,})$"))
-        return F.struct(
-            x.alias("x"),
-            F.length(F.regexp_extract(x, "^ *", 0)).alias("inset"),
-            (~F.rlike(x, F.lit(r"\S"))).alias("blank"),
+        signs = F.when(marked, F.struct(
             fence.alias("fence"),
             F.trim(F.regexp_extract(x, r"^ {0,3}(?:`{3,}|~{3,})(.*)$", 1)).alias("info"),
             F.rlike(x, F.lit(r"^ {0,3}(?:`{3,}|~{3,}) *$")).alias("bare"),
             F.when((item != "") & ~rule, F.length(item)).otherwise(0).alias("item"),
             F.rlike(x, F.lit("^ {0,3}>")).alias("quote"),
             (rule | F.rlike(x, F.lit(r"^ {0,3}#{1,6}(?: |$)"))).alias("lone"),
-        )
+        )).otherwise(F.struct(F.lit("").alias("fence"), F.lit("").alias("info"), F.lit(False).alias("bare"), F.lit(0).alias("item"), F.lit(False).alias("quote"), F.lit(False).alias("lone")))
+        return F.struct(x.alias("x"), (F.length(x) - F.length(F.ltrim(x))).alias("inset"), (~F.rlike(x, F.lit(r"\S"))).alias("blank"), signs.alias("signs"))
 
     return F.transform(F.split(plain, "\n"), look)
 
@@ -58,20 +57,20 @@ def blocks(text: Column) -> Column:
         x, mode, no = n["x"], s["mode"], F.lit(False)
         cut = lambda most: F.substr(x, F.least(n["inset"], most) + 1)
         # Inside a fence: a bare mark of the same kind, as long at least, ends it.
-        ends = n["bare"] & (n["fence"] != "") & (F.left(n["fence"], F.lit(1)) == s["mark"]) & (F.length(n["fence"]) >= s["width"])
+        ends = n["signs"]["bare"] & (n["signs"]["fence"] != "") & (F.left(n["signs"]["fence"], F.lit(1)) == s["mark"]) & (F.length(n["signs"]["fence"]) >= s["width"])
         inside = F.when(ends, state(s, mode=F.lit("none"), done=closed(s), blank=no)).otherwise(state(s, body=F.concat(s["body"], cut(s["inset"]), F.lit("\n"))))
         # Inside indented code: blank lines wait for what comes.
         goes_on = F.when(n["blank"], state(s, gap=F.concat(s["gap"], F.lit("\n"), F.substr(x, F.lit(5))))).otherwise(state(s, body=F.concat(s["body"], s["gap"], F.lit("\n"), F.substr(x, F.lit(5))), gap=F.lit("")))
-        starts = (n["fence"] != "") | n["quote"] | n["lone"] | (n["item"] > 0)
+        starts = (n["signs"]["fence"] != "") | n["signs"]["quote"] | n["signs"]["lone"] | (n["signs"]["item"] > 0)
         lazy = mode.isin("list", "quote") & ~s["blank"] & ~starts
         held = (mode == "list") & (n["inset"] >= s["inset"])
-        fenced = state(s, mode=F.lit("fence"), mark=F.left(n["fence"], F.lit(1)), width=F.length(n["fence"]), inset=n["inset"], info=n["info"], body=F.lit(""), done=closed(s), blank=no)
+        fenced = state(s, mode=F.lit("fence"), mark=F.left(n["signs"]["fence"], F.lit(1)), width=F.length(n["signs"]["fence"]), inset=n["inset"], info=n["signs"]["info"], body=F.lit(""), done=closed(s), blank=no)
         code = state(s, mode=F.lit("code"), info=F.lit(""), body=F.substr(x, F.lit(5)), gap=F.lit(""), done=closed(s), blank=no)
         fresh = (
-            F.when(n["fence"] != "", fenced)
-            .when(n["quote"], state(s, mode=F.lit("quote"), done=closed(s), blank=no))
-            .when(n["lone"], state(s, mode=F.lit("none"), done=closed(s), blank=no))
-            .when(n["item"] > 0, state(s, mode=F.lit("list"), inset=n["item"], done=closed(s), blank=no))
+            F.when(n["signs"]["fence"] != "", fenced)
+            .when(n["signs"]["quote"], state(s, mode=F.lit("quote"), done=closed(s), blank=no))
+            .when(n["signs"]["lone"], state(s, mode=F.lit("none"), done=closed(s), blank=no))
+            .when(n["signs"]["item"] > 0, state(s, mode=F.lit("list"), inset=n["signs"]["item"], done=closed(s), blank=no))
             .when((n["inset"] >= 4) & ((mode != "text") | s["blank"]), code)
             .otherwise(state(s, mode=F.lit("text"), done=closed(s), blank=no))
         )

@@ -26,11 +26,17 @@ def votes(reactions: Column, kind: str = "UPVOTE") -> Column:
 
 def dedented(code: Column) -> Column:
     """Without the white space that all lines with text begin with; lines without any become empty."""
-    lines = F.split(code, "\n")
-    used = F.transform(F.filter(lines, lambda x: F.rlike(x, F.lit(r"\S"))), lambda x: F.regexp_extract(x, r"^[ \t]*", 0))
-    common = lambda a, b: F.left(a, F.array_max(F.filter(F.sequence(F.lit(0), F.length(a)), lambda i: F.left(a, i) == F.left(b, i))))
-    margin = F.coalesce(F.aggregate(used, F.get(used, F.lit(0)), common), F.lit(""))
-    return F.array_join(F.transform(lines, lambda x: F.when(F.rlike(x, F.lit(r"\S")), F.substr(x, F.length(margin) + 1)).otherwise("")), "\n")
+    full = lambda x: F.rlike(x, F.lit(r"\S"))
+    common = lambda a, b: F.when(F.startswith(b, a), a).otherwise(F.left(a, F.array_max(F.filter(F.sequence(F.lit(0), F.length(a)), lambda i: F.left(a, i) == F.left(b, i)))))
+
+    def cut(lines: Column, margin: Column) -> Column:
+        return F.array_join(F.transform(lines, lambda x: F.when(full(x), F.substr(x, F.length(margin) + 1)).otherwise("")), "\n")
+
+    def margin(lines: Column) -> Column:
+        insets = F.transform(F.filter(lines, full), lambda x: F.regexp_extract(x, r"^[ \t]*", 0))
+        return named(insets, lambda used: F.coalesce(F.aggregate(used, F.get(used, F.lit(0)), common), F.lit("")))
+
+    return named(F.split(code, "\n"), lambda lines: named(margin(lines), lambda m: cut(lines, m)))
 
 
 def indented(code: Column) -> Column:

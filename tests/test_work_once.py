@@ -33,3 +33,17 @@ def test_spread_keeps_rows(spark):
     df = spark.range(100).coalesce(1)
     got = spread(df, "id")
     assert sorted(r.id for r in got.collect()) == list(range(100)) and max(got.rdd.glom().map(len).collect()) < 50
+
+
+def test_blocks_after_the_first_usable_are_not_parsed(monkeypatch):
+    import pandas as pd
+
+    from kindred.functions import code
+
+    seen, parsed = [], code.parsed
+    monkeypatch.setattr(code, "parsed", lambda c: seen.append(c) or parsed(c))
+    own = pd.Series([["x = (", "  def g(self): pass", "def f(): pass"], ["x = 1"], ["def f(): pass", "y"]])
+    wrapped = pd.Series([["class A:\n    x = (", "class A:\n  def g(self): pass", "never"], ["class A:\n    x = 1"], ["never", "never"]])
+    got = code.first_usable.func(own, wrapped)
+    assert got.values.tolist() == [[1, True], [None, None], [0, False]]
+    assert "never" not in seen and "y" not in seen and len(seen) == 7
