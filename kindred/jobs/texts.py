@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +17,28 @@ LEAKS = {"the": "this", "of": "from", "and": "plus", "die": "jene", "que": "cual
 EDGE_L, EDGE_R = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
 
 
-@query("html_to_text", r"""SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<img\b[^>]*>', '', 'gi'), '</?(p|div|pre|ul|ol|li|br|h[1-6])\b[^>]*>', chr(10), 'gi'), '<[^>]+>', '', 'g'),
-    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages""")
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+#: The entities that HTML names, those that end without a semicolon too, and numbers that stand for others or for nothing.
+SQL_NAMED = "MAP {" + ", ".join(f"{_sql_text(name)}: {' || '.join(f'chr({ord(c)})' for c in text)}" for name, text in html5.items()) + "}"
+SQL_ODD = "MAP {" + ", ".join(f"{n}: " + (f"chr({ord(text)})" if text else "''") for n, text in ((n, html.unescape(f"&#{n};")) for n in range(160)) if text != chr(n)) + "}"
+SQL_NUMBER = "CASE WHEN r[2] IN ('x', 'X') THEN list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(lower(rtrim(r[3:], ';')), ''), lambda h: (strpos('0123456789abcdef', h) - 1)::HUGEINT)), lambda n, h: least(n * 16 + h, 1114112)) ELSE list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(rtrim(r[2:], ';'), ''), lambda h: (strpos('0123456789', h) - 1)::HUGEINT)), lambda n, h: least(n * 10 + h, 1114112)) END"
+SQL_NOTHING = "(n BETWEEN 64976 AND 65007 OR (n % 65536 >= 65534 AND n > 65533))"
+#: An entity or reference at most 32 letters long; of a name that is not known the longest beginning that is.
+SQL_ENTITY = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@query("html_to_text", rf"""WITH stripped AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<img\b[^>]*>', '', 'gi'), '</?(p|div|pre|ul|ol|li|br|h[1-6])\b[^>]*>', chr(10), 'gi'), '<[^>]+>', '', 'g') AS x FROM pages),
+    refs AS (SELECT DISTINCT unnest(regexp_extract_all(x, '{SQL_ENTITY}', 1)) AS r FROM stripped), named AS (SELECT {SQL_NAMED} AS names, {SQL_ODD} AS odd),
+    numbers AS (SELECT r, {SQL_NUMBER} AS n FROM refs WHERE r[1] = '#'),
+    known AS (SELECT r, CASE WHEN len(odd[n::INT]) IS NOT NULL THEN odd[n::INT] WHEN n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533) WHEN {SQL_NOTHING} THEN '' ELSE chr(n::INT) END AS t FROM numbers, named
+        UNION ALL SELECT r, coalesce(names[r], (SELECT names[r[:i]] || r[i + 1:] FROM (SELECT unnest(range(2, len(r))) AS i) WHERE names[r[:i]] IS NOT NULL ORDER BY i DESC LIMIT 1), '&' || r) FROM refs, named WHERE r[1] <> '#'),
+    parts AS (SELECT page_id, x, regexp_split_to_array(x, '{SQL_ENTITY}') AS between_, regexp_extract_all(x, '{SQL_ENTITY}', 1) AS found FROM stripped),
+    placed AS (SELECT page_id, i, found[i] AS r, between_[i] AS b FROM (SELECT page_id, found, between_, unnest(range(1, len(between_) + 1)) AS i FROM parts)),
+    whole AS (SELECT page_id, string_agg(b || coalesce(t, ''), '' ORDER BY i) AS x FROM placed LEFT JOIN known USING (r) GROUP BY page_id)
+    SELECT page_id, regexp_replace(regexp_replace(whole.x, '\n{{3,}}', chr(10) || chr(10), 'g'), '^[\t-\r\x{{85}}\p{{Z}}]+|[\t-\r\x{{85}}\p{{Z}}]+$', '', 'g') AS text FROM stripped LEFT JOIN whole USING (page_id)""")
 def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.html_to_text("html").alias("text"))
 
