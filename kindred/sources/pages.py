@@ -1,4 +1,4 @@
-"""A catalog of pages as a source of its own: one input partition for each page, up to the first that fails.
+"""A catalog of pages as a source of its own: read page by page up to the first that fails, up to PARTITIONS input partitions of whole pages.
 
 A page is a folder ``page=N`` with a file of one line of JSON: the catalog's total, and the page's rows.
 The first page says how many pages there are; it is read while the scan is planned, the others in tasks.
@@ -15,17 +15,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 NAME = "corpus_pages"
+#: Catalogs of more pages have several in a partition: a task for each small page costs more than the page.
+PARTITIONS = 192
 
 
-class Page(InputPartition):
-    def __init__(self, number: int, files: list[str]):
-        super().__init__(number)
-        self.number, self.files = number, files
+class Pages(InputPartition):
+    """Pages from ``first`` on, each by its files."""
+
+    def __init__(self, first: int, files: list[list[str]]):
+        super().__init__(first)
+        self.first, self.files = first, files
 
 
 class PageReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, partitions: int = PARTITIONS):
+        self.path, self.most = path, partitions
 
     def _opened(self):
         from pyarrow import fs
@@ -45,7 +49,7 @@ class PageReader(DataSourceReader):
         well = isinstance(page, dict) and isinstance(page.get("total"), int) and isinstance(page.get("rows"), list)
         return page if well else None
 
-    def partitions(self) -> list[Page]:
+    def partitions(self) -> list[Pages]:
         from pyarrow import fs
 
         system, base = self._opened()
@@ -56,17 +60,19 @@ class PageReader(DataSourceReader):
                 files.setdefault(int(name[5:]), []).append(x.path)
         first = self._page(files.get(0, []))
         if first is None or not first["rows"]:
-            return [Page(0, [])]  # which fails too: Spark takes no list for one partition without a page
+            return [Pages(0, [[]])]  # which fails too: Spark takes no list for one partition without a page
         n_pages = -(-first["total"] // len(first["rows"]))
-        return [Page(i, files.get(i, [])) for i in range(n_pages)]
+        step = -(-n_pages // self.most)
+        return [Pages(at, [files.get(i, []) for i in range(at, min(n_pages, at + step))]) for at in range(0, n_pages, step)]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
-        page = self._page(partition.files)
-        if page is None:
-            yield partition.number, None, None
-        else:
-            for i, row in enumerate(page["rows"]):
-                yield partition.number, i, json.dumps(row)
+    def read(self, partition: Pages) -> Iterator[tuple]:
+        for number, files in enumerate(partition.files, partition.first):
+            page = self._page(files)
+            if page is None:
+                yield number, None, None
+            else:
+                for i, row in enumerate(page["rows"]):
+                    yield number, i, json.dumps(row)
 
 
 class PageSource(DataSource):
@@ -80,13 +86,13 @@ class PageSource(DataSource):
         return "page int, place int, value string"
 
     def reader(self, schema) -> PageReader:
-        return PageReader(self.options["path"])
+        return PageReader(self.options["path"], int(self.options.get("partitions", PARTITIONS)))
 
 
-def scan_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def scan_pages(spark: SparkSession, path: str, schema: str, partitions: int = PARTITIONS) -> DataFrame:
     """The rows of all pages before the first that fails, parsed to schema; none if there is no first page."""
     spark.dataSource.register(PageSource)
-    pages = spark.read.format(NAME).load(path)
+    pages = spark.read.format(NAME).option("partitions", partitions).load(path)
     failed = pages.where("place IS NULL").agg(F.min("page")).first()[0]
     good = pages.where("place IS NOT NULL") if failed is None else pages.where(f"place IS NOT NULL AND page < {failed}")
     return good.select(F.from_json("value", schema).alias("x")).select("x.*")

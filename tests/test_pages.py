@@ -35,6 +35,14 @@ def test_one_partition_a_page(spark, tmp_path):
     assert scan_pages(spark, f"file://{tmp_path}/none", "id long").count() == 0
 
 
+def test_many_pages_share_partitions(spark, tmp_path):
+    pages = {n: page(n, 3, 33) for n in range(11)}
+    got = scan_pages(spark, catalog(tmp_path, pages), "id long, name string", partitions=4)
+    assert sorted(r.id for r in got.collect()) == list(range(33)) and got.rdd.getNumPartitions() == 4
+    (tmp_path / "page=7" / "part-0.txt").write_text("{")
+    assert sorted(r.id for r in scan_pages(spark, f"file://{tmp_path}", "id long", partitions=4).collect()) == list(range(21))
+
+
 def test_publish_is_refused_without_vectors(spark):
     staged, vectors = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), spark.createDataFrame([(1,), (1,)], "k long")
     with pytest.raises(KeyError, match="k = 2"):
