@@ -13,6 +13,11 @@ exact and ties are ties. The search goes by sets of tags, the rarest first, leve
 A query goes on to a key only if the best that it could still share there, with a set that holds no more
 than that, reaches the k-th score found so far. Every join thus has ``limit`` rows or k + 1 of one key
 for a query; the work grows with the keys that are frequent, not with the square of their items.
+
+Where the frequent tags make few different sets (``most_kinds`` at most, as flags and states do), there is
+a shorter way to the same rows (``_by_kinds``): sets with the same frequent tags are of one kind, and what a
+query shares with a set beside rare tags is the same for a whole kind. Pairs that share a rare tag are added up by
+one join; of all others the k best of a query are among the k + 1 sets of least total of a kind.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.session import work_path
+from kindred.session import spread, work_path
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -49,7 +54,52 @@ def _extended(rows: DataFrame) -> DataFrame:
     return more.select("id", "t", F.concat("key", F.array("_x.tag")).alias("key"), (F.col("s") + F.col("_x.w")).alias("s"), F.slice("rest", F.col("_i") + 2, F.size("rest")).alias("rest"))
 
 
-def nearest_sets(queries: DataFrame, items: DataFrame, k: int, metric: str = "dice", limit: int = 1000) -> DataFrame:
+def _by_kinds(own_q: DataFrame, own_c: DataFrame, frequent: DataFrame, kinds: DataFrame, placed: DataFrame, k: int, metric: str, most: int) -> DataFrame | None:
+    """The result of nearest_sets; kinds has kind and tags (tag and w of each frequent tag), placed has id, t and kind of every set of items."""
+    small = lambda df: F.broadcast(df)  # noqa: E731  kinds are few
+    # What two kinds share; 0 where they share nothing.
+    common = F.aggregate(F.array_intersect("qtags", "ctags"), F.lit(0).cast("long"), lambda a, x: a + x["w"])
+    side = lambda x: kinds.select(F.col("kind").alias(f"{x}kind"), F.col("tags").alias(f"{x}tags"))
+    tagged = own_q.join(small(frequent), "tag", "left").groupBy("id").agg(F.sum("w").alias("t"), F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("tag", "w")))).alias("tags"))
+    asked = _written(tagged.join(small(kinds), "tags", "left").select("id", "t", "kind", "tags"), "asked")
+    others = asked.where("kind IS NULL").select("tags").distinct()  # sets of frequent tags that no item has
+    if others.limit(most + 1).count() > most:
+        return None
+    others = others.withColumn("kind", -F.row_number().over(Window.orderBy("tags")))
+    of_queries = _written(kinds.select("tags", "kind").unionByName(others), "kinds").join(small(asked.select("tags").distinct()), "tags", "left_semi").select(F.col("kind").alias("qkind"), F.col("tags").alias("qtags"))
+    of_q = asked.select("id", "t", "tags").join(small(of_queries), F.col("tags") == F.col("qtags")).select(F.col("id").alias("q"), F.col("t").alias("qt"), "qkind")
+
+    rare = lambda df: df.join(small(frequent.select("tag")), "tag", "left_anti")
+    met = rare(own_q).select(F.col("id").alias("q"), "tag", F.col("w").alias("qw")).join(rare(own_c).join(placed, "id").select(F.col("id").alias("c"), "tag", F.col("t").alias("ct"), F.col("kind").alias("ckind")), "tag")
+    met = met.where("q <> c").select("q", "c", "qw", "ct", "ckind").repartition("q").groupBy("q", "c").agg(F.sum("qw").alias("rare"), F.first("ct").alias("ct"), F.first("ckind").alias("ckind"))
+    score = lambda shared: _score(metric, shared, F.col("qt") + F.col("ct")).cast("double").alias("score")
+    near = met.join(of_q, "q").join(small(of_queries), "qkind").join(small(side("c")), "ckind").select("q", "c", score(F.col("rare") + common))
+
+    # Of each kind the k + 1 sets of least total; of these, for a kind of query, those that fewer than k + 1 others
+    # precede both by what they share and by total: in any query's order these others are before.
+    least = Window.partitionBy("ckind").orderBy("ct", "c")
+    first = placed.select(F.col("id").alias("c"), F.col("t").alias("ct"), F.col("kind").alias("ckind")).withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= k + 1).drop("_n")
+    every = side("c").join(first.groupBy("ckind").agg(F.collect_list(F.struct("ct", "c")).alias("x")), "ckind")
+    known = spread(of_queries, "qkind").crossJoin(small(every)).select("qkind", common.alias("both"), "x").where("both > 0").select("qkind", "both", F.explode("x").alias("x")).select("qkind", "both", "x.*")
+    by_share = known.select("qkind", F.struct((-F.col("both")).alias("less"), "ct", "c").alias("x")).groupBy("qkind").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    size = lambda x: F.struct(x["ct"].alias("ct"), x["c"].alias("c"))
+
+    def fold(state: Column, x: Column) -> Column:
+        """The k + 1 least so far, by falling share, and all that were among them."""
+        new = F.struct(F.slice(F.array_sort(F.concat(state["least"], F.array(size(x)))), 1, k + 1).alias("least"), F.concat(state["kept"], F.array(x)).alias("kept"))
+        return F.when((F.size(state["least"]) <= k) | (size(x) < F.element_at(state["least"], -1)), new).otherwise(state)
+
+    none = F.struct(F.array().cast("array<struct<ct:bigint,c:bigint>>").alias("least"), F.array().cast("array<struct<less:bigint,ct:bigint,c:bigint>>").alias("kept"))
+    chosen = by_share.select("qkind", F.explode(F.aggregate("x", none, fold, lambda state: state["kept"])).alias("x")).select("qkind", (-F.col("x.less")).alias("both"), "x.ct", "x.c")
+    chosen = _written(chosen, "chosen")
+    far = of_q.join(small(chosen), "qkind").where("q <> c").select("q", "c", score(F.col("both")))
+    # A set that is met in both ways has the higher score where a rare tag counts too.
+    best = near.unionByName(far.repartition("q")).groupBy("q", "c").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "c")
+    return best.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("q", "c", "score", "rank")
+
+
+def nearest_sets(queries: DataFrame, items: DataFrame, k: int, metric: str = "dice", limit: int = 1000, most_kinds: int = 4000) -> DataFrame:
     """q, c, score and rank (score descending, then c) of the k best pairs of each query that share a tag; q <> c.
 
     queries are rows of items, or sets of their own with the same weights. Rows with a null id or tag do not
@@ -64,10 +114,19 @@ def nearest_sets(queries: DataFrame, items: DataFrame, k: int, metric: str = "di
         return df.where("id IS NOT NULL AND tag IS NOT NULL").select("id", "tag", F.col("w").cast("long").alias("w")).distinct()
 
     own_q, own_c = side(queries), _written(side(items), "sets")
-    whole = lambda df: df.groupBy("id").agg(F.sum("w").alias("t"), F.collect_list(F.struct("tag", "w")).alias("x"))
-    sets_q, sets_c = _written(whole(own_q), "sets"), _written(whole(own_c), "sets")
     tag_sizes = own_c.groupBy("tag").agg(F.count("*").alias("n"))
     frequent = _written(tag_sizes.where(F.col("n") > limit), "frequent")
+    if most_kinds and frequent.limit(most_kinds + 1).count() <= most_kinds:
+        hot = F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("tag", "w"))))
+        placed = _written(own_c.join(F.broadcast(frequent), "tag", "left").groupBy("id").agg(F.sum("w").alias("t"), hot.alias("tags")), "placed")
+        kinds = placed.select("tags").distinct()
+        if kinds.limit(most_kinds + 1).count() <= most_kinds:
+            kinds = _written(kinds.withColumn("kind", F.row_number().over(Window.orderBy("tags"))), "kinds")
+            got = _by_kinds(own_q, own_c, frequent, kinds, placed.join(F.broadcast(kinds), "tags").select("id", "t", "kind"), k, metric, most_kinds)
+            if got is not None:
+                return got
+    whole = lambda df: df.groupBy("id").agg(F.sum("w").alias("t"), F.collect_list(F.struct("tag", "w")).alias("x"))
+    sets_q, sets_c = _written(whole(own_q), "sets"), _written(whole(own_c), "sets")
 
     def start(df: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Keys of one tag, and frequent tags of each set, rarest first, as what may extend no key."""
