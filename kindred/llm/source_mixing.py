@@ -9,10 +9,11 @@ others of its dimension share what that leaves in proportion to their targets. D
 the order or the partitions, and a task that runs again draws the same.
 
 Topics are clusters of word vectors: words hashed to ``dims`` counts, weighted by rarity, of unit
-length. Their centres are fitted on the distinct texts of lowest hash, about ``most_sample`` of them
-(spherical k-means from a fixed seed); every text then goes to the centre that fits it best.
+length. Their centres are fitted on all distinct texts (spherical k-means from a fixed seed, one
+Spark job a pass); every text then goes to the centre that fits it best.
 
-Only cells are shuffled, each task's already added up; the fitting runs on the table of cells.
+Word counts are shuffled once, to count equal texts once, else only sums of centres and cells, each task's
+already added up; the raking runs on the table of cells.
 Defined cases: a null source, language or topic is a value of its own; a text without tokens
 weighs nothing and is drawn with its cell's probability, its topic is ``none``; where no weights
 meet all marginals, raking stops after ``rounds`` with the last dimension met and the others off,
@@ -23,7 +24,7 @@ those named like a result are replaced by it.
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,15 @@ from pyspark.sql.types import LongType, StringType, StructType
 
 from kindred.llm.common import slices, whole_text, written
 from kindred.llm.decontamination import word_hashes
+from kindred.llm.repeats import mixed
 
 DIMENSIONS = ("source", "lang", "topic")
 RESULTS = ("topic", "n_tokens", "weight", "probability", "drawn", "short", "missed")
 #: A value whose expected share is further off its goal is said to be missed.
 MISSED = 1e-3
 TOPICS = 8
+#: The lengths of texts' vectors and of centres, in whole numbers: products of the two are below 2^53.
+UNIT, CENTRE = 1 << 14, 1 << 20
 log = logging.getLogger(__name__)
 
 
@@ -48,27 +52,118 @@ def _places(texts: list[bytes], dims: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashes >> np.uint64(64 - (dims.bit_length() - 1))).astype(np.int64), sizes
 
 
-def sampled_counts(docs: DataFrame, most_sample: int, dims: int) -> np.ndarray:
-    """A row of word counts for each text of a sample of ``most_sample`` distinct texts or about as many, in the order of their hashes."""
-    n = docs.count()
-    step = max(1, -(-n // most_sample))
-    h = F.xxhash64("_text")
-    rows = docs.select(whole_text().alias("_text")).select(h.alias("_h"), "_text").where((F.pmod(h, F.lit(step)) == 0) & (F.col("_text") != "")).dropDuplicates(["_h"])
+def text_counts(docs: DataFrame, dims: int) -> DataFrame:
+    """h (the hash of a text) and counts (of its words by place, ``dims`` numbers of one or four bytes) of every distinct text that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, 1_000_000):
                 at, sizes = _places(part.column(1).cast(pa.binary()).to_pylist(), dims)
-                counts = np.zeros((len(sizes), dims), np.float32)
-                np.add.at(counts, (np.repeat(np.arange(len(sizes)), sizes), at), 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in counts], pa.binary())], ["h", "counts"])
+                counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * dims + at, minlength=len(sizes) * dims).reshape(-1, dims)
+                own = np.flatnonzero(sizes)
+                packed = [counts[i].astype(np.uint8 if counts[i].max() < 256 else np.uint32).tobytes() for i in own]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), pa.array(packed, pa.binary())], ["h", "counts"])
 
-    got = rows.mapInArrow(run, "h long, counts binary").toArrow().sort_by("h")  # most_sample rows of dims counts
-    return np.frombuffer(b"".join(got.column("counts").to_pylist()), np.float32).reshape(-1, dims)
+    texts = docs.select(whole_text().alias("_text")).select(F.xxhash64("_text").alias("h"), "_text")
+    return texts.mapInArrow(run, "h long, counts binary").dropDuplicates(["h"])
+
+
+def _unpacked(counts: pa.Array, dims: int) -> np.ndarray:
+    return np.array([np.frombuffer(c, np.uint8 if len(c) == dims else np.uint32) for c in counts.to_pylist()], np.int64).reshape(-1, dims)
+
+
+def _units(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """Vectors of length UNIT in whole numbers; products and sums of these are exact, in whatever order and parts they are made."""
+    x = counts * rarity
+    return np.rint(x / np.linalg.norm(x, axis=1, keepdims=True) * UNIT).astype(np.int16)
+
+
+def _chances(h: np.ndarray, step: int, seed: int) -> np.ndarray:
+    """A number above 0 and up to 1 for each hash, the same in every run."""
+    with np.errstate(over="ignore"):
+        return ((mixed(h.view(np.uint64) + np.uint64((seed * 1009 + step + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53
+
+
+def _summed(rows: DataFrame, column: str, of: Callable[[pa.Array], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    """The sum over all rows of the table of whole numbers of this shape that ``of`` makes of a batch's column; Spark adds up the tasks' tables by place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                got = of(batch.column(column).slice(at, 2048))
+                total = got if total is None else total + got
+        if total is not None:
+            flat = total.ravel().astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(flat)), pa.array(flat[np.flatnonzero(flat)])], ["at", "n"])
+
+    got = rows.select(column).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # topics x dims numbers at most
+    out = np.zeros(int(np.prod(shape)), np.int64)
+    out[got.column("at").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(shape)
+
+
+def spread_topics(docs: DataFrame, topics: int, dims: int, seed: int = 1, rounds: int = 30) -> np.ndarray:
+    """What a word of each place adds to each topic's score: centres of spherical k-means over all distinct texts, weighted by rarity.
+
+    Each pass is a Spark job over the texts' vectors; the driver holds the centres. The first
+    centres are texts drawn one after another, likelier where the nearest centre is far: of
+    exponential waiting times, whose rates are the distances, the least wins. Rounds end when
+    nothing moves, or after ``rounds``. All sums are of whole numbers, so the centres do not depend
+    on partitions or order.
+    """
+    counts = written(text_counts(docs, dims), "counts")
+    seen = _summed(counts, "counts", lambda c: np.concatenate((np.array([len(c)]), (_unpacked(c, dims) > 0).sum(axis=0))), (1 + dims,))
+    n, rarity = int(seen[0]), np.log((seen[0] + 1) / (seen[1:] + 1)) + 1
+    if not n:
+        return np.zeros((dims, topics), np.float32)
+
+    def as_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([u.tobytes() for u in _units(_unpacked(part.column(1), dims), rarity)], pa.binary())], ["h", "unit"])
+
+    few = 2 * docs.sparkSession.sparkContext.defaultParallelism  # tasks stream their rows, so that fewer ones only save the starts of a pass
+    units = written(counts.mapInArrow(as_units, "h long, unit binary").coalesce(few), "units")
+    vectors = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.int16).reshape(-1, dims).astype(np.float64)
+    centres = np.zeros((0, dims))
+    while len(centres) < min(topics, n):
+        step, held = len(centres), centres.copy()
+
+        def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2048):
+                    part = batch.slice(at, 2048)
+                    h = part.column(0).to_numpy()
+                    far = np.ones(len(h)) if not step else np.clip(1 - (vectors(part.column(1)) @ held.T).max(axis=1) / UNIT / CENTRE, 0, None) + 1e-12  # noqa: B023
+                    wait = -np.log(_chances(h, step, seed)) / far  # noqa: B023
+                    i = np.lexsort((h, wait))[:1]
+                    yield pa.RecordBatch.from_arrays([pa.array(wait[i]), part.column(0).take(pa.array(i)), part.column(1).take(pa.array(i))], ["wait", "h", "unit"])
+
+        first = units.mapInArrow(drawn, "wait double, h long, unit binary").orderBy("wait", "h").first()
+        centres = np.vstack((centres, _centred(np.frombuffer(first["unit"], np.int16).astype(np.float64)[None, :])))
+    for _ in range(rounds):
+        held = centres.copy()
+
+        def sums(c: pa.Array) -> np.ndarray:
+            x = vectors(c)
+            own = (x @ held.T).argmax(axis=1)  # noqa: B023
+            return (own[None, :] == np.arange(len(held))[:, None]).astype(np.float64) @ x  # noqa: B023
+
+        total = _summed(units, "unit", sums, centres.shape)
+        centres = np.where(total.any(axis=1, keepdims=True), _centred(total.astype(np.float64)), centres)
+        if (centres == held).all():
+            break
+    return (centres / CENTRE * rarity).T.astype(np.float32)
+
+
+def _centred(x: np.ndarray) -> np.ndarray:
+    return np.rint(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1) * CENTRE)
 
 
 def fitted_topics(counts: np.ndarray, topics: int, seed: int = 1, rounds: int = 30) -> np.ndarray:
-    """What a word of each place adds to each topic's score: centres of spherical k-means, weighted by rarity."""
+    """As ``spread_topics``, of an array with a row of counts for each text."""
     rarity = np.log((len(counts) + 1) / ((counts > 0).sum(axis=0) + 1)).astype(np.float32) + 1
     x = counts * rarity
     x = x[x.any(axis=1)]
@@ -247,7 +342,7 @@ def budget_factor(cells: DataFrame, budget: float) -> float:
     return low
 
 
-def sampled_rows(docs: DataFrame, targets: list[DataFrame] | None = None, power: float = 0.5, share: float = 0.5, seed: int = 1, topics: int = TOPICS, most_sample: int = 8_000, dims: int = 512, tokens: str | None = None, rounds: int = 500) -> DataFrame:
+def sampled_rows(docs: DataFrame, targets: list[DataFrame] | None = None, power: float = 0.5, share: float = 0.5, seed: int = 1, topics: int = TOPICS, dims: int = 512, tokens: str | None = None, rounds: int = 500) -> DataFrame:
     """Every row of docs as a struct doc, with topic, n_tokens, weight, probability, short, missed and drawn.
 
     short names the dimensions whose value of the row has fewer tokens than its target asks for,
@@ -258,7 +353,7 @@ def sampled_rows(docs: DataFrame, targets: list[DataFrame] | None = None, power:
     to draw, in expectation. tokens: a column of docs with token counts, in place of words. rounds:
     of raking, at most.
     """
-    model = fitted_topics(sampled_counts(docs, most_sample, dims), topics)
+    model = spread_topics(docs, topics, dims)
     own = {"source": F.col("doc.source").cast("string"), "lang": F.col("doc.lang").cast("string"), "topic": F.col("topic")}
     counted = with_topic(docs.select("text", "source", "lang", *([tokens] if tokens else [])), model, tokens)
     cells = written(counted.groupBy(*(c.alias(d) for d, c in own.items())).agg(F.sum("n_tokens").cast("double").alias("tokens")), "counted")
