@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 of docs, whatever they are. A document that a stage drops is gone for those after it:
 
 quality          the base rules and a decision list learned from labels reject documents
-near_dedup       of texts linked by a similarity of 0.8 (five-word shingles) the first document stays
+near_dedup       SimHash groups, and MinHash bands for what lies beyond their radius, give candidates; of texts
+                 linked by an exact similarity of 0.8 (five-word shingles) the first document stays
 decontamination  documents with a window similar to a benchmark item go
 mixing           documents are drawn with probabilities raked to source, language and topic targets
 tokens           ids are written as Simple-8b files in doc_id order; a row for each document is read back

@@ -1,8 +1,10 @@
-"""Near copies by shingle similarity: MinHash bands find candidates, exact sets decide.
+"""Near copies by shingle similarity: SimHash groups and MinHash bands are candidates, exact sets decide.
 
 A text is the set of its five-word shingles (A-Z lowered, words between white space), as 64-bit
-hashes. Each of ``bands`` bands is the hash of five minima; texts that share a band are
-candidates. A pair at a similarity of s is a candidate with a probability of
+hashes. Texts that ``near_duplicates`` puts in one group (SimHash fingerprints of these shingles,
+anchor-point covering) are candidates. Two texts at 0.8 differ by some ten of 64 bits, beyond any radius
+that anchors can cover, so texts further apart are found by MinHash besides. Each of ``bands`` bands is the hash of five minima; texts that share a band are
+candidates. A pair at a similarity of s is a candidate by bands with a probability of
 1 - (1 - s^5)^bands: at 0.8 and 40 bands, all but one in eight million. Candidates make components,
 and a component's texts come together once, in a task that computes the Jaccard similarity of their
 shingle sets; only links at ``least`` or more count. A text is not compared with those it is already
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from kindred.llm.common import joined_apart, slices, whole_text, written
 from kindred.llm.components import components
 from kindred.llm.decontamination import shingles, word_hashes
+from kindred.llm.simhash_dedup import near_duplicates
 
 ROWS = 5
 
@@ -136,13 +139,22 @@ def verified(members: DataFrame, words: int, least: float, most: int) -> DataFra
     return dealt.repartition("root", "pair").sortWithinPartitions("root", "pair").mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 40, most: int = 1_000_000) -> DataFrame:
+def simhash_links(docs: DataFrame, rows: DataFrame, words: int, radius: int) -> DataFrame:
+    """a, b: links of the nodes of every SimHash group to its first; rows has the node of each key of docs."""
+    groups = near_duplicates(docs.select(F.col("key").alias("doc_id"), "text"), words, radius).select(F.col("doc_id").alias("key"), F.col("component_id").alias("group")).distinct()
+    nodes = written(rows.select("key", "node").distinct().join(groups, "key").select("group", "node").distinct(), "groups")
+    first = nodes.groupBy("group").agg(F.min("node").alias("a"), F.max("node").alias("_last")).where("a < _last").drop("_last")
+    return joined_apart(nodes, first, "group").where("node <> a").select("a", F.col("node").alias("b"))
+
+
+def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 40, most: int = 1_000_000, radius: int = 4) -> DataFrame:
     """key and root (one value for each group) of every key of docs (key: long, text); rows with the same key have the same text."""
     rows = written(sketches(docs, words, bands), "sketches")
     distinct = written(rows.dropDuplicates(["node"]), "nodes")
     placed = distinct.select("node", F.explode("bands").alias("band"))
     shared = placed.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("_last")).where("a < _last").drop("_last")
-    candidates = components(joined_apart(placed, shared, "band").where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    banded = joined_apart(placed, shared, "band").where("node <> a").select("a", F.col("node").alias("b"))
+    candidates = components(banded.unionByName(simhash_links(docs, rows, words, radius)).distinct())
     chosen = candidates.join(distinct.select("key", "node", "n"), "node")
     texts = docs.select("key", whole_text().alias("text")).join(chosen, "key").dropDuplicates(["node"])
     roots = components(verified(written(texts.select("root", "node", "n", "text"), "members"), words, least, most))
