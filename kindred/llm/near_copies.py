@@ -1,8 +1,8 @@
 """Near copies by shingle similarity: SimHash groups and MinHash bands are candidates, exact sets decide.
 
 A text is the set of its five-word shingles (A-Z lowered, words between white space), as 64-bit
-hashes. Texts that ``near_duplicates`` puts in one group (SimHash fingerprints of these shingles,
-anchor-point covering) are candidates. Two texts at 0.8 differ by some ten of 64 bits, beyond any radius
+hashes. Texts of one SimHash group (fingerprints of these shingles, linked by the anchor-point covering
+of ``linked_prints``) are candidates; its links go straight into the candidates' components. Two texts at 0.8 differ by some ten of 64 bits, beyond any radius
 that anchors can cover, so texts further apart are found by MinHash besides. Each of ``bands`` bands is the hash of five minima; texts that share a band are
 candidates. A pair at a similarity of s is a candidate by bands with a probability of
 1 - (1 - s^5)^bands: at 0.8 and 40 bands, all but one in eight million. Candidates make components,
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from kindred.llm.common import joined_apart, slices, whole_text, written
 from kindred.llm.components import components
 from kindred.llm.decontamination import shingles, word_hashes
-from kindred.llm.simhash_dedup import near_duplicates
+from kindred.llm.simhash_dedup import linked_prints
 
 ROWS = 5
 
@@ -84,6 +84,21 @@ def similar(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     return out
 
 
+def stars(nodes: list[int], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The pairs (of places in nodes) as stars: every linked node with the smallest that it reaches."""
+    root = {i: i for pair in pairs for i in pair}
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, j in pairs:
+        low, high = sorted((top(i), top(j)), key=nodes.__getitem__)
+        root[high] = low
+    return [(nodes[i], nodes[top(i)]) for i in root if top(i) != i]
+
+
 def sketches(docs: DataFrame, words: int, bands: int) -> DataFrame:
     """key, node (the hash of the shingle set), n (its shingles) and bands of every row of docs (key: long, text)."""
 
@@ -100,7 +115,7 @@ def sketches(docs: DataFrame, words: int, bands: int) -> DataFrame:
 
 
 def verified(members: DataFrame, words: int, least: float, most: int) -> DataFrame:
-    """a, b: links of at least ``least`` between the members (root, node, n, text) of a root."""
+    """a, b: stars of what links of at least ``least`` join, between the members (root, node, n, text) of a root that a task compares."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +123,7 @@ def verified(members: DataFrame, words: int, least: float, most: int) -> DataFra
 
         def close() -> None:
             if len(nodes) > 1:
-                links.extend((nodes[i], nodes[j]) for i, j in similar(sets, least))
+                links.extend(stars(nodes, similar(sets, least)))
             nodes.clear()
             sets.clear()
 
@@ -140,11 +155,15 @@ def verified(members: DataFrame, words: int, least: float, most: int) -> DataFra
 
 
 def simhash_links(docs: DataFrame, rows: DataFrame, words: int, radius: int) -> DataFrame:
-    """a, b: links of the nodes of every SimHash group to its first; rows has the node of each key of docs."""
-    groups = near_duplicates(docs.select(F.col("key").alias("doc_id"), "text"), words, radius).select(F.col("doc_id").alias("key"), F.col("component_id").alias("group")).distinct()
-    nodes = written(rows.select("key", "node").distinct().join(groups, "key").select("group", "node").distinct(), "groups")
-    first = nodes.groupBy("group").agg(F.min("node").alias("a"), F.max("node").alias("_last")).where("a < _last").drop("_last")
-    return joined_apart(nodes, first, "group").where("node <> a").select("a", F.col("node").alias("b"))
+    """a, b: links that join the nodes of every SimHash group; rows has the node of each key of docs."""
+    prints, _, linked = linked_prints(docs.select(F.col("key").alias("doc_id"), "text"), words, radius)
+    own = prints.select(F.col("doc_id").alias("key"), "fingerprint").distinct()
+    nodes = written(rows.select("key", "node").distinct().join(own, "key").select("fingerprint", "node").distinct(), "print_nodes")
+    first = written(nodes.groupBy("fingerprint").agg(F.min("node").alias("a")), "print_heads")
+    same = joined_apart(nodes, first, "fingerprint").where("node <> a").select("a", F.col("node").alias("b"))
+    head = lambda end, name: first.select(F.col("fingerprint").alias(end), F.col("a").alias(name))
+    near = linked.join(head("a", "_a"), "a").join(head("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return same.unionByName(near)
 
 
 def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 40, most: int = 1_000_000, radius: int = 4) -> DataFrame:

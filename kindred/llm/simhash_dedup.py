@@ -188,8 +188,8 @@ def links(prints: DataFrame, radius: int = 4, blocks: int = 3, most: int = 20_00
     return dealt.repartition("anchor", "pair").sortWithinPartitions("anchor", "pair").mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, blocks: int | None = None, most: int = 20_000) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable).
+def linked_prints(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, blocks: int | None = None, most: int = 20_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id and fingerprint of every row; the distinct fingerprints with their smallest doc_id; the links between these.
 
     blocks: by default 3 while their anchors (2^17 a block) outnumber the fingerprints by far, and
     2 (2^27 anchors a half) beyond; either finds every link.
@@ -197,7 +197,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
     prints = written(fingerprints(docs, words, seed), "prints")
     distinct = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")), "distinct")
     blocks = blocks or (3 if distinct.count() < 1 << 21 else 2)
-    roots = components(links(distinct, radius, blocks, most))
+    return prints, distinct, links(distinct, radius, blocks, most)
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, blocks: int | None = None, most: int = 20_000) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable); blocks: as in ``linked_prints``."""
+    prints, distinct, linked = linked_prints(docs, words, radius, seed, blocks, most)
+    roots = components(linked)
     grouped = distinct.join(roots, distinct.fingerprint == roots.node, "left").select("fingerprint", "doc_id", F.coalesce("root", "fingerprint").alias("root"))
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     ids = joined_apart(grouped, least, "root").select("fingerprint", "component_id")
