@@ -53,12 +53,21 @@ def row_key() -> list[Column]:
     return [F.col("doc_id").cast("long").alias("doc_id"), part(1, "_text0"), part(16, "_text1")]
 
 
+def _words(line: Column) -> Column:
+    """Words of a line that has one: the pattern counts them only where white space is not single spaces between words."""
+    plain = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for space in ("  ", "\t", "\v", "\f", "\r"):
+        odd = odd | F.contains(line, F.lit(space))
+    return F.when(odd, F.regexp_count(line, F.lit(_WORD + "+"))).otherwise(plain).cast("long")
+
+
 def numbered_lines(docs: DataFrame) -> DataFrame:
     """ROW, line_no (from 0, of the text), seq (of lines with a word), n_words and the line's id (two longs)."""
-    line = lambda x, i: F.struct(i.alias("line_no"), F.regexp_count(x, F.lit(_WORD + "+")).cast("long").alias("n_words"), *_hashes(x, "id"))
-    lines = F.filter(F.transform(F.split(whole_text(), "\n"), line), lambda x: x["n_words"] > 0)
-    rows = docs.select(*row_key(), lines.alias("_lines"))
-    return rows.select(*ROW, F.posexplode("_lines").alias("seq", "x")).select(*ROW, "seq", "x.line_no", "x.n_words", "x.id0", "x.id1")
+    lines = F.transform(F.split(whole_text(), "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
+    rows = docs.select(*row_key(), F.filter(lines, lambda x: F.rlike(x["line"], F.lit(_WORD))).alias("_lines"))
+    lines = rows.select(*ROW, F.posexplode("_lines").alias("seq", "x")).select(*ROW, "seq", "x.line_no", "x.line")
+    return lines.select(*ROW, "seq", "line_no", _words(F.col("line")).alias("n_words"), *_hashes(F.col("line"), "id"))
 
 
 def _ranked(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,6 +80,8 @@ def _ranked(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def first_ranks(lines: DataFrame) -> DataFrame:
     """Lines that occur again: ROW, seq, line_no, last_line, n_words, rank (the order of their ids) and first."""
+    # Ranks read the lines twice: texts are split and counted once, for a table of numbers.
+    lines = written(lines, "lines")
     # Rows that repeat a document have the same lines at the same places.
     return written(_ranked(lines, ["id0", "id1"]).dropDuplicates([*ROW, "seq"]).withColumn("last_line", F.col("line_no")), "suffixes")
 
