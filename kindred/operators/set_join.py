@@ -14,19 +14,27 @@ A query goes on to a key only if the best that it could still share there, with
 than that, reaches the k-th score found so far. Every join thus has ``limit`` rows or k + 1 of one key
 for a query; the work grows with the keys that are frequent, not with the square of their items.
 
-Where the frequent tags make few different sets (``most_kinds`` at most, as flags and states do), there is
-a shorter way to the same rows (``_by_kinds``): sets with the same frequent tags are of one kind, and what a
-query shares with a set beside rare tags is the same for a whole kind. Pairs that share a rare tag are added up by
-one join; of all others the k best of a query are among the k + 1 sets of least total of a kind.
+Where ids are whole numbers and the frequent tags make few different sets (``most_kinds`` at most, as flags and
+states do), there is a shorter way to the same rows (``_by_kinds``): sets with the same frequent tags are of one kind,
+and what a query shares with a set beside rare tags is the same for a whole kind. Each task knows the kinds and the
+k + 1 sets of least total of each (a bounded number), and hands on the k best of them for a query. Pairs that
+share a rare tag are added up by one join, in which a query meets all that hold a tag in one row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kindred.session import spread, work_path
 
+CELLS = 2_000_000  # scores made at a time
+
 
 def _written(df: DataFrame, name: str) -> DataFrame:
     path = work_path(df.sparkSession, name)
@@ -54,56 +62,159 @@ def _extended(rows: DataFrame) -> DataFrame:
     return more.select("id", "t", F.concat("key", F.array("_x.tag")).alias("key"), (F.col("s") + F.col("_x.w")).alias("s"), F.slice("rest", F.col("_i") + 2, F.size("rest")).alias("rest"))
 
 
-def _by_kinds(own_q: DataFrame, own_c: DataFrame, frequent: DataFrame, kinds: DataFrame, placed: DataFrame, k: int, metric: str, most: int) -> DataFrame | None:
-    """The result of nearest_sets; kinds has kind and tags (tag and w of each frequent tag), placed has id, t and kind of every set of items."""
-    small = lambda df: F.broadcast(df)  # noqa: E731  kinds are few
-    # What two kinds share; 0 where they share nothing.
-    common = F.aggregate(F.array_intersect("qtags", "ctags"), F.lit(0).cast("long"), lambda a, x: a + x["w"])
-    side = lambda x: kinds.select(F.col("kind").alias(f"{x}kind"), F.col("tags").alias(f"{x}tags"))
-    tagged = own_q.join(small(frequent), "tag", "left").groupBy("id").agg(F.sum("w").alias("t"), F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("tag", "w")))).alias("tags"))
-    asked = _written(tagged.join(small(kinds), "tags", "left").select("id", "t", "kind", "tags"), "asked")
-    others = asked.where("kind IS NULL").select("tags").distinct()  # sets of frequent tags that no item has
-    if others.limit(most + 1).count() > most:
+class _Kinds:
+    """Kinds of sets by the numbers of their frequent tags, and of each kind the few sets of least total: what a task knows of all sets."""
+
+    def __init__(self, tags: list[list[int]], weights: np.ndarray, least: pa.Table, k: int) -> None:
+        sizes = np.array([len(x) for x in tags], np.int64)
+        self.flat, self.ends = np.array([i for x in tags for i in x], np.int64), np.cumsum(sizes)
+        self.starts, self.weights = self.ends - sizes, weights
+        least = least.sort_by("c")
+        self.kind, self.total, self.id = (least.column(n).to_numpy() for n in ("kind", "t", "c"))
+        place = least.column("place").to_numpy()
+        self.last = np.full(len(tags), np.iinfo(np.int64).max)  # the total of a kind's set k + 1, if it has so many
+        self.last[self.kind[place == k + 1]] = self.total[place == k + 1]
+
+    def shared(self, kind: int) -> np.ndarray:
+        """The weight of the frequent tags that a kind shares with each kind."""
+        own, held = self.flat[self.starts[kind] : self.ends[kind]], np.zeros(len(self.weights), np.int64)
+        held[own] = self.weights[own]
+        sums = np.concatenate([[0], np.cumsum(held[self.flat])])
+        return sums[self.ends] - sums[self.starts]
+
+    def nearest(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What is shared, total and id (in order) of sets that include, but for rare tags, the k + 1 best of any query of this kind.
+
+        A set is left out if a kind that shares as much or more has k + 1 sets of less total: for any query these are before it.
+        """
+        shared = self.shared(kind)
+        order = np.argsort(-shared, kind="stable")
+        bound = np.empty_like(self.last)
+        bound[order] = np.concatenate([[np.iinfo(np.int64).max], np.minimum.accumulate(self.last[order])[:-1]])
+        keep = (shared[self.kind] > 0) & (self.total <= bound[self.kind])
+        return shared[self.kind[keep]], self.total[keep], self.id[keep]
+
+
+def _best(q: np.ndarray, c: np.ndarray, score: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best rows of each q."""
+    order = np.lexsort((c, -score, q))
+    q, c, score = q[order], c[order], score[order]
+    first = np.flatnonzero(np.diff(q, prepend=q[:1] - 1))
+    keep = np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q))) < k
+    return pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(c[keep]), pa.array(score[keep])], ["q", "c", "score"])
+
+
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+
+
+def _by_kinds(asked: DataFrame, placed: DataFrame, hot: DataFrame, k: int, metric: str, most: int) -> DataFrame | None:
+    """The result of nearest_sets, of sets as _sets makes them; None where kinds are too many."""
+    spark = placed.sparkSession
+    kinds = placed.select("hot").unionByName(asked.select("hot")).distinct()
+    if kinds.limit(most + 1).count() > most:
         return None
-    others = others.withColumn("kind", -F.row_number().over(Window.orderBy("tags")))
-    of_queries = _written(kinds.select("tags", "kind").unionByName(others), "kinds").join(small(asked.select("tags").distinct()), "tags", "left_semi").select(F.col("kind").alias("qkind"), F.col("tags").alias("qtags"))
-    of_q = asked.select("id", "t", "tags").join(small(of_queries), F.col("tags") == F.col("qtags")).select(F.col("id").alias("q"), F.col("t").alias("qt"), "qkind")
-
-    rare = lambda df: df.join(small(frequent.select("tag")), "tag", "left_anti")
-    met = rare(own_q).select(F.col("id").alias("q"), "tag", F.col("w").alias("qw")).join(rare(own_c).join(placed, "id").select(F.col("id").alias("c"), "tag", F.col("t").alias("ct"), F.col("kind").alias("ckind")), "tag")
-    met = met.where("q <> c").select("q", "c", "qw", "ct", "ckind").repartition("q").groupBy("q", "c").agg(F.sum("qw").alias("rare"), F.first("ct").alias("ct"), F.first("ckind").alias("ckind"))
-    score = lambda shared: _score(metric, shared, F.col("qt") + F.col("ct")).cast("double").alias("score")
-    near = met.join(of_q, "q").join(small(of_queries), "qkind").join(small(side("c")), "ckind").select("q", "c", score(F.col("rare") + common))
-
-    # Of each kind the k + 1 sets of least total; of these, for a kind of query, those that fewer than k + 1 others
-    # precede both by what they share and by total: in any query's order these others are before.
-    least = Window.partitionBy("ckind").orderBy("ct", "c")
-    first = placed.select(F.col("id").alias("c"), F.col("t").alias("ct"), F.col("kind").alias("ckind")).withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= k + 1).drop("_n")
-    every = side("c").join(first.groupBy("ckind").agg(F.collect_list(F.struct("ct", "c")).alias("x")), "ckind")
-    known = spread(of_queries, "qkind").crossJoin(small(every)).select("qkind", common.alias("both"), "x").where("both > 0").select("qkind", "both", F.explode("x").alias("x")).select("qkind", "both", "x.*")
-    by_share = known.select("qkind", F.struct((-F.col("both")).alias("less"), "ct", "c").alias("x")).groupBy("qkind").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    size = lambda x: F.struct(x["ct"].alias("ct"), x["c"].alias("c"))
-
-    def fold(state: Column, x: Column) -> Column:
-        """The k + 1 least so far, by falling share, and all that were among them."""
-        new = F.struct(F.slice(F.array_sort(F.concat(state["least"], F.array(size(x)))), 1, k + 1).alias("least"), F.concat(state["kept"], F.array(x)).alias("kept"))
-        return F.when((F.size(state["least"]) <= k) | (size(x) < F.element_at(state["least"], -1)), new).otherwise(state)
-
-    none = F.struct(F.array().cast("array<struct<ct:bigint,c:bigint>>").alias("least"), F.array().cast("array<struct<less:bigint,ct:bigint,c:bigint>>").alias("kept"))
-    chosen = by_share.select("qkind", F.explode(F.aggregate("x", none, fold, lambda state: state["kept"])).alias("x")).select("qkind", (-F.col("x.less")).alias("both"), "x.ct", "x.c")
-    chosen = _written(chosen, "chosen")
-    far = of_q.join(small(chosen), "qkind").where("q <> c").select("q", "c", score(F.col("both")))
+    kinds = _written(kinds.withColumn("kind", F.row_number().over(Window.orderBy("hot")) - 1), "kinds")
+    asked, placed = (x.join(F.broadcast(kinds), "hot").drop("hot") for x in (asked, placed))
+    own = Window.partitionBy("kind").orderBy("t", "id")
+    least = placed.select("kind", "t", "id").withColumn("place", F.row_number().over(own)).where(F.col("place") <= k + 1).withColumnRenamed("id", "c")
+    tags = [[63 * j + i for j, x in enumerate(r.hot) for i in range(63) if x >> i & 1] for r in kinds.orderBy("kind").collect()]
+    known = spark.sparkContext.broadcast(_Kinds(tags, np.array([r.w for r in hot.orderBy("i").collect()], np.int64), least.toArrow(), k))
+
+    # Sets that share a rare tag: a query meets all that hold it in one row.
+    held = placed.select(F.explode("rare").alias("x"), F.col("id").alias("c"), F.col("t").alias("ct"), F.col("kind").alias("ckind")).select("x.tag", "c", "ct", "ckind")
+    held = held.repartition("tag").groupBy("tag").agg(F.collect_list(F.struct("c", "ct", "ckind")).alias("x"))
+    met = asked.select(F.explode("rare").alias("x"), F.col("id").alias("q"), F.col("t").alias("qt"), F.col("kind").alias("qkind")).select("x.tag", "x.w", "q", "qt", "qkind").join(held, "tag")
+    met = met.select("q", "qt", "qkind", "w", *(F.col(f"x.{n}").alias(n) for n in ("c", "ct", "ckind"))).repartition("q")
+    met = met.select("q", "qt", "qkind", "w", F.explode(F.arrays_zip("c", "ct", "ckind")).alias("x")).select("q", "qt", "qkind", "w", "x.*").where("q <> c")
+    met = met.groupBy("q", "c").agg(F.sum("w").alias("rare"), *(F.first(n).alias(n) for n in ("qt", "ct", "qkind", "ckind"))).sortWithinPartitions("q")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q, c, shared, qt, ct, qkind, ckind = _columns(batch)
+            shared = shared.copy()
+            order = np.argsort(qkind, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(qkind[order])) + 1):
+                if len(at):
+                    shared[at] += known.value.shared(qkind[at[0]])[ckind[at]]
+            yield _best(q, c, _score(metric, shared, qt + ct), k)
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, sets = None, None
+        for batch in batches:
+            q, qt, qkind = _columns(batch)
+            for of_kind in np.split(np.arange(len(q)), np.flatnonzero(np.diff(qkind)) + 1):
+                if not len(of_kind):
+                    continue
+                if qkind[of_kind[0]] != kind:
+                    kind = qkind[of_kind[0]]
+                    sets = known.value.nearest(kind)
+                shared, total, c = sets
+                for at in np.array_split(of_kind, 1 + len(of_kind) * len(c) // CELLS):
+                    if not len(c) or not len(at):
+                        continue
+                    score = np.where(q[at, None] != c, _score(metric, shared, qt[at, None] + total), -1.0)
+                    best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ids are in order, so ties are too
+                    score, best = np.take_along_axis(score, best, 1), c[best]
+                    row, place = np.nonzero(score >= 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(q[at][row]), pa.array(best[row, place]), pa.array(score[row, place])], ["q", "c", "score"])
+
+    # A kind of many queries is dealt to several tasks.
+    by_kind = spread(asked.select(F.col("id").alias("q"), F.col("t").alias("qt"), "kind"), "kind", F.pmod(F.col("q"), F.lit(7))).sortWithinPartitions("kind")
+    schema = f"q {asked.schema['id'].dataType.simpleString()}, c {placed.schema['id'].dataType.simpleString()}, score double"
+    found = met.mapInArrow(near, schema).unionByName(by_kind.mapInArrow(far, schema))
     # A set that is met in both ways has the higher score where a rare tag counts too.
-    best = near.unionByName(far.repartition("q")).groupBy("q", "c").agg(F.max("score").alias("score"))
+    best = found.repartition("q").groupBy("q", "c").agg(F.max("score").alias("score"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     return best.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("q", "c", "score", "rank")
 
 
-def nearest_sets(queries: DataFrame, items: DataFrame, k: int, metric: str = "dice", limit: int = 1000, most_kinds: int = 4000) -> DataFrame:
+def _numbered(frequent: DataFrame) -> DataFrame:
+    """Each frequent tag with its number i and place among bits: the word and what is set there."""
+    numbered = frequent.withColumn("i", F.row_number().over(Window.orderBy("tag")) - 1)
+    return _written(numbered.withColumns({"word": F.expr("i DIV 63"), "bit": F.expr("shiftleft(1L, i % 63)")}), "numbered")
+
+
+def _bits(words: int) -> Column:
+    """The frequent tags of a group of rows: an aggregate of a fixed size, whatever a set holds."""
+    return F.array(*(F.coalesce(F.bit_or(F.when(F.col("word") == j, F.col("bit"))), F.lit(0).cast("long")) for j in range(words)))
+
+
+def _numbers(bits: Column, words: int) -> Column:
+    """The numbers of the frequent tags in bits."""
+    return F.filter(F.sequence(F.lit(0), F.lit(63 * words - 1)), lambda i: F.getbit(F.get(bits, F.floor(i / 63).cast("int")), i % 63) == 1)
+
+
+def _sets(rows: DataFrame, hot: DataFrame, words: int) -> DataFrame:
+    """id, t (total), hot (bits of its frequent tags) and rare (tag and w of the others) of each set; rows have w."""
+    rare = F.collect_list(F.when(F.col("i").isNull(), F.struct("tag", "w")))
+    return rows.join(F.broadcast(hot.drop("w")), "tag", "left").groupBy("id").agg(F.sum("w").alias("t"), _bits(words).alias("hot"), rare.alias("rare"))
+
+
+def _sets_weighed(rows: DataFrame, hot: DataFrame, words: int, weigh: Callable[[Column], Column], most: int) -> tuple[DataFrame, DataFrame] | None:
+    """_sets, and hot with w, of rows without w, which may repeat; frequent tags are never dealt by tag. None where kinds are more than ``most``."""
+    marked = _written(rows.join(F.broadcast(hot), "tag").groupBy("id").agg(_bits(words).alias("hot")), "hot")
+    kinds = marked.groupBy("hot").agg(F.count("*").alias("n"))
+    if kinds.limit(most + 1).count() > most:
+        return None
+    each = _written(kinds.select("hot", "n", F.explode(_numbers(F.col("hot"), words)).alias("i")), "kinds")
+    hot = _written(hot.join(each.groupBy("i").agg(weigh(F.sum("n")).alias("w")), "i"), "weights")
+    sums = each.join(F.broadcast(hot), "i").groupBy("hot").agg(F.sum("w").alias("hot_t"))
+    rare = rows.join(F.broadcast(hot), "tag", "left_anti").repartition("tag").distinct()
+    rare = rare.withColumn("w", weigh(F.count("*").over(Window.partitionBy("tag")))).repartition("id")
+    rare = rare.groupBy("id").agg(F.sum("w").alias("rare_t"), F.collect_list(F.struct("tag", "w")).alias("rare"))
+    both = marked.join(F.broadcast(sums), "hot").join(rare, "id", "full")
+    none = F.array_repeat(F.lit(0).cast("long"), words)
+    t = F.coalesce("hot_t", F.lit(0)) + F.coalesce("rare_t", F.lit(0))
+    return _written(both.select("id", t.alias("t"), F.coalesce("hot", none).alias("hot"), F.coalesce("rare", F.array().cast(both.schema["rare"].dataType)).alias("rare")), "placed"), hot
+
+
+def nearest_sets(queries: DataFrame | str, items: DataFrame, k: int, metric: str = "dice", limit: int = 1000, most_kinds: int = 4000, weigh: Callable[[Column], Column] | None = None) -> DataFrame:
     """q, c, score and rank (score descending, then c) of the k best pairs of each query that share a tag; q <> c.
 
     queries are rows of items, or sets of their own with the same weights. Rows with a null id or tag do not
-    count, rows that repeat count once.
+    count, rows that repeat count once. With ``weigh`` rows have no w: it makes the weight of a tag (a positive integer)
+    of the number of items that hold it, and queries is a condition on the ids of items.
     """
     if metric not in ("jaccard", "dice"):
         raise ValueError(f"unknown metric: {metric!r}")
@@ -111,20 +222,32 @@ def nearest_sets(queries: DataFrame, items: DataFrame, k: int, metric: str = "di
         raise ValueError("k and limit are 1 or more")
 
     def side(df: DataFrame) -> DataFrame:
-        return df.where("id IS NOT NULL AND tag IS NOT NULL").select("id", "tag", F.col("w").cast("long").alias("w")).distinct()
+        df = df.where("id IS NOT NULL AND tag IS NOT NULL")
+        return df.select("id", "tag") if weigh else df.select("id", "tag", F.col("w").cast("long").alias("w")).distinct()
 
-    own_q, own_c = side(queries), _written(side(items), "sets")
+    own_c = side(items) if weigh else _written(side(items), "sets")
+    own_q = None if weigh else _written(side(queries), "sets")
+    # Rows that repeat count here each time with weigh; which tags are taken as frequent does not change the result.
+    counts = F.count("*").alias("n")
+    tag_sizes = own_c.groupBy("tag").agg(counts) if weigh else own_c.groupBy("tag").agg(counts, F.first("w").alias("w"))
+    frequent = _written(tag_sizes.where(F.col("n") > limit), "frequent")
+    whole_ids = all(isinstance(df.schema["id"].dataType, T.IntegralType) for df in ([own_c] if weigh else [own_c, own_q]))
+    if most_kinds and whole_ids and frequent.limit(most_kinds + 1).count() <= most_kinds:
+        hot = _numbered(frequent.drop("n"))
+        words = hot.count() // 63 + 1
+        if weigh:
+            made = _sets_weighed(own_c, hot, words, weigh, most_kinds)
+            got = made and _by_kinds(made[0].where(queries), *made, k, metric, most_kinds)
+        else:
+            got = _by_kinds(_written(_sets(own_q, hot, words), "asked"), _written(_sets(own_c, hot, words), "placed"), hot, k, metric, most_kinds)
+        if got is not None:
+            return got
+    if weigh:
+        own_c = own_c.distinct()
+        own_c = _written(own_c.join(own_c.groupBy("tag").agg(weigh(F.count("*")).alias("w")), "tag").select("id", "tag", "w"), "sets")
+        own_q = own_c.where(queries)
     tag_sizes = own_c.groupBy("tag").agg(F.count("*").alias("n"))
     frequent = _written(tag_sizes.where(F.col("n") > limit), "frequent")
-    if most_kinds and frequent.limit(most_kinds + 1).count() <= most_kinds:
-        hot = F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("tag", "w"))))
-        placed = _written(own_c.join(F.broadcast(frequent), "tag", "left").groupBy("id").agg(F.sum("w").alias("t"), hot.alias("tags")), "placed")
-        kinds = placed.select("tags").distinct()
-        if kinds.limit(most_kinds + 1).count() <= most_kinds:
-            kinds = _written(kinds.withColumn("kind", F.row_number().over(Window.orderBy("tags"))), "kinds")
-            got = _by_kinds(own_q, own_c, frequent, kinds, placed.join(F.broadcast(kinds), "tags").select("id", "t", "kind"), k, metric, most_kinds)
-            if got is not None:
-                return got
     whole = lambda df: df.groupBy("id").agg(F.sum("w").alias("t"), F.collect_list(F.struct("tag", "w")).alias("x"))
     sets_q, sets_c = _written(whole(own_q), "sets"), _written(whole(own_c), "sets")
 

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -38,8 +38,8 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{at}/kindred/{name}-{uuid.uuid4().hex}"
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
+def spread(rows: DataFrame, *key: str | Column) -> DataFrame:
     """rows dealt by key to three parts or more for each core, for work that outweighs reading: a small file is one split, whatever its rows cost."""
     spark = rows.sparkSession
     n = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(n, key)
+    return rows.repartition(n, *key)
